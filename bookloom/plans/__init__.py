@@ -1,4 +1,4 @@
 from bookloom.plans.registry import ORACLES, QUERIES
-from bookloom.plans import columns, text  # noqa: F401
+from bookloom.plans import columns, text, matching  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
