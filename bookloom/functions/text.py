@@ -48,7 +48,7 @@ def to_simplified(c: Column, mapping: tuple[str, str] | None) -> Column:
     return F.translate(c, *mapping) if mapping and mapping[0] else c
 
 
-def _stripped_title(title: Column, strip_brackets: bool, normalized: bool) -> Column:
+def stripped_title(title: Column, strip_brackets: bool, normalized: bool) -> Column:
     text = strip(title if normalized else nfkc(title))
     for _ in range(2):
         text = strip(F.regexp_replace(text, K.TITLE_MARK, "$1"))
@@ -70,16 +70,19 @@ def fold_short_tail(c) -> Column:
 def norm_title(c, strip_brackets: bool = True, fold_tail: bool = False,
                simplified: tuple[str, str] | None = None, normalized: bool = False) -> Column:
     """Comparison form of a title. `normalized=True` says the input is NFKC already (no Python step then)."""
-    text = _stripped_title(_c(c), strip_brackets, normalized)
-    if fold_tail:
-        text = fold_short_tail(text)
+    return title_key(stripped_title(_c(c), strip_brackets, normalized), fold_tail, simplified)
+
+
+def title_key(stripped: Column, fold_tail: bool, simplified: tuple[str, str] | None = None) -> Column:
+    """Last step of norm_title: the optional fold, simplified characters, no punctuation, lower case."""
+    text = F.regexp_replace(strip(stripped), K.SHORT_TAIL, "$1") if fold_tail else stripped
     text = F.regexp_replace(to_simplified(text, simplified), K.TITLE_PUNCT, "")
     return F.coalesce(F.lower(text), F.lit(""))
 
 
 def search_title(c, normalized: bool = False) -> Column:
     """Readable form for literal search boxes: decorations go, punctuation stays."""
-    text = trim_chars(strip(_stripped_title(_c(c), True, normalized)), K.SEARCH_TRIM)
+    text = trim_chars(strip(stripped_title(_c(c), True, normalized)), K.SEARCH_TRIM)
     return F.coalesce(nonempty(text), strip(_c(c)), F.lit(""))
 
 

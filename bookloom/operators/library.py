@@ -7,8 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bookloom.functions.text import nonempty
-from bookloom.operators.scale import first_rows, ranked, skew_join
+from bookloom.operators.scale import first_rows, ranked, salted_join
 
 
 def only_type(files: DataFrame, path: str, exts: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +45,7 @@ def dedup_by_content(files: DataFrame, name: str, pos: str) -> tuple[DataFrame,
     best = files.groupBy("size", "digest").agg(F.min(F.struct(name_rank(F.col(name)).alias("r"), F.col(pos).alias("p"),
                                                               F.col(name).alias("kept"))).alias("b"))
     best = best.select("size", "digest", F.col("b.p").alias("_kept_pos"), F.col("b.kept").alias("kept"))
-    marked = skew_join(files, best, ["size", "digest"], "inner")
+    marked = salted_join(files, best, ["size", "digest"], "inner")
     return (marked.where(F.col(pos) == F.col("_kept_pos")).drop("_kept_pos", "kept"),
             marked.where(F.col(pos) != F.col("_kept_pos")).drop("_kept_pos"))
 
@@ -58,7 +57,7 @@ def import_new(incoming: DataFrame, library: DataFrame, name: str = "file", pos:
     first = incoming.groupBy("size", "digest").agg(F.min(F.struct(pos, name)).alias("_first"))
     known = first.join(have, ["size", "digest"], "left").select(
         "size", "digest", F.col("_lib"), F.col(f"_first.{pos}").alias("_fp"), F.col(f"_first.{name}").alias("_fn"))
-    out = skew_join(incoming, known, ["size", "digest"], "left")
+    out = salted_join(incoming, known, ["size", "digest"], "left")
     old = F.when(F.col("_lib").isNotNull(), F.col("_lib")).when(F.col(pos) != F.col("_fp"), F.col("_fn"))
     return out.withColumn("existing", old).withColumn("action", F.when(old.isNotNull(), "skip").otherwise("import")) \
               .drop("_lib", "_fp", "_fn")
@@ -132,7 +131,3 @@ def small_cover_upgrade(best: DataFrame, candidates: DataFrame, on: str = "query
 def read_position(events: DataFrame, on: str, ts: str, fields: Sequence[str]) -> DataFrame:
     """Latest row per key."""
     return first_rows(events.select(on, ts, *fields), [on], [F.col(ts).desc(), *[F.col(f).desc() for f in fields]])
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = nonempty

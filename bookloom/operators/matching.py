@@ -8,18 +8,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bookloom import constants as K
 from bookloom.functions import similarity as S
-from bookloom.functions.pyudf import match_ratio, nfkc
+from bookloom.functions.pyudf import match_ratio
 from bookloom.functions.text import (author_matches, clean_author, nonempty, norm_title, parse_ref, search_title,
-                                     strip_volume_tail)
-from bookloom.operators.scale import first_rows, ranked, skew_join
+                                     strip_volume_tail, stripped_title, title_key)
+from bookloom.operators.scale import first_rows, ranked, salted_join
+from bookloom.session import cut_lineage
 
 
 def with_keys(df: DataFrame, title: str, norm: str, folded: str, simplified=None) -> DataFrame:
     """Add the comparison form of a title and the form with its short subtitle folded away (one Python step)."""
-    d = df.withColumn("_nfkc", nfkc(F.coalesce(F.col(title), F.lit(""))))
-    return (d.withColumn(norm, norm_title("_nfkc", simplified=simplified, normalized=True))
-            .withColumn(folded, norm_title("_nfkc", fold_tail=True, simplified=simplified, normalized=True))
-            .drop("_nfkc"))
+    d = df.withColumn("_t", stripped_title(F.coalesce(F.col(title), F.lit("")), True, False))
+    return (d.withColumn(norm, title_key(F.col("_t"), False, simplified))
+            .withColumn(folded, title_key(F.col("_t"), True, simplified)).drop("_t"))
 
 
 # --- candidate pairs without a cross join -----------------------------------------------------------------
@@ -99,8 +99,9 @@ def fuzzy_title_pairs(queries: DataFrame, catalog: DataFrame, min_score: float =
     queries has columns q, qf, catalog has c, cf. Every pair that can reach the score meets on some equal key
     (shared form, substring, or intact piece), so nothing is lost and no pair is formed that shares nothing.
     """
-    a = queries.select("q", "qf").where(F.col("q") != "").distinct()
-    b = catalog.select("c", "cf").where(F.col("c") != "").distinct()
+    # distinct keys only, read by every branch below
+    a = cut_lineage(queries.select("q", "qf").where(F.col("q") != "").distinct())
+    b = cut_lineage(catalog.select("c", "cf").where(F.col("c") != "").distinct())
     met = _shared_keys(a, b).unionByName(_contained(a, b, min_score)).distinct()
     pairs = met.withColumn("score", S.structural_score("q", "qf", "c", "cf")).where(F.col("score") >= min_score)
     ratio = S.ratio_needed(min_score)
@@ -118,28 +119,36 @@ def fuzzy_title_join(queries: DataFrame, catalog: DataFrame, min_score: float =
     Scoring happens once per distinct title. A title with very many catalog rows contributes only its first `limit`
     rows, which is all a query can take from it; query rows with the same title share one candidate list.
     """
-    qk = with_keys(queries, query_title, "q", "qf", simplified)
-    ck = with_keys(catalog, title, "c", "cf", simplified)
-    pairs = fuzzy_title_pairs(qk, ck, min_score)
-    heads = first_rows(ck.where(F.col("c") != ""), ["c", "cf"], [F.col(pos)], limit)
+    qt = _keyed_titles(queries, query_title, "q", "qf", simplified)
+    ct = _keyed_titles(catalog, title, "c", "cf", simplified)
+    pairs = fuzzy_title_pairs(qt, ct, min_score)
+    heads = first_rows(catalog, [title], [F.col(pos)], limit).join(ct, title).where(F.col("c") != "")
+    heads = first_rows(heads, ["c", "cf"], [F.col(pos)], limit)
     hits = pairs.join(heads, ["c", "cf"])
     top = first_rows(hits, ["q", "qf"], [F.col("score").desc(), F.col(pos)], limit, "position")
-    return skew_join(qk, top, ["q", "qf"], "inner").withColumn("position", F.col("position") - 1).drop("q", "qf", "c", "cf")
+    listed = qt.join(top, ["q", "qf"]).withColumn("position", F.col("position") - 1).drop("q", "qf", "c", "cf")
+    return salted_join(queries, listed, [query_title], "inner")
+
+
+def _keyed_titles(df: DataFrame, title: str, norm: str, folded: str, simplified) -> DataFrame:
+    """The distinct titles of a table with their keys, computed once per title and kept."""
+    return cut_lineage(with_keys(df.select(title).distinct(), title, norm, folded, simplified))
 
 
 def exact_title_lookup(queries: DataFrame, catalog: DataFrame, query_title: str = "query", title: str = "title",
                        pos: str = "pos", simplified=None) -> DataFrame:
     """Left join with the first catalog row of the same normal form."""
-    qk = with_keys(queries, query_title, "_k", "_f", simplified).drop("_f")
-    ck = with_keys(catalog, title, "_k", "_f", simplified).drop("_f").where(F.col("_k") != "")
-    return skew_join(qk, first_rows(ck, ["_k"], [F.col(pos)]), ["_k"], "left").drop("_k")
+    qt = with_keys(queries.select(query_title).distinct(), query_title, "_k", "_f", simplified).drop("_f")
+    heads = with_keys(first_rows(catalog, [title], [F.col(pos)]), title, "_k", "_f", simplified).drop("_f")
+    first = first_rows(heads.where(F.col("_k") != ""), ["_k"], [F.col(pos)])
+    return salted_join(queries, qt.join(first, "_k").drop("_k"), [query_title], "left")
 
 
 def lookup_with_retry(queries: DataFrame, catalog: DataFrame, key: str, query_title: str = "query", **kw) -> DataFrame:
     """Search with the cleaned title; only queries without any hit are searched again as written."""
     cleaned = queries.withColumn("_raw", F.col(query_title)).withColumn(
         query_title, strip_volume_tail(search_title(F.col(query_title))))
-    first = fuzzy_title_join(cleaned, catalog, query_title=query_title, **kw)
+    first = cut_lineage(fuzzy_title_join(cleaned, catalog, query_title=query_title, **kw))
     rest = cleaned.join(first.select(key).distinct(), key, "left_anti").where(F.col("_raw") != F.col(query_title))
     second = fuzzy_title_join(rest.withColumn(query_title, F.col("_raw")), catalog, query_title=query_title, **kw)
     return first.unionByName(second).withColumn(query_title, F.col("_raw")).drop("_raw")
@@ -148,7 +157,7 @@ def lookup_with_retry(queries: DataFrame, catalog: DataFrame, key: str, query_ti
 def id_lookup(refs: DataFrame, catalog: DataFrame, text: str = "text") -> DataFrame:
     """Urls and ids straight to one catalog row (source, id unique): full score, or a diagnostic when absent."""
     r = refs.withColumn("_ref", parse_ref(text)).withColumn("source", F.col("_ref.source")).withColumn("id", F.col("_ref.id"))
-    out = skew_join(r.drop("_ref"), catalog.withColumn("_hit", F.lit(True)), ["source", "id"], "left")
+    out = salted_join(r.drop("_ref"), catalog.withColumn("_hit", F.lit(True)), ["source", "id"], "left")
     return (out.withColumn("score", F.when(F.col("_hit"), F.lit(1.0)))
             .withColumn("diagnostic", F.when(F.col("source").isNull(), "not a reference")
                         .when(F.col("_hit").isNull(), F.concat("source", F.lit(" #"), "id"))).drop("_hit"))
@@ -175,8 +184,8 @@ def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "qu
     """Scores of (query, candidate) rows with columns query_id, query, author_hint, title, author, cover, source,
     position, matched_by, cand_no. `structural_only` skips the ratio for inputs where no pair needs it."""
     d = with_keys(with_keys(cands, "query", "q", "qf", simplified), "title", "c", "cf", simplified)
-    d = d.withColumn("author", clean_author("author"))
-    d = skew_join(d, prefix_derivatives(d, query), [query], "left")
+    d = cut_lineage(d.withColumn("author", clean_author("author")))  # read twice: for the cluster size and for the scores
+    d = d.join(prefix_derivatives(d, query), query, "left")
     base = (F.coalesce(S.structural_score("q", "qf", "c", "cf"), F.lit(0.0)) if structural_only
             else S.title_similarity("q", "qf", "c", "cf"))
     bare_q, bare_c = (F.regexp_replace(x, K.NON_WORD, "") for x in ("query", "title"))
@@ -228,7 +237,7 @@ def cover_donor(scored: DataFrame, query: str = "query_id", structural_only: boo
     bare = best.where(F.coalesce("cover", F.lit("")) == "").select(
         query, F.col("cand_no").alias("_best"), F.coalesce("author", F.lit("")).alias("_ba"))
     others = scored.where((F.coalesce("cover", F.lit("")) != "") & (F.col("title_score") >= 0.90))
-    d = skew_join(others, bare, [query], "inner").where(F.col("cand_no") != F.col("_best"))
+    d = others.join(bare, query).where(F.col("cand_no") != F.col("_best"))
     keys = [norm_title(c, strip_brackets=False) for c in ("_ba", "author")]
     similar = S.author_similarity_bands(*keys) if structural_only else S.author_similarity(*keys)
     both = (F.col("_ba") != "") & (F.coalesce("author", F.lit("")) != "")
@@ -244,6 +253,7 @@ def resolve(scored: DataFrame, query: str = "query_id", floor: float = K.CONFIDE
     Per query and score band only the first rows can matter, so at most 3*max(top,5) short rows per query are put
     together; a query with millions of candidates costs no more than any other.
     """
+    scored = cut_lineage(scored)  # read for the short lists and twice for the cover donor
     band = F.when(F.col("title_score") >= K.SAME_TITLE, 0).when(F.col("title_score") >= K.ALTERNATIVE_MIN, 1).otherwise(2)
     short = first_rows(scored.withColumn("_band", band), [query, "_band"], rank_order(), max(top, 5))
     row = F.struct((-F.col("score")).alias("o1"), F.col("source_rank").alias("o2"), F.col("position").alias("o3"),
@@ -286,7 +296,7 @@ def two_round_resolve(queries: DataFrame, round1: DataFrame, round2, query: str
     """
     def confident(p: str) -> Column:
         return F.coalesce(F.col(p)["title_score"] >= K.AUTO_FILL, F.lit(False))
-    r1 = resolve(round1, query, **kw)
+    r1 = cut_lineage(resolve(round1, query, **kw))
     done = r1.where(confident("best"))
     rest = queries.join(done.select(query), query, "left_anti")
     r2 = resolve(round2(rest), query, **kw)

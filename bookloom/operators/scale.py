@@ -2,7 +2,10 @@
 
 * ``ranked``       row numbers inside groups of any size (a plain window would sort a hot group in one task)
 * ``first_rows``   the first k rows of each group; Spark prunes each map task to k rows per group before the shuffle
-* ``skew_join``    equi-join whose left side may have hot keys; only the hot keys are salted
+* ``salted_join``  equi-join whose left side is a table with hot keys; only the hot keys are salted
+
+Other joins are left to adaptive execution, which splits skewed partitions of a sort-merge join at run time. The
+explicit form is for joins straight on a table, where finding the hot keys is one pruned scan.
 """
 
 from __future__ import annotations
@@ -67,7 +70,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
             .where(F.col("count") > hot_rows).select("_hk", F.lit(True).alias("_hot")))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
               hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """Equi-join where the left side may have hot keys and the right side has few rows per key.
 

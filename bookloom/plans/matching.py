@@ -7,6 +7,7 @@ from bookloom.functions import similarity as Sim
 from bookloom.operators import matching as M
 from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query
+from bookloom.session import cut_lineage
 
 # queries: every customer asks for one messy title; catalog: every part is an entry
 CAT_TITLE = "CASE p_partkey % 2 WHEN 0 THEN p_name ELSE concat(p_name, ' ', lower(p_type)) END"
@@ -189,7 +190,7 @@ def _(t):
 # the two rounds: round 1 without the catalog's bilinovel rows, round 2 with these only
 @query("g6_two_round_resolve")
 def _(t):
-    s = scored(t).persist()
+    s = cut_lineage(scored(t))
     r = M.two_round_resolve(requests(t), s.where("source <> 'bilinovel'"),
                             lambda rest: s.where("source = 'bilinovel'").join(rest.select("query_id"), "query_id", "left_semi"),
                             structural_only=True)
