@@ -1,4 +1,4 @@
 from bookloom.plans.registry import ORACLES, QUERIES
-from bookloom.plans import columns, text, matching, lookups, reports, ordering  # noqa: F401
+from bookloom.plans import columns, text, matching, lookups, reports, ordering, webpages, sources, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
