@@ -8,7 +8,6 @@ from pyspark.sql import Column, functions as F
 
 from bookloom import constants as K
 from bookloom.functions.lines import adjacent_distinct, alternation, squeeze
-from bookloom.functions.pyudf import balanced_div
 from bookloom.functions.text import _c, nonempty, strip
 
 SCRIPT = r"(?is)<(script|style)[^>]*>.*?</\1>"
@@ -124,16 +123,3 @@ def blocks(page, base: str = "") -> Column:
     kept = F.filter(parsed, lambda b: b["value"].isNotNull())
     return F.transform(kept, lambda b, i: F.struct((i + 1).alias("pos"), b["kind"].alias("kind"),
                                                    b["value"].alias("value")))
-
-
-def pick_content(page, ad_rules: Sequence[str] = K.SERIAL_AD_LINES) -> Column:
-    """Chapter text: the id container when it has ten characters, a class container when it has eighty, else the
-    longest text of any div."""
-    from bookloom.functions.pyudf import div_bodies
-    by_id = strip_html(balanced_div(_c(page), K.CONTENT_ID), ad_rules=ad_rules)
-    by_class = strip_html(balanced_div(_c(page), K.CONTENT_CLASS), ad_rules=ad_rules)
-    texts = F.transform(div_bodies(F.regexp_replace(_c(page), SCRIPT, "")),
-                        lambda b: strip_html(b, ad_rules=ad_rules))
-    longest = F.aggregate(texts, F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
-    return (F.when(F.length(by_id) >= K.CONTENT_ID_MIN, by_id)
-            .when(F.length(by_class) >= K.CONTENT_MIN, by_class).otherwise(F.coalesce(longest, F.lit(""))))

@@ -67,25 +67,27 @@ def strip_ad_phrases(text, rules: Sequence[str] = K.AD_PHRASES) -> Column:
     """
     lines = F.transform(split_lines(text), lambda x, i: F.struct((i + 1).alias("line_no"), squeeze(x).alias("line")))
     lines = F.filter(lines, lambda r: r["line"] != "")
-    table = F.array(*[F.lit(r) for r in rules])
-
-    def apply(state: Column, rule: Column) -> Column:
-        frags = F.filter(F.regexp_extract_all(state["kept"], rule, F.lit(0)),
-                         lambda f: F.length(F.trim(f)) >= K.AD_PHRASE_MIN)
-        kept = F.aggregate(frags, state["kept"], lambda acc, f: F.replace(acc, f, F.lit("")))
-        removed = F.concat(state["removed"],
-                           F.transform(frags, lambda f: F.struct(rule.alias("rule"), f.alias("fragment"))))
-        return F.struct(kept.alias("kept"), removed.alias("removed"))
-
-    def one(row: Column) -> Column:
-        empty = F.array().cast("array<struct<rule:string,fragment:string>>")
-        done = F.aggregate(table, F.struct(row["line"].alias("kept"), empty.alias("removed")), apply)
-        return F.struct(row["line_no"].alias("line_no"), row["line"].alias("line"),
-                        squeeze(done["kept"]).alias("kept"), done["removed"].alias("removed"))
+    no_hits = F.array().cast("array<struct<rule:string,fragment:string>>")
+    rows = F.transform(lines, lambda r: F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"), r["line"].alias("kept"),
+                                                 no_hits.alias("removed")))
+
+    # one pass to find and one to cut per rule: the rule stays a constant pattern and nothing is matched twice
+    def find(rule: str):
+        return lambda r: r.withField("frags", F.filter(F.regexp_extract_all(r["kept"], F.lit(rule), F.lit(0)),
+                                                       lambda f: F.length(F.trim(f)) >= K.AD_PHRASE_MIN))
+
+    def cut(rule: str):
+        return lambda r: F.when(F.size(r["frags"]) == 0, r.dropFields("frags")).otherwise(F.struct(
+            r["line_no"].alias("line_no"), r["line"].alias("line"),
+            F.aggregate(r["frags"], r["kept"], lambda acc, f: F.replace(acc, f, F.lit(""))).alias("kept"),
+            F.concat(r["removed"], F.transform(r["frags"], lambda f: F.struct(F.lit(rule).alias("rule"), f.alias("fragment")))).alias("removed")))
+    for rule in rules:
+        rows = F.transform(F.transform(rows, find(rule)), cut(rule))
+    rows = F.transform(rows, lambda r: r.withField("kept", squeeze(r["kept"])))
 
     def judged(r: Column) -> Column:
         gone = r["kept"].rlike("^[（(]?\\s*[)）]?$")
         return F.struct(r["line_no"].alias("line_no"), r["line"].alias("line"),
                         F.when(~gone, r["kept"]).alias("kept"), r["removed"].alias("removed"),
                         F.when(F.size(r["removed"]) > 0, F.lit("inline")).when(gone, F.lit("line")).alias("kind"))
-    return F.transform(F.transform(lines, one), judged)
+    return F.transform(rows, judged)

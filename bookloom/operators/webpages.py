@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bookloom import constants as K
 from bookloom.functions import html as H
 from bookloom.functions.lines import drop_title_echo
-from bookloom.functions.pyudf import balanced_div, join_url, nested_objects, page_object
+from bookloom.functions.pyudf import balanced_div, div_bodies, join_url, nested_objects, page_object
 from bookloom.functions.text import abs_url, nonempty, volume_label
 from bookloom.operators.scale import first_rows
 
@@ -119,11 +119,25 @@ def illustration_set(blocks: DataFrame, key: str = "page_id") -> DataFrame:
     return img.join(first, key).select(key, "url", "pos", (F.col("pos") == F.col("_cover")).alias("is_cover"))
 
 
+def pick_content(pages: DataFrame, html: str = "html", out: str = "text", ad_rules: Sequence[str] = K.SERIAL_AD_LINES) -> DataFrame:
+    """Add the chapter text: of the id container when it has ten characters, of a class container when it has eighty, else
+    the longest text of any div. Each step only looks at the pages the step before could not settle."""
+    need = lambda text, least: F.coalesce(F.length(text), F.lit(0)) < least
+    d = pages.withColumn("_id", H.strip_html(balanced_div(F.col(html), K.CONTENT_ID), ad_rules=ad_rules))
+    left = F.when(need("_id", K.CONTENT_ID_MIN), F.col(html))
+    d = d.withColumn("_class", H.strip_html(balanced_div(left, K.CONTENT_CLASS), ad_rules=ad_rules))
+    left = F.when(need("_id", K.CONTENT_ID_MIN) & need("_class", K.CONTENT_MIN), F.regexp_replace(html, H.SCRIPT, ""))
+    d = d.withColumn("_texts", F.transform(div_bodies(left), lambda b: H.strip_html(b, ad_rules=ad_rules)))
+    longest = F.aggregate("_texts", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    return d.withColumn(out, F.when(~need("_id", K.CONTENT_ID_MIN), F.col("_id"))
+                        .when(~need("_class", K.CONTENT_MIN), F.col("_class")).otherwise(longest)).drop("_id", "_class", "_texts")
+
+
 def chapter_text(pages: DataFrame, key: str = "page_id", html: str = "html", ad_rules: Sequence[str] = K.SERIAL_AD_LINES,
                  convert=None) -> DataFrame:
     """(key, heading, text): content container, ad and repeated lines out, title echo out, and the phrase conversion last
     (the ad rules are written for the original script)."""
     heading = H.inline_text(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    d = pages.select(key, heading.alias("heading"), H.pick_content(html, ad_rules).alias("text"))
+    d = pick_content(pages.select(key, html, heading.alias("heading")), html, "text", ad_rules).drop(html)
     d = d.withColumn("text", drop_title_echo("text", "heading"))
     return d.withColumn("text", convert(F.col("text"))) if convert else d

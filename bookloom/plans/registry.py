@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookloom.session import table
+from bookloom.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +19,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        df = table(self.spark, self.folder, name)
+        return df if name in ("region", "nation") else spread(df)
 
 
 def query(name: str, sql: str | None = None):

@@ -101,7 +101,7 @@ def _(t):
     path = shared_folder(t, "books")
     books = t.conversations.select("conv_id").distinct().withColumn("title", F.concat(F.lit("Book "), F.col("conv_id").cast("string")))
     W.write_books(W.book_fragments(t.conversations, books, "conv_id", "turn", "role", "text"), path, "conv_id")
-    parts = t.spark.read.option("wholetext", "true").text(path).select(F.col("conv_id").cast("long").alias("conv_id"), F.input_file_name().alias("f"), "value")
+    parts = t.spark.read.text(path, wholetext=True).select(F.col("conv_id").cast("long").alias("conv_id"), F.input_file_name().alias("f"), "value")
     # one row per file: a book has as many as its share of the output partitions
     return parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("p")) \
                 .select("conv_id", F.array_join(F.transform("p", lambda x: x["value"]), "").alias("book"))

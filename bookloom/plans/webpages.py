@@ -63,7 +63,7 @@ LINES_OF = S.page_lines("html")
 def _(t):
     page = F.expr("CASE page_id % 3 WHEN 0 THEN concat('<div class=\"nav\">menu</div><div id=\"content\">', html, '</div>') WHEN 1 THEN concat('<div id=\"content\">tiny</div><div class=\"a showtxt\">', html, '</div>') "
                   "ELSE concat('<div>short</div><div><p>long enough text of the biggest block ', page_id, '</p></div>') END")
-    return t.pages.select("page_id", H.pick_content(page).alias("text"))
+    return W.pick_content(t.pages.select("page_id", page.alias("html"))).drop("html")
 
 
 @query("h1_extract_toc", """WITH b AS (SELECT page_id, url, regexp_extract_all(html, '<a href="/([^"#]+)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="/([^"#]+)">([^<]*)</a>', 2) AS ns FROM pages),
