@@ -117,7 +117,8 @@ def fuzzy_title_join(queries: DataFrame, catalog: DataFrame, min_score: float =
     """For every query row its best `limit` catalog rows (score, then catalog order).
 
     Scoring happens once per distinct title. A title with very many catalog rows contributes only its first `limit`
-    rows, which is all a query can take from it; query rows with the same title share one candidate list.
+    rows, which is all a query can take from it; query rows with the same title share one candidate list. The result
+    keeps the title keys q, qf, c, cf for score_candidates.
     """
     qt = _keyed_titles(queries, query_title, "q", "qf", simplified)
     ct = _keyed_titles(catalog, title, "c", "cf", simplified)
@@ -126,7 +127,7 @@ def fuzzy_title_join(queries: DataFrame, catalog: DataFrame, min_score: float =
     heads = first_rows(heads, ["c", "cf"], [F.col(pos)], limit)
     hits = pairs.join(heads, ["c", "cf"])
     top = first_rows(hits, ["q", "qf"], [F.col("score").desc(), F.col(pos)], limit, "position")
-    listed = qt.join(top, ["q", "qf"]).withColumn("position", F.col("position") - 1).drop("q", "qf", "c", "cf")
+    listed = qt.join(top, ["q", "qf"]).withColumn("position", F.col("position") - 1)
     return salted_join(queries, listed, [query_title], "inner")
 
 
@@ -182,8 +183,11 @@ def prefix_derivatives(pairs: DataFrame, query: str = "query_id") -> DataFrame:
 def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "query_id", simplified=None,
                      structural_only: bool = False) -> DataFrame:
     """Scores of (query, candidate) rows with columns query_id, query, author_hint, title, author, cover, source,
-    position, matched_by, cand_no. `structural_only` skips the ratio for inputs where no pair needs it."""
-    d = with_keys(with_keys(cands, "query", "q", "qf", simplified), "title", "c", "cf", simplified)
+    position, matched_by, cand_no (the title keys q, qf, c, cf are made when missing). `structural_only` skips the ratio for inputs where no pair needs it."""
+    d = cands
+    for title, norm, folded in (("query", "q", "qf"), ("title", "c", "cf")):
+        if norm not in d.columns:
+            d = with_keys(d, title, norm, folded, simplified)
     d = cut_lineage(d.withColumn("author", clean_author("author")))  # read twice: for the cluster size and for the scores
     d = d.join(prefix_derivatives(d, query), query, "left")
     base = (F.coalesce(S.structural_score("q", "qf", "c", "cf"), F.lit(0.0)) if structural_only

@@ -143,8 +143,7 @@ def _(t):
 
 @query("e5_prefix_derivative_count", f"WITH {SCORED} SELECT DISTINCT query_id, CAST(derivatives AS BIGINT) AS derivatives, derivatives >= 3 AS cluster FROM scored")
 def _(t):
-    d = M.with_keys(M.with_keys(found(t), "query", "q", "qf"), "title", "c", "cf")
-    return M.prefix_derivatives(d)
+    return M.prefix_derivatives(found(t))
 
 
 SAME = """same AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM ranked WHERE title_score >= 0.97),
