@@ -13,7 +13,7 @@ from bookloom.session import cut_lineage
 
 def latest_by_key(events: DataFrame, key: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Last write per key: a partial aggregate, so a busy key costs one row per task."""
-    return events.groupBy(key).agg(F.max(F.struct(*order, *fields)).alias("v")).select(key, *[f"v.{c}" for c in [*order, *fields]])
+    return events.groupBy(key).agg(F.max(F.struct(*order, *fields)).alias("_v")).select(key, *[f"_v.{c}" for c in [*order, *fields]])
 
 
 def block_breaker(events: DataFrame, source: str, order: Sequence[Column], blocked: Column, limit: int = 3,
@@ -28,9 +28,9 @@ def block_breaker(events: DataFrame, source: str, order: Sequence[Column], block
                [F.col(f"_o{i}") for i in range(len(order))], "_n")
     marks = n.where("_b").select(source, "_n")
     if carry is not None:
-        before = F.sequence(F.lit(0), F.least(F.col("run"), F.lit(limit - 1)) - 1)
+        before = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("run"), F.lit(limit - 1)) - 1), lambda i: -i)
         old = carry.where((F.col("run") > 0) & ~F.col("tripped"))
-        marks = marks.unionByName(old.select(source, (-F.explode(before)).cast("long").alias("_n")))
+        marks = marks.unionByName(old.select(source, F.explode(before).alias("_n")))
     hits = (marks.select(source, F.explode(F.sequence(F.col("_n"), F.col("_n") + limit - 1)).alias("_n"))
             .groupBy(source, "_n").count().where(F.col("count") == limit).groupBy(source).agg(F.min("_n").alias("tripped_at")))
     ends = n.groupBy(source).agg(F.max("_n").alias("_all"), F.max(F.when(~F.col("_b"), F.col("_n"))).alias("_ok"))
@@ -51,13 +51,13 @@ def ttl_dedup(events: DataFrame, key: str, ts: str, ttl: Column, tie: str) -> Da
     Kept events of a key are more than ttl apart, so there are at most span/ttl rounds; each round finds the next kept
     event of every key with one partial aggregate over the events still ahead.
     """
-    row = F.min(F.struct(ts, tie)).alias("k")
-    kept = cut_lineage(events.groupBy(key).agg(row).select(key, f"k.{ts}", f"k.{tie}"))
-    out, ahead = kept, events
+    row = F.min(F.struct(ts, tie)).alias("_k")
+    kept = cut_lineage(events.groupBy(key).agg(row).select(key, f"_k.{ts}", f"_k.{tie}"))
+    out = kept
     while not kept.isEmpty():
         last = kept.select(key, F.col(ts).alias("_last"))
-        ahead = ahead.join(last, key).where(F.col(ts) > F.col("_last") + ttl).drop("_last")
-        kept = cut_lineage(ahead.groupBy(key).agg(row).select(key, f"k.{ts}", f"k.{tie}"))
+        ahead = events.join(last, key).where(F.col(ts) > F.col("_last") + ttl)  # keys without a next event drop out
+        kept = cut_lineage(ahead.groupBy(key).agg(row).select(key, f"_k.{ts}", f"_k.{tie}"))
         out = out.unionByName(kept)
     return out
 

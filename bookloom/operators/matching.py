@@ -204,7 +204,8 @@ def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "qu
         rank = F.when(F.col("source") == name, F.lit(i)).otherwise(rank)
     d = d.withColumn("source_rank", rank)
     hint = F.coalesce("author_hint", F.lit(""))
-    d = d.withColumn("_h", norm_title(hint, strip_brackets=False)).withColumn("_a", norm_title("author", strip_brackets=False))
+    d = d.withColumn("_h", norm_title(hint, strip_brackets=False)).withColumn(
+        "_a", norm_title("author", strip_brackets=False, normalized=True))
     similar = (F.coalesce(S.author_similarity_bands("_h", "_a"), F.lit(0.0)) if structural_only
                else S.author_similarity("_h", "_a"))
     bonus = F.when((hint != "") & (F.col("author") != ""),
@@ -216,7 +217,8 @@ def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "qu
 
 def rank_candidates(cands: DataFrame, priority: Sequence[str], query: str = "query_id", **kw) -> DataFrame:
     """score_candidates plus the rank within the query, also for queries with very many candidates."""
-    return ranked(score_candidates(cands, priority, query, **kw), [query], rank_order(), "rank")
+    # range partitioning reads its input twice (bounds, then rows), so the scores are kept first
+    return ranked(cut_lineage(score_candidates(cands, priority, query, **kw)), [query], rank_order(), "rank")
 
 
 # --- resolution -------------------------------------------------------------------------------------------

@@ -31,7 +31,7 @@ def _start(df: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], che
 def latest_stream(events: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], table: str, checkpoint: str,
                   once: bool = False) -> StreamingQuery:
     """Latest progress or position per key (update mode: a batch writes only the keys it changed)."""
-    agg = events.groupBy(key).agg(F.max(F.struct(*order, *fields)).alias("v")).select(key, *[f"v.{c}" for c in [*order, *fields]])
+    agg = events.groupBy(key).agg(F.max(F.struct(*order, *fields)).alias("_v")).select(key, *[f"_v.{c}" for c in [*order, *fields]])
     return _start(agg, "update", _write_batch(table), checkpoint, once)
 
 
