@@ -124,4 +124,4 @@ def _(t):
     path = shared_folder(t, "snapshot")
     day = F.unix_seconds(F.to_timestamp(F.date_trunc("day", F.to_timestamp("ts"))))
     W.snapshot_write(t.events.select("event_id", "ts"), path, day)
-    return W.snapshot_read_fresh(t.spark, path, SNAP_NOW, 7 * 86400, min_rows=50).select("event_id", F.col("built_at").cast("long").alias("built_at"))
+    return W.snapshot_read_fresh(t.spark, path, SNAP_NOW, 7 * 86400, min_rows=10).select("event_id", F.col("built_at").cast("long").alias("built_at"))
