@@ -200,6 +200,13 @@ def test_page_objects(spark):
         '{"t":"a}\\"{","u":null,"v":null,"w":null,"s":"undefined","d":{"e":1}}', None, None]
 
 
+def test_second_search_uses_the_title_as_written(spark):
+    cat = spark.createDataFrame([(0, "特典 EX 外传"), (1, "赘婿")], "pos int, title string")
+    q = spark.createDataFrame([(1, "某某 番外 特典 EX 外传"), (2, "赘婿 第 3 卷"), (3, "没有的书")], "query_id int, query string")
+    got = {r["query_id"]: r["pos"] for r in M.lookup_with_retry(q, cat, "query_id", min_score=0.72, limit=1).collect()}
+    assert got == {1: 0, 2: 1}
+
+
 def test_site_order_and_failover(spark):
     rows = [(1, "site", 0.5, None, 0), (1, "site", 0.9, None, 1), (1, "scored", 0.99, None, 0), (2, "site", 0.3, "site", 0), (3, "index", 1.0, None, 9), (3, "site", 1.0, None, 0), (4, "scored", 0.9, None, 0)]
     df = spark.createDataFrame(rows, "query_id int, origin string, title_score double, matched_by string, position int")
