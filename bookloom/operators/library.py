@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookloom.operators.scale import first_rows, ranked, salted_join
+from bookloom.session import cut_lineage
 
 
 def only_type(files: DataFrame, path: str, exts: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -30,8 +31,11 @@ def search(books: DataFrame, text: str, columns: Sequence[str] = ("title", "auth
 
 
 def with_fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
-    """Length and SHA-256, computed once; the content itself need not travel any further."""
-    return files.withColumn("size", F.octet_length(content).cast("long")).withColumn("digest", F.sha2(F.col(content).cast("binary"), 256))
+    """Length and SHA-256 instead of the content. Every file is read and hashed once: the short rows are kept, and all later
+    steps work on them."""
+    others = [c for c in files.columns if c != content]
+    return cut_lineage(files.select(*others, F.octet_length(content).cast("long").alias("size"),
+                                    F.sha2(F.col(content).cast("binary"), 256).alias("digest")))
 
 
 def name_rank(name: Column) -> Column:

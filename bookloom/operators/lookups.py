@@ -31,8 +31,8 @@ def exclude_seen(pool: DataFrame, seen: DataFrame, library: DataFrame, id_col: s
     keys = s.select(key_title("_v").alias("_key")).unionByName(library.select(key_title(library.columns[0]).alias("_key"))).distinct()
     d = pool.where(F.coalesce(F.col(title), F.lit("")) != "").withColumn("_key", key_title(title)).withColumn(
         "_v", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    d = salted_join(d, s.distinct(), ["_v"], "left_anti")
-    return salted_join(d, keys, ["_key"], "left_anti").drop("_key", "_v")
+    left = salted_join(d, s.distinct(), ["_v"], "left_anti")
+    return salted_join(left, keys, ["_key"], "left_anti", hot_from=d).drop("_key", "_v")
 
 
 def pending_items(toc: DataFrame, cache: DataFrame, on: Sequence[str], payload: str) -> DataFrame:

@@ -18,6 +18,7 @@ from bookloom.session import cut_lineage
 
 HOT_ROWS = 1_000_000
 SALTS = 64
+TRACKED = 1024
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: str,
@@ -65,21 +66,29 @@ def first_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k:
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with more than hot_rows rows: at most rows/hot_rows of them, 8 bytes each."""
-    return (df.groupBy(F.xxhash64(*on).alias("_hk")).count()
-            .where(F.col("count") > hot_rows).select("_hk", F.lit(True).alias("_hot")))
+    """Hashes of the keys with more than hot_rows rows, at most TRACKED/2 of them.
+
+    A frequent-items sketch of fixed size per task finds every key that holds more than about 1/TRACKED*1.4 of the rows;
+    nothing is shuffled but the sketches, and these are merged in two steps. A missed or extra key only changes how rows
+    are spread, never the result.
+    """
+    sketches = df.select(F.xxhash64(*on).alias("_hk")).groupBy(F.pmod(F.spark_partition_id(), F.lit(256)).alias("_g")) \
+                 .agg(F.expr(f"approx_top_k_accumulate(_hk, {TRACKED})").alias("_s"))
+    merged = sketches.agg(F.expr(f"approx_top_k_combine(_s, {TRACKED})").alias("_s"))
+    top = merged.selectExpr(f"inline(approx_top_k_estimate(_s, {TRACKED // 2}))")
+    return top.where(F.col("count") > hot_rows).select(F.col("item").alias("_hk"), F.lit(True).alias("_hot"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
-              hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS,
+                salts: int = SALTS, hot_from: DataFrame | None = None) -> DataFrame:
     """Equi-join where the left side may have hot keys and the right side has few rows per key.
 
     Left rows of hot keys are spread over `salts` sub-keys by the hash of the row, the right rows of these keys
-    are copied once per salt, everything else is joined as it is.
+    are copied once per salt, everything else is joined as it is. `hot_from` is where to look for hot keys when the
+    left side is itself costly to compute.
     """
     on = list(on)
-    # proven bound: a trillion left rows give at most a million hashes (about 16 MB)
-    hot = F.broadcast(hot_keys(left, on, hot_rows))
+    hot = F.broadcast(hot_keys(hot_from if hot_from is not None else left, on, hot_rows))  # at most TRACKED/2 rows
     spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))
                     .cast("int")).otherwise(F.lit(0))
     big = (left.withColumn("_hk", F.xxhash64(*on)).join(hot, "_hk", "left")

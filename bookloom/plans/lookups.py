@@ -39,7 +39,7 @@ FILES = "(SELECT doc_id AS pos, concat('book', doc_id % 300, CASE WHEN doc_id %
 
 def files(t):
     name = F.concat(F.lit("book"), (F.col("doc_id") % 300).cast("string"), F.when(F.col("doc_id") % 3 == 0, "_1").otherwise(""))
-    return library.with_fingerprint(t.documents.select(F.col("doc_id").alias("pos"), name.alias("file"), "text"), "text").drop("text")
+    return library.with_fingerprint(t.documents.select(F.col("doc_id").alias("pos"), name.alias("file"), "text"), "text")
 
 
 @query("d7_import_new", f"""WITH f AS (SELECT * FROM {FILES}), lib AS (SELECT size, digest, min(file) AS lib FROM f WHERE digest < '4' GROUP BY ALL),
