@@ -193,14 +193,31 @@ def _(t):
 
 
 # the two rounds: round 1 without the catalog's bilinovel rows, round 2 with these only
-@query("g6_two_round_resolve")
-def _(t):
+def two_rounds(t):
     s = cut_lineage(scored(t))
-    r = M.two_round_resolve(requests(t), s.where("source <> 'bilinovel'"),
-                            lambda rest: s.where("source = 'bilinovel'").join(rest.select("query_id"), "query_id", "left_semi"),
-                            structural_only=True)
-    return r.select("query_id", "best.title", "best.source", F.col("weak.title").alias("weak"), "ambiguous",
-                    names("same_title").alias("same_titles"))
+    return M.two_round_resolve(requests(t), s.where("source <> 'bilinovel'"),
+                               lambda rest: s.where("source = 'bilinovel'").join(rest.select("query_id"), "query_id", "left_semi"),
+                               structural_only=True)
+
+
+def _round(n, op):
+    return f"""w{n} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k, row_number() OVER (PARTITION BY query_id, title_score >= 0.97 ORDER BY rank) AS j
+      FROM ranked WHERE source {op} 'bilinovel'), a{n} AS (SELECT query_id, count(*) > 1 AND count(DISTINCT nullif(author, '')) > 1 AS amb FROM w{n} WHERE title_score >= 0.97 AND j <= 5 GROUP BY 1),
+    r{n} AS (SELECT w{n}.*, coalesce(amb, false) AS amb FROM w{n} LEFT JOIN a{n} USING (query_id) WHERE k = 1)"""
+
+
+@query("g6_two_round_resolve", f"""WITH {SCORED}, {_round(1, '<>')}, {_round(2, '=')}, c AS (SELECT req.query_id, coalesce(r1.title_score, 0) < 0.95 AND (coalesce(r2.title_score, 0) >= 0.95 OR r1.title IS NULL) AS two,
+      r1.title AS t1, r1.source AS s1, r1.title_score AS x1, r1.amb AS m1, r2.title AS t2, r2.source AS s2, r2.title_score AS x2, r2.amb AS m2
+      FROM req LEFT JOIN r1 USING (query_id) LEFT JOIN r2 USING (query_id)),
+    d AS (SELECT query_id, CASE WHEN two THEN t2 ELSE t1 END AS t, CASE WHEN two THEN s2 ELSE s1 END AS s, CASE WHEN two THEN x2 ELSE x1 END AS x, CASE WHEN two THEN m2 ELSE m1 END AS m FROM c)
+    SELECT query_id, CASE WHEN x >= 0.85 THEN t END AS title, CASE WHEN x >= 0.85 THEN s END AS source, CASE WHEN x < 0.85 THEN t END AS weak, x >= 0.85 AND m AS ambiguous FROM d""")
+def _(t):
+    return two_rounds(t).select("query_id", "best.title", "best.source", F.col("weak.title").alias("weak"), "ambiguous")
+
+
+@query("g6_two_round_candidates")
+def _(t):
+    return two_rounds(t).select("query_id", names("same_title").alias("same_titles"), names("alternatives").alias("alternatives"))
 
 
 @query("g7_author_gate", f"""WITH {RESOLVED}, m AS (SELECT r.query_id, {HINT.replace('query_id', 'r.query_id')} AS hint, r.rank, r.title, r.author,

@@ -107,7 +107,7 @@ def _(t):
                 .select("conv_id", F.array_join(F.transform("p", lambda x: x["value"]), "").alias("book"))
 
 
-@query("a14_write_resolution")
+@query("a14_write_resolution", f"WITH {PM.RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN round(score, 4) END AS score, ok AND amb AS ambiguous FROM res")
 def _(t):
     path = shared_folder(t, "resolution")
     W.write_resolution(M.resolve(PM.scored(t), floor=0.92, structural_only=True), path)

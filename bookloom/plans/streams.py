@@ -53,11 +53,12 @@ def _(t):
     return d.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
-@query("i4_ttl_dedup_stream")
+# the whole table is one micro-batch here, so the watermark never lets a key through a second time
+@query("i4_ttl_dedup_stream", "SELECT DISTINCT user_id FROM events")
 def _(t):
     out, ck = shared_folder(t, "dedup"), shared_folder(t, "ck")
     J.dedup_stream(stream(t, "events"), "user_id", "ts", "7 days", out, ck, once=True).awaitTermination()
-    return t.spark.read.parquet(out).select("user_id", "event_id")
+    return t.spark.read.parquet(out).select("user_id")
 
 
 # an add in front for every event but errors; an error deletes the second bookmark
