@@ -52,9 +52,11 @@ def failed_chapters(chapters: DataFrame, book: str, pos: str, name: str, content
 
 def failure_summary(items: DataFrame, job: str, ts: str) -> DataFrame:
     """Per job: done, cached, failed, percent, and done per second between first and last event."""
+    # wall-clock timestamps are read as UTC, so that no session time zone bends a duration
+    at = F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z"))) if dict(items.dtypes)[ts] == "timestamp_ntz" else F.col(ts)
     d = items.groupBy(job).agg(
         F.count(F.lit(1)).alias("total"), *[F.sum((F.col("state") == s).cast("long")).alias(s) for s in ("done", "cached", "failed")],
-        (F.unix_micros(F.max(F.to_timestamp(ts))) - F.unix_micros(F.min(F.to_timestamp(ts)))).alias("_us"))
+        (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))).alias("_us"))
     elapsed = F.greatest(F.col("_us") / 1e6, F.lit(0.001))
     return d.withColumn("percent", F.floor((F.col("done") + F.col("cached")) * 100 / F.greatest("total", F.lit(1)))) \
             .withColumn("rate", F.round(F.col("done") / elapsed, 6)).drop("_us")

@@ -74,7 +74,8 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
     """
     sketches = df.select(F.xxhash64(*on).alias("_hk")).groupBy(F.pmod(F.spark_partition_id(), F.lit(256)).alias("_g")) \
                  .agg(F.expr(f"approx_top_k_accumulate(_hk, {TRACKED})").alias("_s"))
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(_s, {TRACKED})").alias("_s"))
+    # grouped, because the ungrouped form of this aggregate fails on a partition without rows
+    merged = sketches.groupBy(F.lit(0).alias("_all")).agg(F.expr(f"approx_top_k_combine(_s, {TRACKED})").alias("_s"))
     top = merged.selectExpr(f"inline(approx_top_k_estimate(_s, {TRACKED // 2}))")
     return top.where(F.col("count") > hot_rows).select(F.col("item").alias("_hk"), F.lit(True).alias("_hot"))
 

@@ -195,12 +195,7 @@ def _(t):
     return t.pages.select("page_id", H.inline_text(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("label"))
 
 
-ENT = "html"
-for _a, _b in K.ENTITIES:
-    ENT = f"replace({ENT}, {S.lit(_a)}, {S.lit(_b)})"
-
-
-@query("b23_unescape_entities", f"SELECT page_id, {ENT} AS fixed, replace(replace(url, '/', '&'), '.', '>') AS full FROM pages")
+@query("b23_unescape_entities", f"SELECT page_id, {S.unescape('html')} AS fixed, replace(replace(url, '/', '&'), '.', '>') AS full FROM pages")
 def _(t):
     return t.pages.select("page_id", H.unescape_fixed("html").alias("fixed"),
                           unescape_all(F.replace(F.replace("url", F.lit("/"), F.lit("&#x26;")), F.lit("."), F.lit("&gt;")))

@@ -107,7 +107,7 @@ def _(t):
                 .select("conv_id", F.array_join(F.transform("p", lambda x: x["value"]), "").alias("book"))
 
 
-@query("a14_write_resolution", f"WITH {PM.RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN round(score, 4) END AS score, ok AND amb AS ambiguous FROM res")
+@query("a14_write_resolution", f"WITH {PM.RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN round(CAST(score AS DECIMAL(18, 6)), 4)::DOUBLE END AS score, ok AND amb AS ambiguous FROM res")
 def _(t):
     path = shared_folder(t, "resolution")
     W.write_resolution(M.resolve(PM.scored(t), floor=0.92, structural_only=True), path)
@@ -122,6 +122,6 @@ SNAP_NOW = 1706000000  # 2024-01-23 08:53:20
     SELECT event_id, built_at FROM s, m WHERE built_at = b AND b >= {SNAP_NOW} - 7 * 86400""")
 def _(t):
     path = shared_folder(t, "snapshot")
-    day = F.unix_seconds(F.to_timestamp(F.date_trunc("day", F.to_timestamp("ts"))))
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01")).cast("long") * 86400
     W.snapshot_write(t.events.select("event_id", "ts"), path, day)
     return W.snapshot_read_fresh(t.spark, path, SNAP_NOW, 7 * 86400, min_rows=10).select("event_id", F.col("built_at").cast("long").alias("built_at"))

@@ -83,8 +83,10 @@ def page_lines(x: str, breaks: bool = True, drop: str = "false") -> str:
     return f"list_filter([{squeezed} for l in string_split({t}, chr(10))], lambda l: l <> '' AND NOT ({drop}))"
 
 
-def no_adjacent(lines: str) -> str:
-    return f"list_filter({lines}, lambda l, i: i = 1 OR l <> ({lines})[i - 1])"
+def unescape(x: str) -> str:
+    for a, b in K.ENTITIES:
+        x = f"replace({x}, {lit(a)}, {lit(b)})"
+    return x
 
 
 HEADING_SQL = r"^\S+( \S+){0,2}[.]$"  # the heading rule the fixture documents are split with

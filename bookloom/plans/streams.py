@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from bookloom.operators import events as E, webpages as W
+from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query
 from bookloom.plans.sources import shared_folder
 from bookloom.streaming import jobs as J
@@ -69,7 +70,10 @@ def _(t):
     return E.bookmark_fold(ev, "user_id", "event_id")
 
 
-@query("i6_ingest_pages_stream", """SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading FROM pages""")
+HEADING_TEXT = S.rx(S.unescape("regexp_extract(html, '<h1>(.*?)</h1>', 1)"), chr(92) + "s+", " ")
+
+
+@query("i6_ingest_pages_stream", f"SELECT page_id, trim({HEADING_TEXT}) AS heading FROM pages")
 def _(t):
     out, ck = shared_folder(t, "ingest"), shared_folder(t, "ck")
     J.ingest_stream(stream(t, "pages"), W.chapter_text, out, ck, once=True).awaitTermination()

@@ -34,7 +34,7 @@ def _(t):
     return W.extract_records(t.pages, r"(?s)<li>.*?</li>", {"id": r'href="/([^"]*)"', "title": r"<a[^>]*>([^<]*)"}, ["id", "title"])
 
 
-@query("a8_extract_meta_tags", f"""SELECT page_id, trim({S.strip(S.rx("replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&')", chr(92) + 's+', ' '))}) AS title, 'n' || page_id AS author,
+@query("a8_extract_meta_tags", f"""SELECT page_id, trim({S.strip(S.rx(S.unescape("regexp_extract(html, '<h1>(.*?)</h1>', 1)"), chr(92) + 's+', ' '))}) AS title, 'n' || page_id AS author,
     'utf-8 & more' AS intro FROM pages""")
 def _(t):
     head = F.concat(F.lit('<meta content="utf-8 &amp; more" name="description"><meta property="og:novel:author" content="n'), F.col("page_id").cast("string"), F.lit('">'), "html")
@@ -94,10 +94,7 @@ def _(t):
     return d.select("page_id", "title", "author", "name", "url", "cover", F.array_join(F.transform("chapters", lambda c: c["title"]), "|").alias("chapters"))
 
 
-P_SQL = S.rx("b", "<[^>]+>")
-for _entity, _text in K.ENTITIES:
-    P_SQL = f"replace({P_SQL}, {S.lit(_entity)}, {S.lit(_text)})"
-P_SQL = S.strip(P_SQL)
+P_SQL = S.strip(S.unescape(S.rx("b", "<[^>]+>")))
 
 
 @query("h3_content_blocks", f"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<img\\b[^>]*>|<p[^>]*>.*?</p>')) AS b, generate_subscripts(regexp_extract_all(html, '(?is)<img\\b[^>]*>|<p[^>]*>.*?</p>'), 1) AS n FROM pages),
