@@ -204,7 +204,7 @@ def format_size(c) -> Column:
     return (F.when(n.isNull() | (n == 0), F.lit("—"))
             .when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
             .when(n < 1048576, F.concat(F.floor(n / 1024 + 0.5).cast("string"), F.lit(" KB")))
-            .otherwise(F.concat(F.regexp_replace(F.format_number(n / 1048576, 1), ",", ""), F.lit(" MB"))))
+            .otherwise(F.concat(F.regexp_replace(F.format_number(F.floor(n * 10 / 1048576 + 0.5) / 10, 1), ",", ""), F.lit(" MB"))))
 
 
 def format_time(c) -> Column:

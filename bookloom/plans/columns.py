@@ -332,7 +332,7 @@ def _(t):
 
 
 @query("b40_format_size", """SELECT o_orderkey, CASE WHEN n = 0 THEN '—' WHEN n < 1024 THEN concat(n, ' B')
-    WHEN n < 1048576 THEN concat(CAST(floor(n / 1024.0 + 0.5) AS BIGINT), ' KB') ELSE printf('%.1f MB', n / 1048576.0) END AS size,
+    WHEN n < 1048576 THEN concat(CAST(floor(n / 1024.0 + 0.5) AS BIGINT), ' KB') ELSE printf('%.1f MB', floor(n * 10 / 1048576.0 + 0.5) / 10) END AS size,
     strftime(o_orderdate, '%-m-%-d %H:%M') AS time FROM (SELECT *, (o_orderkey * o_orderkey * 3) % 90000000 AS n FROM orders)""")
 def _(t):
     n = (F.col("o_orderkey") * F.col("o_orderkey") * 3) % 90000000

@@ -107,6 +107,13 @@ def _(t):
                 .select("conv_id", F.array_join(F.transform("p", lambda x: x["value"]), "").alias("book"))
 
 
+@query("a13_book_markdown", """SELECT conv_id, 0 AS pos, '---' || chr(10) || 'title: "Book ' || conv_id || '"' || chr(10) || 'author: "Ann"' || chr(10) || 'date: "2026-01-01"' || chr(10) || 'lang: zh-CN' || chr(10) || '---' || chr(10) || chr(10) AS fragment
+    FROM conversations GROUP BY conv_id UNION ALL SELECT conv_id, turn + 1, '# ' || role || ' {#ch-' || (turn + 1) || '}' || chr(10) || chr(10) || array_to_string([p || chr(10) || chr(10) for p in string_split(text, chr(10)) if trim(p) <> ''], '') FROM conversations""")
+def _(t):
+    books = t.conversations.select("conv_id").distinct().withColumn("title", F.concat(F.lit("Book "), F.col("conv_id").cast("string"))).withColumn("author", F.lit("Ann"))
+    return W.book_markdown(t.conversations.withColumn("number", F.col("turn") + 1), books, "conv_id", "number", "role", "text", F.lit("2026-01-01"))
+
+
 @query("a14_write_resolution", f"WITH {PM.RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN round(CAST(score AS DECIMAL(18, 6)), 4)::DOUBLE END AS score, ok AND amb AS ambiguous FROM res")
 def _(t):
     path = shared_folder(t, "resolution")

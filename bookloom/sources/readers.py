@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from bookloom import constants as K
 from bookloom.functions.pyudf import decode_declared, decode_ladder, jpeg_webp_size
 from bookloom.functions.text import media_kind, nonempty, png_gif_size
+from bookloom.operators.segment import read_list
 
 
 def read_text_corpus(spark: SparkSession, path: str, ladder=K.CODEC_LADDER) -> DataFrame:
@@ -34,8 +35,22 @@ def decode_strict(raw: DataFrame, content: str, content_type: str) -> DataFrame:
         *[c for c in raw.columns if c != content], "_d.text", "_d.encoding", "_d.lossy")
 
 
-def read_title_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+def read_title_list(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct titles of list files with the place (file, line) each occurs at first."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
+    return read_list(files)
+
+
+def load_phrase_tables(dictionary: DataFrame, max_entries: int = 2_000_000) -> list[list[dict[str, str]]]:
+    """Phrase tables for phrase_convert from rows (group, dict, key, value). A dictionary is a fixed resource of a language;
+    one that is larger than max_entries is refused, not cut."""
+    rows = dictionary.select("group", "dict", "key", "value").limit(max_entries + 1).collect()
+    if len(rows) > max_entries:
+        raise ValueError(f"more than {max_entries} phrases; join the text with the dictionary instead")
+    tables: dict[int, dict[int, dict[str, str]]] = {}
+    for group, part, key, value in rows:
+        tables.setdefault(group, {}).setdefault(part, {})[key] = value
+    return [[d for _, d in sorted(parts.items())] for _, parts in sorted(tables.items())]
 
 
 def read_rank_snapshots(spark: SparkSession, paths, schema: str, mapping: dict[str, Column], multi_line: bool = True) -> DataFrame:

@@ -16,9 +16,17 @@ def book_fragments(chapters: DataFrame, books: DataFrame, book: str, pos: str, n
     return head.unionByName(body)
 
 
-def book_markdown(chapters: DataFrame, book: str, pos: str, name: str, text: str) -> DataFrame:
-    return chapters.select(book, F.col(pos).cast("long").alias("pos"),
-                           F.concat(F.lit("# "), name, F.lit("\n\n"), F.replace(text, F.lit("\n"), F.lit("\n\n")), F.lit("\n\n")).alias("fragment"))
+def book_markdown(chapters: DataFrame, books: DataFrame, book: str, number: str, name: str, text: str, date: Column,
+                  title: str = "title", author: str = "author") -> DataFrame:
+    """(book, pos, fragment) in Markdown: a YAML head, then every chapter (numbered from 1) with an anchor and its non-blank
+    lines as paragraphs."""
+    line = lambda k, v: F.concat(F.lit(f'{k}: "'), v, F.lit('"\n'))
+    head = books.select(book, F.lit(0).cast("long").alias("pos"), F.concat(
+        F.lit("---\n"), line("title", F.col(title)), line("author", F.col(author)), line("date", date), F.lit("lang: zh-CN\n---\n\n")).alias("fragment"))
+    paras = F.transform(F.filter(F.split(text, "\n", -1), lambda p: F.trim(p) != ""), lambda p: F.concat(p, F.lit("\n\n")))
+    body = chapters.select(book, F.col(number).cast("long").alias("pos"), F.concat(
+        F.lit("# "), name, F.lit(" {#ch-"), F.col(number).cast("string"), F.lit("}\n\n"), F.array_join(paras, "")).alias("fragment"))
+    return head.unionByName(body)
 
 
 def write_books(fragments: DataFrame, path: str, book: str, mode: str = "overwrite") -> None:

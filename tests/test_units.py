@@ -135,6 +135,19 @@ def test_encodings(spark):
 def test_phrase_conversion(spark):
     groups = [[{"著急": "着急", "乾坤": "乾坤"}, {"裡": "里", "乾": "干 乾"}], [{"里面": "内"}]]
     assert column(spark, ["他著急在裡面，乾坤乾燥。"], lambda c: P.phrase_convert(c, groups)) == ["他着急在内，乾坤干燥。"]
+    chars_first = [[{"甲": "乙"}, {"乙丙": "丁"}]]  # what a table replaced is not seen by the next table of the group
+    assert column(spark, ["甲丙乙丙"], lambda c: P.phrase_convert(c, chars_first)) == ["乙丙丁"]
+    assert column(spark, ["a, b"], lambda c: P.phrase_convert(c, [[{"a, b": "x", "b": "y"}]])) == ["a, y"]
+
+
+def test_title_list_and_dictionary_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\ufeff赘婿\n# note\n\n  魔道祖师 \n赘婿\n", encoding="utf-8")
+    got = sorted((r["line_no"], r["title"]) for r in R.read_title_list(spark, str(tmp_path / "a.txt")).collect())
+    assert got == [(1, "赘婿"), (4, "魔道祖师")]
+    rows = spark.createDataFrame([(2, 1, "里面", "内"), (1, 2, "裡", "里"), (1, 1, "著急", "着急")], "group int, dict int, key string, value string")
+    assert R.load_phrase_tables(rows) == [[{"著急": "着急"}, {"裡": "里"}], [{"里面": "内"}]]
+    with pytest.raises(ValueError):
+        R.load_phrase_tables(rows, 2)
 
 
 def test_epub(spark, tmp_path):
