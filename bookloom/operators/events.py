@@ -65,8 +65,9 @@ def ttl_dedup(events: DataFrame, key: str, ts: str, ttl: Column, tie: str) -> Da
 def bookmark_fold(events: DataFrame, key: str, order: str, action: str = "action", item: str = "item", ordinal: str = "ordinal") -> DataFrame:
     """Current bookmark list per book from add (in front) and delete (by place from 0) events: (key, place, item).
 
-    A stretch of events is a small change: items it puts in front, and places of the incoming list it removes. Stretches
-    of one book are summarised by the partitions they lie in, then the few summaries of a book are applied in order.
+    A stretch of events is a small change: items it puts in front, and places of the incoming list it removes. The stretches
+    a book has in the partitions are summarised one by one; then every item is carried through the later stretches of its book
+    on its own, by the number of items in front of it and the places removed. No list of a book is ever put together.
     """
     kind = dict(events.dtypes)[key]
     keys = [F.col(key), F.col(order)]
@@ -83,26 +84,35 @@ def bookmark_fold(events: DataFrame, key: str, order: str, action: str = "action
             gone.append(at)
             gone.sort()
 
+    def rows(state) -> list:
+        k, part, front, gone = state
+        return [(k, part, None, None, len(front), gone)] + [(k, part, i, it, None, None) for i, it in enumerate(front)]
+
     def summarise(batches: Iterable[pd.DataFrame]):
-        state = None  # (key, part, front, gone)
-        cols = [key, "_part", "front", "gone"]
+        state = None  # (key, part, front, gone) of the book being read; the rows come sorted by book
+        cols = [key, "_part", "idx", "item", "n", "gone"]
+        frame = lambda out: pd.DataFrame(out, columns=cols).astype({"idx": "Int64", "n": "Int64"})
         for b in batches:
             out = []
             for k, part, act, it, at in zip(b[key], b["_part"], b[action], b[item], b[ordinal]):
                 if state is None or state[0] != k:
                     if state is not None:
-                        out.append(state)
+                        out += rows(state)
                     state = (k, part, [], [])
                 if act == "add":
                     state[2].insert(0, it)
                 elif at is not None and at >= 0:
                     remove(state[2], state[3], int(at))
-            yield pd.DataFrame(out, columns=cols)
+            yield frame(out)
         if state is not None:
-            yield pd.DataFrame([state], columns=cols)
-
-    parts = laid.mapInPandas(summarise, f"{key} {kind}, _part int, front array<string>, gone array<long>")
-    whole = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_part", "front", "gone"))).alias("p"))  # <= #partitions
-    final = F.aggregate("p", F.array().cast("array<string>"), lambda acc, s: F.concat(
-        s["front"], F.filter(acc, lambda x, i: ~F.array_contains(s["gone"], i.cast("long")))))
-    return whole.select(key, F.posexplode(final).alias("place", "item"))
+            yield frame(rows(state))
+
+    parts = cut_lineage(laid.mapInPandas(summarise, f"{key} {kind}, _part int, idx long, item string, n long, gone array<long>"))
+    later = parts.where(F.col("n").isNotNull()).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("_part", "n", "gone"))).alias("_later"))  # one small row per partition
+    items = parts.where(F.col("idx").isNotNull()).select(key, "_part", "idx", "item").join(later, key)
+    # place of the item, or null once it is removed
+    place = F.aggregate(F.filter("_later", lambda s: s["_part"] > F.col("_part")), F.col("idx"), lambda at, s: F.when(
+        at.isNotNull() & ~F.array_contains(s["gone"], at),
+        s["n"] + at - F.size(F.filter(s["gone"], lambda g: g < at)).cast("long")))
+    return items.select(key, place.cast("int").alias("place"), "item").where(F.col("place").isNotNull())
