@@ -32,14 +32,15 @@ def ratio_needed(min_score: float) -> float | None:
 
 
 def title_similarity(q, qf, c, cf) -> Column:
-    return F.coalesce(structural_score(q, qf, c, cf), ratio_score(match_ratio(_c(q), _c(c))))
+    sure = structural_score(q, qf, c, cf)
+    # rows a band has decided reach the ratio helper as nulls
+    return F.coalesce(sure, ratio_score(match_ratio(F.when(sure.isNull(), _c(q)), F.when(sure.isNull(), _c(c)))))
 
 
 def author_similarity(q, c) -> Column:
     """Of two author keys: 1 equal, 0.8 containment, else the ratio; 0 when one is empty."""
-    q, c = _c(q), _c(c)
-    return (F.when((q == "") | (c == ""), F.lit(0.0)).when(q == c, F.lit(1.0))
-            .when(q.contains(c) | c.contains(q), F.lit(0.8)).otherwise(match_ratio(q, c)))
+    sure = author_similarity_bands(q, c)
+    return F.coalesce(sure, match_ratio(F.when(sure.isNull(), _c(q)), F.when(sure.isNull(), _c(c))))
 
 
 def author_similarity_bands(q, c) -> Column:

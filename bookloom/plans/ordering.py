@@ -135,13 +135,32 @@ def request_lists(t):
     return library_, seen
 
 
-@query("g11_pick")
+def pick_sql(title, batch):
+    """The greedy as a walk over all visits: quota pass in bucket order, then fill pass; one recursion step per visit."""
+    return f"""{POOL}, lib AS (SELECT DISTINCT {S.key_title('p_name')} AS k FROM part WHERE p_size = 50), seen AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier),
+    cand AS (SELECT *, {title} AS shown FROM sc WHERE title <> '' AND book_id NOT IN (SELECT k FROM seen)),
+    fit AS (SELECT * FROM cand WHERE {S.key_title('shown')} NOT IN (SELECT k FROM lib) AND {S.key_title('shown')} NOT IN (SELECT k FROM seen)),
+    r0 AS (SELECT *, split_part(tags, ' ', 1) AS tag, row_number() OVER (PARTITION BY bucket ORDER BY pick_score DESC, pos) - 1 AS k, count(*) OVER (PARTITION BY bucket) AS n FROM fit),
+    r AS (SELECT *, ((k - {batch * 17}) % n + n) % n AS turn FROM r0),
+    plan(bucket, ord, seats) AS (VALUES ('正经书', 1, 2), ('男频起点大火', 2, 3), ('男频起点新作', 3, 2), ('男频番茄', 4, 2), ('女频晋江大火', 5, 3), ('女频晋江新作', 6, 2)),
+    fill(bucket, ord, seats) AS (VALUES ('正经书', 11, 99), ('男频起点大火', 12, 99), ('男频起点新作', 13, 99), ('女频晋江大火', 14, 99), ('女频晋江新作', 15, 99), ('出版', 16, 99), ('女频番茄', 17, 99)),
+    visits AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord, turn) AS v, * FROM (SELECT ord, seats, turn, pos, tag, source FROM r JOIN plan USING (bucket) UNION ALL SELECT ord, seats, turn, pos, tag, source FROM r JOIN fill USING (bucket))),
+    st AS (SELECT 0::BIGINT AS v, []::BIGINT[] AS ids, []::VARCHAR[] AS tags, []::VARCHAR[] AS sources, 0 AS got, 0 AS cur UNION ALL
+      SELECT v, CASE WHEN take THEN list_append(ids, pos) ELSE ids END, CASE WHEN take THEN list_append(tags, tag) ELSE tags END, CASE WHEN take THEN list_append(sources, source) ELSE sources END,
+        CASE WHEN take THEN g + 1 ELSE g END, ord FROM (SELECT *, len(ids) < 14 AND g < seats AND NOT list_contains(ids, pos) AND (tag = '' OR len(list_filter(tags, lambda x: x = tag)) < 2)
+        AND len(list_filter(sources, lambda x: x = source)) < 6 AS take FROM (SELECT x.v, x.ord, x.seats, x.pos, x.tag, x.source, st.ids, st.tags, st.sources, CASE WHEN st.cur = x.ord THEN st.got ELSE 0 END AS g
+        FROM st JOIN visits x ON x.v = st.v + 1))),
+    picked AS (SELECT unnest(ids) AS pos, generate_subscripts(ids, 1) AS seat FROM st WHERE v = (SELECT max(v) FROM visits))"""
+
+
+@query("g11_pick", f"WITH RECURSIVE {pick_sql('title', 2)} SELECT seat, pos, title, source, bucket FROM picked JOIN sc USING (pos)")
 def _(t):
     lib, seen = request_lists(t)
     return B.pick(pool(t), lib, seen, n=14, batch=2).select("seat", "pos", "title", "source", "bucket")
 
 
-@query("g12_recommend")
+@query("g12_recommend", f"""WITH RECURSIVE {pick_sql("CASE WHEN pos % 3 = 0 THEN chr(57345) || title ELSE title END", 1)}
+    SELECT seat, pos, title, author, CASE WHEN pos % 3 = 0 THEN type ELSE '' END AS intro FROM picked JOIN sc USING (pos)""")
 def _(t):
     lib, seen = request_lists(t)
     p = pool(t).withColumn("title", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("\ue001"), "title")).otherwise(F.col("title"))).withColumn("intro", F.lit(""))

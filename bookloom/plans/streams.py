@@ -63,7 +63,10 @@ def _(t):
 
 
 # an add in front for every event but errors; an error deletes the second bookmark
-@query("i5_bookmark_fold")
+@query("i5_bookmark_fold", """WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS VARCHAR) AS item, event_type = 'error' AS del, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    st AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::VARCHAR[] AS l FROM events UNION ALL
+      SELECT st.user_id, e.n, CASE WHEN del THEN list_concat(l[1:1], l[3:]) ELSE list_prepend(item, l) END FROM st JOIN e ON e.user_id = st.user_id AND e.n = st.n + 1)
+    SELECT user_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS place, unnest(l) AS item FROM st JOIN (SELECT user_id, max(n) AS n FROM st GROUP BY 1) USING (user_id, n)""")
 def _(t):
     ev = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("action"),
                          F.col("event_id").cast("string").alias("item"), F.when(F.col("event_type") == "error", F.lit(1)).cast("int").alias("ordinal"))
