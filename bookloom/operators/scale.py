@@ -27,7 +27,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column], out: st
 
     Rows are range-partitioned on (group, order), so a group with a third of all rows spreads over a third of
     the partitions. Each partition is sorted and numbered locally; one small table (a row per group and
-    partition) turns local numbers into global ones. The numbered rows are checkpointed once, so both
+    partition) turns local numbers into global ones. The numbered rows are written once (cut_lineage), so both
     readers see the same partitioning whatever happens to the executors.
     """
     group = list(group)

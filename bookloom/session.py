@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +18,6 @@ def build_session(app: str = "bookloom", master: str | None = None, **conf) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -40,9 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so a lost executor never changes what was computed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df once as a table below the shared checkpoint folder and go on from there, so a lost executor never changes
+    what was computed. A table is used instead of an RDD checkpoint because that one computes its last stage twice, and
+    because the planner knows the size of a table."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/bookloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spread(spark.read.schema(df.schema).parquet(path))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

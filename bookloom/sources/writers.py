@@ -32,7 +32,8 @@ def book_markdown(chapters: DataFrame, books: DataFrame, book: str, number: str,
 def write_books(fragments: DataFrame, path: str, book: str, mode: str = "overwrite") -> None:
     """Text files below <path>/<book>=.../; the parts of a book, read by name, are its text. Range partitioning puts the
     fragments of one book next to each other and splits a very large book over several ordered parts."""
-    parts = fragments.repartitionByRange(F.col(book), F.col("pos")).sortWithinPartitions(book, "pos")
+    n = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number keeps the many files parallel
+    parts = fragments.repartitionByRange(n, F.col(book), F.col("pos")).sortWithinPartitions(book, "pos")
     # every fragment ends with the line break the text writer adds itself
     parts.select(F.regexp_replace("fragment", r"\n\z", "").alias("value"), book).write.mode(mode).partitionBy(book).text(path)
 
