@@ -46,7 +46,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/bookloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spread(spark.read.schema(df.schema).parquet(path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
