@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from bookloom.llm.chat import OP4_SQL, op4_chat_format
+from bookloom.llm.decontaminate import OP2_SQL, op2_decontamination
 from bookloom.llm.licenses import OP1_SQL, op1_license_scan
 from bookloom.llm.media import op8_media
 from bookloom.llm.mixing import op7_mixing
 from bookloom.llm.sharding import op3_sharding
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_sharding, op4_chat_format, op7_mixing, op8_media)}
-ORACLES = {"op1_license_scan": OP1_SQL.strip(), "op4_chat_format": OP4_SQL.strip()}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_sharding, op4_chat_format, op7_mixing, op8_media)}
+ORACLES = {"op1_license_scan": OP1_SQL.strip(), "op2_decontamination": OP2_SQL.strip(), "op4_chat_format": OP4_SQL.strip()}
