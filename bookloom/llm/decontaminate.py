@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bookloom.llm.words import ALPHANUMERIC, Words, hashed
+from bookloom.llm.words import ALPHANUMERIC, Words, hashed, sliced
 
 #: words of a window; an item of fewer words is one window
 WINDOW = 10
@@ -118,7 +118,7 @@ def _counts(docs: DataFrame, text: str, index) -> DataFrame:
     """(i, n): how often the i-th shingle of the vocabulary occurs in all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(index.value.vocabulary), np.int64)
-        for b in batches:
+        for b in sliced(batches, 0):
             total += np.bincount(index.value.found(hashed(b.column(0), ALPHANUMERIC, lower=True))[1], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["i", "n"])
@@ -160,7 +160,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches, text):
                 w = hashed(b.column(text), ALPHANUMERIC, lower=True)
                 inside, windows = sent.value.hits(w)
                 n = np.diff(w.first)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bookloom.llm.graph import components
-from bookloom.llm.words import BLANK_SEPARATED, Words, hashed, mix
+from bookloom.llm.words import BLANK_SEPARATED, Words, hashed, mix, sliced
 from bookloom.session import cut_lineage
 
 #: minhash values in one hash of a collection; a table key joins one hash of either collection
@@ -56,7 +56,7 @@ def _signatures(docs: DataFrame, key: str, text: str, shingle: int, m: int) -> D
             seeds = mix(np.arange(1, 2 * m * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             factors = mix(seeds) | np.uint64(1)
             place = mix(np.arange(101, 101 + 2 * m, dtype=np.uint64))
-            for b in batches:
+            for b in sliced(batches, 1):
                 sizes, d1, d2, keys = [], [], [], []
                 for s in shingle_sets(hashed(b.column(1), BLANK_SEPARATED, lower=True), shingle):
                     sizes.append(len(s))
@@ -92,7 +92,7 @@ def _tables(nodes: DataFrame, m: int) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) for which den * |intersection| >= num * |union|, on whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 3):
             keep = np.zeros(batch.num_rows, bool)
             left = batch.column(0).to_numpy()
             first = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))) if len(left) else left

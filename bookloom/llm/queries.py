@@ -10,7 +10,8 @@ from bookloom.llm.media import op8_media
 from bookloom.llm.minhash import OP10_SQL, op10_minhash
 from bookloom.llm.mixing import op7_mixing
 from bookloom.llm.sharding import op3_sharding
+from bookloom.llm.substring import OP9_SQL, op9_substring
 from bookloom.llm.toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_sharding, op4_chat_format, op5_language_id, op6_toxicity, op7_mixing, op8_media, op10_minhash)}
-ORACLES = {"op1_license_scan": OP1_SQL.strip(), "op2_decontamination": OP2_SQL.strip(), "op4_chat_format": OP4_SQL.strip(), "op10_minhash": OP10_SQL.strip()}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_sharding, op4_chat_format, op5_language_id, op6_toxicity, op7_mixing, op8_media, op9_substring, op10_minhash)}
+ORACLES = {"op1_license_scan": OP1_SQL.strip(), "op2_decontamination": OP2_SQL.strip(), "op4_chat_format": OP4_SQL.strip(), "op9_substring": OP9_SQL.strip(), "op10_minhash": OP10_SQL.strip()}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookloom.llm.langid import fold
-from bookloom.llm.words import ALPHANUMERIC, Words, hashed
+from bookloom.llm.words import ALPHANUMERIC, Words, hashed, sliced
 from bookloom.operators.scale import first_rows
 from bookloom.session import cut_lineage
 
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
         .withColumn("part", F.pmod(F.col("h"), F.lit(5)))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             w = hashed(b.column(1), ALPHANUMERIC, lower=True)
             y = b.column(0).to_numpy()
             all_keys = keys(w)
@@ -307,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     sent = spark.sparkContext.broadcast(lexicon)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2):
             x = features(b.column(2), sent.value)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["part", "y", "x"])
 
@@ -338,7 +338,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, text):
             s = sent.value.score(b.column(text))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              [*b.schema.names, "score", "predicted"])

@@ -15,6 +15,10 @@ import pyarrow as pa
 #: bytes of text hashed at a time
 PIECE = 1 << 18
 _U = np.uint64
+_STEP = _U(0xA24BAED4963EE407)
+_BACK = _U(pow(0xA24BAED4963EE407, -1, 1 << 64))
+#: bytes of text that are worked on together
+SLICE = 1 << 22
 
 
 def _table(outside: list[tuple[int, int]]) -> np.ndarray:
@@ -73,14 +77,31 @@ class Words:
                 out[:len(out) - j] += self.hash[j:] * weight
             return mix(out)
 
-    def joined(self, t: int, keep: np.ndarray | None = None, sep: bytes = b" ") -> bytes:
-        """The words of text t (those that `keep` marks) with one separator between them."""
-        a, b = self.first[t], self.first[t + 1]
-        raw = self.data[self.start[a]:self.end[b - 1]].tobytes() if b > a else b""
-        base = self.start[a] if b > a else 0
-        at = range(a, b) if keep is None else (a + np.flatnonzero(keep)).tolist()
-        s, e = self.start, self.end
-        return sep.join([raw[s[i] - base:e[i] - base] for i in at])
+    def joined(self, t: int, keep: np.ndarray | None = None) -> bytes:
+        """The words of text t (those that `keep` marks) with one blank between them."""
+        at = slice(self.first[t], self.first[t + 1])
+        start, end = self.start[at], self.end[at]
+        if keep is not None:
+            start, end = start[keep], end[keep]
+        if not len(start):
+            return b""
+        # +1 where a word begins, -1 behind its blank; words and the one byte behind each are copied, that byte as a blank
+        low, high = int(start[0]), int(end[-1])
+        edge = np.zeros(high - low + 2, np.int8)
+        edge[start - low] += 1
+        edge[end - low + 1] -= 1
+        inside = edge.cumsum(dtype=np.int8)[:high - low] > 0
+        out = self.data[low:high].copy()
+        out[end[:-1] - low] = 32
+        return out[inside].tobytes()
+
+    def spans(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Hash of size[i] words from word first[i] on, for stretches of any length."""
+        with np.errstate(over="ignore"):
+            up = np.cumprod(np.full(len(self.hash) + 1, _STEP, _U))
+            down = np.cumprod(np.full(len(self.hash) + 1, _BACK, _U))
+            total = np.concatenate((np.zeros(1, _U), np.cumsum(self.hash * up[:-1])))
+            return mix((total[first + size] - total[first]) * down[first] + size.astype(_U))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,3 +172,14 @@ def hashed(column: pa.Array, member: np.ndarray = BLANK_SEPARATED, lower: bool =
         return Words(data, np.zeros(0, _U), none, none, np.zeros(len(at), np.int64))
     start = np.concatenate(starts)
     return Words(data, np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, at).astype(np.int64))
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
+    """Batches with some megabytes of text each; a text is never divided."""
+    for b in batches:
+        at = utf8(b.column(column))[1]
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+            yield b.slice(i, j - i)
+            i = j
