@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from bookloom.llm.frames import plus
 from bookloom.llm.words import ALPHANUMERIC, Words, hashed, sliced
 
 #: words of a window; an item of fewer words is one window
@@ -143,8 +144,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     spark = docs.sparkSession
     out = docs.drop("n_words", "spans", "items")
     base = out.columns
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out.schema.fields)
-    kinds = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    schema = plus(out, "n_words long, spans array<struct<start:long,end:long>>, items array<string>")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     wins = _windows(benchmark, item, item_text, window)
     blocks = max(1, -(-wins.count() // BLOCK))
@@ -182,7 +182,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                     [*[b.column(c) for c in base], pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))],
                     [*base, "n_words", "spans", "items"])
 
-        out = out.mapInArrow(run, fields + kinds)
+        out = out.mapInArrow(run, schema)
     return out
 
 

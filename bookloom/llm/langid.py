@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bookloom.llm.frames import plus
 from bookloom.operators.scale import first_rows
 
 #: labelled rows that the weights are fitted on, dealt evenly over the languages
@@ -212,8 +213,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 [*b.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                 [*b.schema.names, "lang_pred", "score"])
 
-    spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields)
-    return base.mapInArrow(run, spec + "lang_pred string, score double")
+    return base.mapInArrow(run, plus(base, "lang_pred string, score double"))
 
 
 def fold(key: str, parts: int) -> Column:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from bookloom.llm.frames import plus
+
 #: width and height of a tile; a difference hash compares neighbours in a row and gives (width - 1) * height bits
 TILE = (9, 8)
 #: a text's payload is padded to a multiple of one 24 x 24 image
@@ -148,8 +150,6 @@ def media_tiles(df: DataFrame, media: str = "media", width: int = TILE[0], heigh
     added = pa.schema([("width", pa.int32()), ("height", pa.int32()), ("channels", pa.int32()), ("npy", pa.binary()),
                        ("dhash", pa.string()), ("problem", pa.string())])
     base = df.drop(*added.names)
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    spec += (", " if spec else "") + "width int, height int, channels int, npy binary, dhash string, problem string"
 
     def look(data) -> tuple:
         if not data:
@@ -169,7 +169,7 @@ def media_tiles(df: DataFrame, media: str = "media", width: int = TILE[0], heigh
             new = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(added)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *added.names])
 
-    return base.mapInArrow(run, spec)
+    return base.mapInArrow(run, plus(base, "width int, height int, channels int, npy binary, dhash string, problem string"))
 
 
 def payload(text: bytes) -> np.ndarray:
@@ -195,8 +195,7 @@ def text_media(docs: DataFrame, text: str = "text", form: str = "netpbm") -> Dat
                     [*row.schema.names, "n_bytes", "media"])
 
     base = docs.drop("media", "n_bytes")
-    spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields) + "n_bytes long, media binary"
-    return base.mapInArrow(run, spec)
+    return base.mapInArrow(run, plus(base, "n_bytes long, media binary"))
 
 
 def digests(df: DataFrame, media: str = "media") -> DataFrame:
@@ -217,8 +216,8 @@ def digests(df: DataFrame, media: str = "media") -> DataFrame:
                 [*[b.column(i) for i in rest], *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]],
                 [*[b.schema.names[i] for i in rest], *ADDED])
 
-    spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != media)
-    return df.mapInArrow(run, spec + "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string")
+    return df.mapInArrow(run, plus(df.drop(media), "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+                                                   "media_sha256 string"))
 
 
 ADDED = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]

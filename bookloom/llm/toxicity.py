@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from bookloom.llm.frames import plus
 from bookloom.llm.langid import fold
 from bookloom.llm.words import ALPHANUMERIC, Words, hashed, sliced
 from bookloom.operators.scale import first_rows
@@ -343,8 +344,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", threshold: float
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              [*b.schema.names, "score", "predicted"])
 
-    spec = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in base.schema.fields)
-    return base.mapInArrow(run, spec + "score double, predicted int")
+    return base.mapInArrow(run, plus(base, "score double, predicted int"))
 
 
 def op6_toxicity(spark, folder: str) -> DataFrame:
