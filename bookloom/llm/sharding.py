@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bookloom.llm.ordered import Ordered
 from bookloom.session import cut_lineage
 
-#: summary rows that the driver gets in one step of the search, whatever the size of the table
+#: summary rows that the driver gets in one step of the search, whatever the size of the table; at least 4 * shards * shards, as what
+#: is open about the k-th cut is k times what is open about the capacity
 CELLS = 16_384
 
 
@@ -49,20 +50,19 @@ def _smallest(low: int, high: int, shards: int, total: int, floor) -> int:
     return low
 
 
-def _looked_up(groups: DataFrame, ends: Ends, regions: list[tuple[int, int]]) -> Ends:
+def _looked_up(groups: DataFrame, ends: Ends, regions: list[tuple[int, int]], cells: int) -> Ends:
     """Replace what is known of some regions, at the borders of which no gap is cut, by a finer look."""
-    per = max(1, CELLS // len(regions))
+    per = max(4, cells // len(regions))
     cell = F.lit(None).cast("long")
     for i, (low, high) in enumerate(regions):
         width = -(-(high - low) // per)
         cell = F.when((F.col("end") > low) & (F.col("end") <= high),
                       F.lit(i * per) + F.expr(f"(end - {low} - 1) div {width}")).otherwise(cell)
     found = (groups.select("end", cell.alias("cell")).where("cell is not null").groupBy("cell")
-             .agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n")).collect())  # CELLS rows at most
-    known = {x for x in ends.known if not any(a < x <= b for a, b in regions)}
-    known |= {x for r in found for x in (r.a, r.b)}
+             .agg(F.min("end").alias("a"), F.max("end").alias("b"), F.count(F.lit(1)).alias("n")).collect())  # as many rows as cells at most
+    known = {0, *ends.known, *(x for r in found for x in (r.a, r.b))}  # what is known stays, so a capacity that fits goes on to fit
     gaps = [g for g in ends.gaps if not any(a <= g[0] and g[1] <= b for a, b in regions)]
-    return Ends(sorted(known | {0}), sorted(gaps + [(r.a, r.b) for r in found if r.n > 2]))
+    return Ends(sorted(known), sorted(gaps + [(r.a, r.b) for r in found if r.n > 2]))
 
 
 def _minimax(groups: DataFrame, total: int, shards: int, largest: int, start: int = 0) -> list[int]:
@@ -72,7 +72,7 @@ def _minimax(groups: DataFrame, total: int, shards: int, largest: int, start: in
     regions = [(0, total)]
     low, high = max(largest, -(-total // shards)), total
     while True:
-        ends = _looked_up(shifted, ends, regions)
+        ends = _looked_up(shifted, ends, regions, max(CELLS, 4 * shards * shards))
         high = _smallest(low, high, shards, total, ends.sure)
         low = _smallest(low, high, shards, total, ends.hoped)
         if low == high:
