@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bookloom.llm.graph import components
+from bookloom.llm.ordered import Ordered
 from bookloom.llm.words import BLANK_SEPARATED, Words, hashed, mix, sliced
 from bookloom.session import cut_lineage
 
@@ -17,6 +18,8 @@ from bookloom.session import cut_lineage
 ROWS = 3
 #: chance that a pair right at the threshold meets in no table
 MISS = 5e-5
+#: texts that are compared with as many others in one task
+BLOCK = 256
 #: ids that are sent to all tasks to pick texts; more are joined by a shuffle
 SENT_IDS = 1_000_000
 
@@ -113,6 +116,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: i
     return pairs.select("a", "b").join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _across(tables: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the components of tables that still hold several.
+
+    Texts that meet in such tables, directly or over others, are laid side by side and cut into blocks of BLOCK texts. Blocks that
+    share a table are compared in one task, all texts of a family with all others, as a product of two matrices; so pairs are never
+    rows, and of the links between two components one is returned.
+    """
+    labelled = tables.join(comp.withColumnRenamed("comp", "_c"), "id", "left").select(
+        "key", "id", F.coalesce("_c", "id").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"),
+                                        F.min("id").alias("head")).where("x <> y and c > 2").select("key", "head")
+    rest = cut_lineage(labelled.join(mixed, "key"))
+    family = components(rest.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    members = rest.select("id", "comp").distinct().join(family.select("id", F.col("comp").alias("fam")), "id")
+    line = Ordered(members, [], [F.col("fam").asc(), F.col("id").asc()]).add("_n", F.lit(1)).done()
+    line = cut_lineage(line.select("id", "comp", "fam", F.expr(f"(_n - 1) div {BLOCK}").alias("block")))
+    held = rest.select("key", "id").join(line.select("id", "block"), "id").select("key", "block").distinct()
+    left, right = held.toDF("key", "p"), held.toDF("key", "q")
+    pairs = left.join(right, "key").where("p <= q").select("p", "q").distinct()  # blocks of a table are neighbours
+    full = cut_lineage(line.join(texts, "id"))
+    sides = pairs.select("p", "q", F.col("p").alias("block")).union(pairs.where("p < q").select("p", "q", F.col("q").alias("block")))
+
+    def compare(t: pa.Table) -> pa.Table:
+        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
+        block, fam, of, ids = (t.column(c).to_numpy() for c in ("block", "fam", "comp", "id"))
+        sets = list(shingle_sets(hashed(t.column("t"), BLANK_SEPARATED, lower=True), shingle))
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for f in np.unique(fam):
+            x, y = np.flatnonzero((fam == f) & (block == p)), np.flatnonzero((fam == f) & (block == q))
+            if not len(x) or not len(y):
+                continue
+            nx, ny = np.array([len(sets[i]) for i in x]), np.array([len(sets[i]) for i in y])
+            both = _shared([sets[i] for i in x], [sets[i] for i in y])
+            near = (den * both >= num * (nx[:, None] + ny[None, :] - both)) & (of[x][:, None] != of[y][None, :])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                a, b = int(x[i]), int(y[j])
+                out.setdefault((min(of[a], of[b]), max(of[a], of[b])), (int(ids[a]), int(ids[b])))
+        return pa.table({"a": pa.array([v[0] for v in out.values()], pa.int64()), "b": pa.array([v[1] for v in out.values()], pa.int64())})
+
+    return sides.join(full, "block").groupBy("p", "q").applyInArrow(compare, "a long, b long")
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, a stretch of the shingles at a time."""
+    hx, hy = np.concatenate(x), np.concatenate(y)
+    common = np.intersect1d(hx, hy)
+    out = np.zeros((len(x), len(y)), np.int64)
+    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    cx, cy = np.searchsorted(common, hx), np.searchsorted(common, hy)
+    if len(common):
+        okx, oky = common[np.minimum(cx, len(common) - 1)] == hx, common[np.minimum(cy, len(common) - 1)] == hy
+        rx, cx, ry, cy = rx[okx], cx[okx], ry[oky], cy[oky]
+    for low in range(0, len(common), 4096):
+        mx, my = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        ix, iy = (cx >= low) & (cx < low + 4096), (cy >= low) & (cy < low + 4096)
+        mx[rx[ix], cx[ix] - low] = 1
+        my[ry[iy], cy[iy] - low] = 1
+        out += np.rint(mx @ my.T).astype(np.int64)
+    return out
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5,
                     similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row per row of docs.
@@ -120,9 +184,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     Texts (A-Z as a-z) are sets of word shingles; two are linked if their sets' Jaccard similarity reaches the given fraction,
     and component_id is the smallest id that links lead to. Equal sets count as one node from the start, so copies cost
     nothing later. Every node gets two collections of m hashes of three minhash values each; the m * m tables are keyed by pairs of
-    hashes, which takes 6 * m minhash values instead of 6 * m * m. In each table all are compared with the best connected member; tables
-    that still hold several components after that are compared in full, without the pairs that were compared
-    before. So each pair of texts that meet in a table is either verified on whole sets or connected by verified links.
+    hashes, which takes 6 * m minhash values instead of 6 * m * m. In each table all are compared with the best connected member; in tables
+    that still hold several components after that, all members are compared in blocks. So each pair of texts that meet in a table is either verified on whole sets or connected by verified links.
     A pair right at the threshold meets in no table with a chance under 5e-5.
 
     A null, empty or wordless text has no shingles and no links. A row without id has no component (null) and links
@@ -146,17 +209,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     texts = cut_lineage(texts.groupBy("id").agg(F.min("t").alias("t")))
     links = cut_lineage(_verified(tested, texts, shingle, num, den))
     comp = components(links)
-    # tables in which several components are left
-    labelled = tables.join(comp.withColumnRenamed("comp", "_c"), "id", "left").select(
-        "key", "id", F.coalesce("_c", "id").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")) \
-        .where("x <> y and c > 2").select("key")
-    rest = cut_lineage(labelled.join(mixed, "key"))
-    x, y = rest.toDF("key", "p", "cp"), rest.toDF("key", "q", "cq")
-    more = x.join(y, "key").where("cp < cq").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut_lineage(more.join(known, ["a", "b"], "left_anti"))
-    found = cut_lineage(_verified(more, texts, shingle, num, den))
+    found = cut_lineage(_across(tables, comp, texts, shingle, num, den))
     comp = components(links.union(found))
     node = groups.select(F.col("d1").alias("_x"), F.col("d2").alias("_y"), F.col("id").alias("_r")) \
         .join(comp.select(F.col("id").alias("_r"), "comp"), "_r", "left") \
