@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from bookloom.llm.words import Words, hashed, sliced
 from bookloom.session import cut_lineage
@@ -18,8 +18,6 @@ WINDOW = 13
 SEED = 7
 #: ids that are sent to all tasks to pick texts; more are joined by a shuffle
 SENT_IDS = 1_000_000
-#: a seed with more than this share of all seeds is joined apart; the sketch that finds them tracks so many
-HOT_SHARE, TRACKED = 1 / 500, 1024
 
 NONE = hashlib.sha256(b"").hexdigest()
 
@@ -61,33 +59,18 @@ def _seeds(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, "seed long, block long, id long, at long")
 
 
-def _hot(seeds: DataFrame) -> DataFrame:
-    """Seeds with more than HOT_SHARE of the rows: at most TRACKED, found with sketches of fixed size."""
-    parts = seeds.groupBy(F.pmod(F.spark_partition_id(), F.lit(256)).alias("g")).agg(
-        F.expr(f"approx_top_k_accumulate(seed, {TRACKED})").alias("s"), F.count(F.lit(1)).alias("n"))
-    whole = parts.groupBy(F.lit(0).alias("g")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"), F.sum("n").alias("n"))
-    top = whole.selectExpr("n", f"inline(approx_top_k_estimate(s, {TRACKED // 2}))")
-    return cut_lineage(top.where(F.col("count") > F.col("n") * HOT_SHARE).select(F.col("item").alias("seed")))
-
-
 def _matched(seeds: DataFrame) -> DataFrame:
     """(id, at, whole): blocks that an earlier document has (whole), and first blocks whose seed also stands in other blocks.
 
-    Seeds are shuffled once and compared in windows; those with very many rows are aggregated first and joined, which splits them.
+    Counts and first ids are combined before the shuffle, and what they say comes back by sort-merge joins, which split a seed with very
+    many rows; no task needs all rows of a seed.
     """
-    hot = F.broadcast(_hot(seeds))
-    by_seed, by_block = Window.partitionBy("seed"), Window.partitionBy("seed", "block")
-    cold = seeds.join(hot, "seed", "left_anti") \
-        .select("*", F.min("id").over(by_seed).alias("i"), F.max("id").over(by_seed).alias("j"),
-                F.min("block").over(by_seed).alias("x"), F.max("block").over(by_seed).alias("y")) \
-        .where("i < j").select("*", F.min("id").over(by_block).alias("first")) \
-        .select("id", "at", (F.col("id") > F.col("first")).alias("whole"), (F.col("x") < F.col("y")).alias("more"))
-    some = seeds.join(hot, "seed", "left_semi")
-    firsts = some.groupBy("seed", "block").agg(F.min("id").alias("first"))
+    shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed")
+    some = cut_lineage(seeds.join(shared, "seed"))
+    firsts = cut_lineage(some.groupBy("seed", "block").agg(F.min("id").alias("first")))
     several = firsts.groupBy("seed").agg((F.count(F.lit(1)) > 1).alias("more"))
-    warm = some.join(firsts.join(F.broadcast(several), "seed"), ["seed", "block"]) \
-        .select("id", "at", (F.col("id") > F.col("first")).alias("whole"), "more")
-    return cold.union(warm).where("whole or more").select("id", "at", "whole")
+    return some.join(firsts.join(several, "seed"), ["seed", "block"]) \
+        .select("id", "at", (F.col("id") > F.col("first")).alias("whole"), "more").where("whole or more").select("id", "at", "whole")
 
 
 def _picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
