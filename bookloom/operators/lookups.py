@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookloom.functions.text import key_title, nonempty, strip, trim_chars
-from bookloom.operators.scale import first_rows, salted_join
+from bookloom.operators.scale import first_rows, ranked, salted_join
 
 
 def enrich_missing(rows: DataFrame, detail: DataFrame, on: str, fields: Sequence[str], flag: Column) -> DataFrame:
@@ -102,15 +102,18 @@ def volume_cover_match(wanted: DataFrame, volumes: DataFrame, on: str = "work_id
     return first_rows(reduce(DataFrame.unionByName, hits), [on, req], [F.col("tier"), F.col("_len").desc(), F.col("pos")]).drop("_len")
 
 
-def stitch_pages(pages: DataFrame, url: str = "url", text: str = "text", max_pages: int = 40) -> DataFrame:
-    """(chapter_id, pages, text): the pages x.html, x_2.html, ... of a chapter up to the first missing one. The site
-    serves at most `max_pages` pages per chapter, so a chapter is at most that many rows."""
+def page_runs(pages: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
+    """(chapter_id, page, text): the pages x.html, x_2.html, ... of each chapter up to the first missing one, a row per page. Of pages
+    that occur twice the smaller text counts. A chapter may have any number of pages: they are numbered across partitions."""
     name = r"/(\d+)(?:_(\d+))?\.html"
     d = pages.select(F.regexp_extract(url, name, 1).alias("chapter_id"),
                      F.coalesce(nonempty(F.regexp_extract(url, name, 2)).try_cast("int"), F.lit(1)).alias("page"), F.col(text).alias("text"))
-    d = d.where((F.col("chapter_id") != "") & (F.col("page") >= 1) & (F.col("page") <= max_pages))
-    one = d.groupBy("chapter_id", "page").agg(F.min("text").alias("text"))
-    c = one.groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
-    run = F.filter("p", lambda x, i: x["page"] == i + 1)
-    return c.select("chapter_id", F.size(run).alias("pages"), F.array_join(F.transform(run, lambda x: x["text"]), "\n").alias("text")) \
-            .where(F.col("pages") > 0)
+    one = d.where((F.col("chapter_id") != "") & (F.col("page") >= 1)).groupBy("chapter_id", "page").agg(F.min("text").alias("text"))
+    # pages are different numbers from 1 on, so the n-th one is n exactly up to the first gap
+    return ranked(one, ["chapter_id"], [F.col("page")], "_n").where(F.col("page") == F.col("_n")).drop("_n")
+
+
+def stitch_pages(pages: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
+    """(chapter_id, pages, text): page_runs put together, for chapters that fit in a row."""
+    c = page_runs(pages, url, text).groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
+    return c.select("chapter_id", F.size("p").alias("pages"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text"))

@@ -112,21 +112,21 @@ def fuzzy_title_pairs(queries: DataFrame, catalog: DataFrame, min_score: float =
     return pairs
 
 
-def fuzzy_title_join(queries: DataFrame, catalog: DataFrame, min_score: float = 0.60, limit: int = 10,
+def fuzzy_title_join(queries: DataFrame, catalog: DataFrame, min_score: float = 0.60, limit: int | None = None,
                      query_title: str = "query", title: str = "title", pos: str = "pos", simplified=None) -> DataFrame:
-    """For every query row its best `limit` catalog rows (score, then catalog order).
+    """For every query row all catalog rows that reach the score, numbered by score, then catalog order.
 
-    Scoring happens once per distinct title. A title with very many catalog rows contributes only its first `limit`
-    rows, which is all a query can take from it; query rows with the same title share one candidate list. The result
+    Scoring happens once per distinct title, and query rows with the same title share one candidate list. `limit` is for reports
+    of the best titles only: author, cover and source count later, so a list that is to be ranked must not be cut. The result
     keeps the title keys q, qf, c, cf for score_candidates.
     """
     qt = _keyed_titles(queries, query_title, "q", "qf", simplified)
     ct = _keyed_titles(catalog, title, "c", "cf", simplified)
     pairs = fuzzy_title_pairs(qt, ct, min_score)
-    heads = first_rows(catalog, [title], [F.col(pos)], limit).join(ct, title).where(F.col("c") != "")
-    heads = first_rows(heads, ["c", "cf"], [F.col(pos)], limit)
+    heads = (first_rows(catalog, [title], [F.col(pos)], limit) if limit else catalog).join(ct, title).where(F.col("c") != "")
     hits = pairs.join(heads, ["c", "cf"])
-    top = first_rows(hits, ["q", "qf"], [F.col("score").desc(), F.col(pos)], limit, "position")
+    order = [F.col("score").desc(), F.col(pos)]
+    top = first_rows(hits, ["q", "qf"], order, limit, "position") if limit else ranked(hits, ["q", "qf"], order, "position")
     listed = qt.join(top, ["q", "qf"]).withColumn("position", F.col("position") - 1)
     return salted_join(queries, listed, [query_title], "inner")
 
@@ -166,9 +166,6 @@ def id_lookup(refs: DataFrame, catalog: DataFrame, text: str = "text") -> DataFr
 
 # --- ranking ----------------------------------------------------------------------------------------------
 
-RANK_ORDER = ("score desc", "source_rank", "position", "length(title)", "cand_no")
-
-
 def rank_order() -> list[Column]:
     return [F.col("score").desc(), F.col("source_rank"), F.col("position"), F.length("title"), F.col("cand_no")]
 
@@ -180,18 +177,16 @@ def prefix_derivatives(pairs: DataFrame, query: str = "query_id") -> DataFrame:
                 .withColumn("cluster", F.col("derivatives") >= K.DERIVATIVES_MIN)
 
 
-def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "query_id", simplified=None,
-                     structural_only: bool = False) -> DataFrame:
+def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "query_id", simplified=None) -> DataFrame:
     """Scores of (query, candidate) rows with columns query_id, query, author_hint, title, author, cover, source,
-    position, matched_by, cand_no (the title keys q, qf, c, cf are made when missing). `structural_only` skips the ratio for inputs where no pair needs it."""
+    position, matched_by, cand_no (the title keys q, qf, c, cf are made when missing)."""
     d = cands
     for title, norm, folded in (("query", "q", "qf"), ("title", "c", "cf")):
         if norm not in d.columns:
             d = with_keys(d, title, norm, folded, simplified)
     d = cut_lineage(d.withColumn("author", clean_author("author")))  # read twice: for the cluster size and for the scores
     d = d.join(prefix_derivatives(d, query), query, "left")
-    base = (F.coalesce(S.structural_score("q", "qf", "c", "cf"), F.lit(0.0)) if structural_only
-            else S.title_similarity("q", "qf", "c", "cf"))
+    base = S.title_similarity("q", "qf", "c", "cf")
     bare_q, bare_c = (F.regexp_replace(x, K.NON_WORD, "") for x in ("query", "title"))
     suspect = (F.col("cluster") & (F.col("q") != "") & (bare_q == bare_c) & ~F.col("source").isin(*K.TRUSTED_SOURCES))
     lifted = F.coalesce(F.col("matched_by").isin("content", "site"), F.lit(False))
@@ -206,12 +201,11 @@ def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "qu
     hint = F.coalesce("author_hint", F.lit(""))
     d = d.withColumn("_h", norm_title(hint, strip_brackets=False)).withColumn(
         "_a", norm_title("author", strip_brackets=False, normalized=True))
-    similar = (F.coalesce(S.author_similarity_bands("_h", "_a"), F.lit(0.0)) if structural_only
-               else S.author_similarity("_h", "_a"))
+    similar = S.author_similarity("_h", "_a")
     bonus = F.when((hint != "") & (F.col("author") != ""),
-                   0.45 * similar * F.when(F.col("title_score") >= 0.9, 1.0).otherwise(0.5)).otherwise(0.0)
-    score = (F.col("title_score") + bonus + F.when(F.coalesce("cover", F.lit("")) != "", 0.04).otherwise(0.0)
-             + F.when(F.col("author") != "", 0.02).otherwise(0.0) - 0.01 * F.col("source_rank"))
+                   K.AUTHOR_WEIGHT * similar * F.when(F.col("title_score") >= K.AUTHOR_FULL_FROM, 1.0).otherwise(K.AUTHOR_REST)).otherwise(0.0)
+    score = (F.col("title_score") + bonus + F.when(F.coalesce("cover", F.lit("")) != "", K.COVER_WEIGHT).otherwise(0.0)
+             + F.when(F.col("author") != "", K.AUTHOR_KNOWN_WEIGHT).otherwise(0.0) - K.SOURCE_STEP * F.col("source_rank"))
     return d.withColumn("score", F.round(score, 6)).drop("_base", "_h", "_a", "q", "qf", "c", "cf", "cluster")
 
 
@@ -237,7 +231,7 @@ def same_title(scored: DataFrame, query: str = "query_id") -> DataFrame:
             .withColumn("ambiguous", (F.col("rows") > 1) & (F.col("authors") > 1)))
 
 
-def cover_donor(scored: DataFrame, query: str = "query_id", structural_only: bool = False) -> DataFrame:
+def cover_donor(scored: DataFrame, query: str = "query_id") -> DataFrame:
     """Per query whose best row has no cover: cover and source of the first other row that surely is the same book."""
     best = first_rows(scored, [query], rank_order())
     bare = best.where(F.coalesce("cover", F.lit("")) == "").select(
@@ -245,14 +239,13 @@ def cover_donor(scored: DataFrame, query: str = "query_id", structural_only: boo
     others = scored.where((F.coalesce("cover", F.lit("")) != "") & (F.col("title_score") >= 0.90))
     d = others.join(bare, query).where(F.col("cand_no") != F.col("_best"))
     keys = [norm_title(c, strip_brackets=False) for c in ("_ba", "author")]
-    similar = S.author_similarity_bands(*keys) if structural_only else S.author_similarity(*keys)
+    similar = S.author_similarity(*keys)
     both = (F.col("_ba") != "") & (F.coalesce("author", F.lit("")) != "")
-    d = d.where(F.when(both, F.coalesce(similar, F.lit(0.0)) >= 0.85).otherwise(F.col("title_score") >= 0.99))
+    d = d.where(F.when(both, F.coalesce(similar, F.lit(0.0)) >= K.DONOR_AUTHOR).otherwise(F.col("title_score") >= K.DONOR_TITLE))
     return first_rows(d, [query], rank_order()).select(query, F.col("cover").alias("donor_cover"), F.col("source").alias("cover_from"))
 
 
-def resolve(scored: DataFrame, query: str = "query_id", floor: float = K.CONFIDENT, top: int = 8,
-            structural_only: bool = False) -> DataFrame:
+def resolve(scored: DataFrame, query: str = "query_id", floor: float = K.CONFIDENT, top: int = 8) -> DataFrame:
     """One row per query: best (null below the floor, then it is `weak`), same_title (<=5), alternatives (<=top-1),
     ambiguous, cover_from.
 
@@ -270,7 +263,7 @@ def resolve(scored: DataFrame, query: str = "query_id", floor: float = K.CONFIDE
     r = r.withColumn("same_title", F.slice(F.filter("_c", lambda c: c["title_score"] >= K.SAME_TITLE), 1, 5))
     alts = F.filter(F.slice("_c", F.lit(2), F.greatest(F.size("_c"), F.lit(1))), lambda c: c["title_score"] >= K.ALTERNATIVE_MIN)
     authors = F.array_distinct(F.filter(F.transform("same_title", lambda c: c["author"]), lambda a: F.coalesce(a, F.lit("")) != ""))
-    r = (r.join(cover_donor(scored, query, structural_only), query, "left")
+    r = (r.join(cover_donor(scored, query), query, "left")
          .withColumn("_donor", F.col("_ok") & F.col("donor_cover").isNotNull()))
     covered = F.when(F.col("_donor"), F.col("_first").withField("cover", F.col("donor_cover"))).otherwise(F.col("_first"))
     return r.select(

@@ -35,11 +35,8 @@ def split_tiers(df: DataFrame, group: Sequence[str], order: Sequence[Column], ou
 
 
 def board_merge(pages: DataFrame, board: str, page: str, pos: str, book: str, limit: int = 0) -> DataFrame:
-    """Pages of a board in order, each book once, positions renumbered. Every board has its own number of pages."""
-    allowed = F.lit(K.BOARD_PAGES_DEFAULT)
-    for name, n in K.BOARD_PAGES.items():
-        allowed = F.when(F.col(board) == name, F.lit(n)).otherwise(allowed)
-    kept = first_rows(pages.where(F.col(page) <= allowed), [board, book], [F.col(page), F.col(pos)])
+    """Pages of a board in order, each book once, positions renumbered. How many pages are fetched is not its business."""
+    kept = first_rows(pages, [board, book], [F.col(page), F.col(pos)])
     out = ranked(kept, [board], [F.col(page), F.col(pos), F.col(book)], "rank_pos")
     return out.where(F.col("rank_pos") <= limit) if limit else out
 

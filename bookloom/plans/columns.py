@@ -295,12 +295,9 @@ def _(t):
 @query("b36_volume_tag", r"""WITH v AS (SELECT conv_id, list(role || turn ORDER BY turn) AS ns FROM conversations GROUP BY conv_id)
     SELECT conv_id, CASE WHEN len(ns) > 3 THEN '全书' ELSE array_to_string(ns, '+') END AS tag FROM v""")
 def _(t):
-    # at most the first four names can decide the tag
-    from bookloom.operators.scale import first_rows
-    heads = first_rows(t.conversations.select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn")], 4)
-    names = heads.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("v"))
-    return names.select("conv_id", X.volume_tag(F.transform("v", lambda x: F.concat(x["role"], x["turn"].cast("string"))))
-                        .alias("tag"))
+    from bookloom.operators.sections import volume_tags
+    return volume_tags(t.conversations.select("conv_id", "turn", F.concat("role", F.col("turn").cast("string")).alias("name")),
+                       "conv_id", "turn", "name")
 
 
 DISPOSITION = ("CASE p_partkey % 3 WHEN 0 THEN concat('attachment; filename*=UTF-8''''%E3%80%8A', replace(p_name, ' ', '%20'), "

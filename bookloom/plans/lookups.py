@@ -115,7 +115,7 @@ def _(t):
 
 
 @query("d14_stitch_pages", """WITH p AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND turn >= 2 THEN turn + 2 ELSE turn + 1 END AS page, text FROM conversations),
-    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) AS n FROM p WHERE page <= 40)
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY page) AS n FROM p)
     SELECT CAST(conv_id AS VARCHAR) AS chapter_id, CAST(count(*) AS INTEGER) AS pages, string_agg(text, chr(10) ORDER BY page) AS text FROM n WHERE n = page GROUP BY conv_id""")
 def _(t):
     pages = t.conversations.selectExpr(

@@ -13,7 +13,9 @@ from bookloom.session import cut_lineage
 CAT_TITLE = "CASE p_partkey % 2 WHEN 0 THEN p_name ELSE concat(p_name, ' ', lower(p_type)) END"
 CAT_COVER = "CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('c', p_partkey) END"
 CAT_SOURCE = "CASE p_partkey % 4 WHEN 0 THEN 'weread' WHEN 1 THEN 'jjwxc' WHEN 2 THEN 'bilinovel' ELSE 'fanqie' END"
-HINT = "CASE query_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Brand' ELSE concat('Brand#', query_id % 25 + 1) END"
+# authors of different brands share no character, so their ratio is 0 in SQL as well; hints are empty, contained or equal ones
+CAT_AUTHOR = "repeat(chr(96 + CAST(substr(p_brand, 7) AS INT)), 4)"
+HINT = "CASE query_id % 3 WHEN 0 THEN '' WHEN 1 THEN repeat(chr(CAST(97 + query_id % 25 AS INT)), 2) ELSE repeat(chr(CAST(97 + query_id % 25 AS INT)), 4) END"
 PRIORITY = ("weread", "bilinovel", "jjwxc")
 FLOOR = 0.72
 
@@ -24,18 +26,18 @@ def requests(t):
 
 
 def catalog(t):
-    return t.part.select(F.col("p_partkey").alias("pos"), F.expr(CAT_TITLE).alias("title"), F.col("p_brand").alias("author"),
+    return t.part.select(F.col("p_partkey").alias("pos"), F.expr(CAT_TITLE).alias("title"), F.expr(CAT_AUTHOR).alias("author"),
                          F.expr(CAT_COVER).alias("cover"), F.expr(CAT_SOURCE).alias("source"))
 
 
-def found(t, limit=20):
-    d = M.fuzzy_title_join(requests(t), catalog(t), FLOOR, limit)
+def found(t):
+    d = M.fuzzy_title_join(requests(t), catalog(t), FLOOR)
     return (d.withColumn("author_hint", F.expr(HINT)).withColumnRenamed("score", "pair_score")
             .withColumn("matched_by", F.when(F.col("position") == 3, "site")).withColumnRenamed("pos", "cand_no"))
 
 
 def scored(t):
-    return M.score_candidates(found(t), PRIORITY, structural_only=True)
+    return M.score_candidates(found(t), PRIORITY)
 
 
 def structural(q, qf, c, cf):
@@ -47,16 +49,16 @@ def structural(q, qf, c, cf):
 
 BASE = f"""req AS MATERIALIZED (SELECT c_custkey AS query_id, {S.MESSY_TITLE} AS query FROM customer JOIN part ON c_custkey = p_partkey),
     rk AS MATERIALIZED (SELECT *, {S.norm_title('query')} AS q, {S.norm_title('query', fold=True)} AS qf FROM req),
-    cat AS MATERIALIZED (SELECT p_partkey AS pos, {CAT_TITLE} AS title, p_brand AS author, {CAT_COVER} AS cover, {CAT_SOURCE} AS source FROM part),
+    cat AS MATERIALIZED (SELECT p_partkey AS pos, {CAT_TITLE} AS title, {CAT_AUTHOR} AS author, {CAT_COVER} AS cover, {CAT_SOURCE} AS source FROM part),
     ck AS MATERIALIZED (SELECT *, {S.norm_title('title')} AS c, {S.norm_title('title', fold=True)} AS cf FROM cat),
     pairs AS MATERIALIZED (SELECT *, CAST({structural('q', 'qf', 'c', 'cf')} AS DOUBLE) AS score FROM (SELECT DISTINCT q, qf FROM rk), (SELECT DISTINCT c, cf FROM ck))"""
 HITS = BASE + """, hits AS MATERIALIZED (SELECT q, qf, score, pos, title, author, cover, source,
       row_number() OVER (PARTITION BY q, qf ORDER BY score DESC, pos) - 1 AS position FROM pairs JOIN ck USING (c, cf) WHERE score >= 0.72),
-    top20 AS MATERIALIZED (SELECT rk.query_id, query, hits.* FROM rk JOIN hits USING (q, qf) WHERE position < 20)"""
+    met AS MATERIALIZED (SELECT rk.query_id, query, hits.* FROM rk JOIN hits USING (q, qf))"""
 AUTHOR_KEY = S.norm_title("author", brackets=False)
 HINT_KEY = S.norm_title("hint", brackets=False)
 SCORED = HITS + f""", s1 AS (SELECT *, {HINT} AS hint, {S.norm_title('title')} AS c,
-      CASE WHEN position = 3 THEN 'site' END AS matched_by, CASE source WHEN 'weread' THEN 0 WHEN 'bilinovel' THEN 1 WHEN 'jjwxc' THEN 2 ELSE 3 END AS source_rank FROM top20),
+      CASE WHEN position = 3 THEN 'site' END AS matched_by, CASE source WHEN 'weread' THEN 0 WHEN 'bilinovel' THEN 1 WHEN 'jjwxc' THEN 2 ELSE 3 END AS source_rank FROM met),
     s2 AS (SELECT *, sum(CASE WHEN q <> '' AND c <> q AND starts_with(c, q) THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS derivatives,
       {AUTHOR_KEY} AS ak, {HINT_KEY} AS hk FROM s1),
     s3 AS (SELECT *, matched_by IS NULL AND derivatives >= 3 AND q <> '' AND {S.bare('query')} = {S.bare('title')}
@@ -74,9 +76,9 @@ def _(t):
     return M.exact_title_lookup(requests(t), catalog(t)).select("query_id", "query", "pos", "title", "author")
 
 
-@query("d2_fuzzy_title_join", f"WITH {HITS} SELECT query_id, pos, title, position, round(score, 6) AS score FROM top20 WHERE position < 10")
+@query("d2_fuzzy_title_join", f"WITH {HITS} SELECT query_id, pos, title, position, round(score, 6) AS score FROM met")
 def _(t):
-    return M.fuzzy_title_join(requests(t), catalog(t), FLOOR, 10).select(
+    return M.fuzzy_title_join(requests(t), catalog(t), FLOOR).select(
         "query_id", "pos", "title", F.col("position").cast("long").alias("position"), F.round("score", 6).alias("score"))
 
 
@@ -107,7 +109,7 @@ CLEAN_HITS = HITS.replace(S.norm_title("query", fold=True), S.norm_title("clean"
                  .replace("AS qf FROM req)", f"AS qf FROM (SELECT *, {CLEANED} AS clean FROM req))")
 
 
-@query("d3_lookup_with_retry", f"WITH {CLEAN_HITS} SELECT query_id, query, pos FROM top20 WHERE position < 1")
+@query("d3_lookup_with_retry", f"WITH {CLEAN_HITS} SELECT query_id, query, pos FROM met WHERE position < 1")
 def _(t):
     return M.lookup_with_retry(requests(t), catalog(t), "query_id", min_score=FLOOR, limit=1).select("query_id", "query", "pos")
 
@@ -118,13 +120,13 @@ def _(t):
     return M.fuzzy_title_pairs(q, c, 0.72).withColumn("score", F.round("score", 6))
 
 
-@query("g2_author_similarity", f"""SELECT query_id, CASE WHEN hk = '' OR ak = '' THEN 0.0::DOUBLE WHEN hk = ak THEN 1.0 WHEN contains(hk, ak) OR contains(ak, hk) THEN 0.8 END AS band
-    FROM (SELECT query_id, {HINT_KEY} AS hk, {AUTHOR_KEY} AS ak FROM (SELECT p_partkey AS query_id, p_brand AS author, {HINT.replace('query_id', 'p_partkey')} AS hint FROM part))""")
+@query("g2_author_similarity", f"""SELECT query_id, CASE WHEN hk = '' OR ak = '' THEN 0.0::DOUBLE WHEN hk = ak THEN 1.0 WHEN contains(hk, ak) OR contains(ak, hk) THEN 0.8 ELSE 0.0 END AS band
+    FROM (SELECT query_id, {HINT_KEY} AS hk, {AUTHOR_KEY} AS ak FROM (SELECT p_partkey AS query_id, {CAT_AUTHOR} AS author, {HINT.replace('query_id', 'p_partkey')} AS hint FROM part))""")
 def _(t):
     from bookloom.functions.text import norm_title
-    d = t.part.select(F.col("p_partkey").alias("query_id"), "p_brand")
-    return d.select("query_id", Sim.author_similarity_bands(norm_title(F.expr(HINT), strip_brackets=False),
-                                                            norm_title("p_brand", strip_brackets=False)).alias("band"))
+    d = t.part.select(F.col("p_partkey").alias("query_id"), F.expr(CAT_AUTHOR).alias("author"))
+    return d.select("query_id", Sim.author_similarity(norm_title(F.expr(HINT), strip_brackets=False),
+                                                      norm_title("author", strip_brackets=False)).alias("band"))
 
 
 DL = {"q": S.key_title("p_name"), "c": S.key_title("cand")}
@@ -143,7 +145,7 @@ def _(t):
 
 @query("g4_rank_candidates", f"WITH {SCORED} SELECT query_id, cand_no, title, source, rank, fanfic_suspect, round(title_score, 6) AS title_score, score FROM ranked")
 def _(t):
-    d = M.rank_candidates(found(t), PRIORITY, structural_only=True)
+    d = M.rank_candidates(found(t), PRIORITY)
     return d.select("query_id", "cand_no", "title", "source", "rank", "fanfic_suspect", F.round("title_score", 6).alias("title_score"), "score")
 
 
@@ -169,7 +171,7 @@ DONOR = """best AS (SELECT * FROM ranked WHERE rank = 1), don AS (SELECT r.query
 
 @query("d12_cover_donor", f"WITH {SCORED}, {DONOR} SELECT * FROM don")
 def _(t):
-    return M.cover_donor(scored(t), structural_only=True)
+    return M.cover_donor(scored(t))
 
 
 RESOLVED = f"""{SCORED}, {SAME}, {DONOR}, alt AS (SELECT query_id, string_agg(title || '/' || author, ';' ORDER BY rank) AS alternatives FROM (
@@ -187,7 +189,7 @@ def names(c):
     CASE WHEN ok THEN cover END AS cover, CASE WHEN ok THEN score END AS score, CASE WHEN NOT ok THEN title END AS weak, ok AND amb AS ambiguous,
     CASE WHEN ok THEN cover_from END AS cover_from, same_titles, CASE WHEN ok THEN alternatives ELSE '' END AS alternatives FROM res""")
 def _(t):
-    r = M.resolve(scored(t), floor=0.92, structural_only=True)
+    r = M.resolve(scored(t), floor=0.92)
     return r.select("query_id", "best.title", "best.author", "best.cover", "best.score", F.col("weak.title").alias("weak"), "ambiguous",
                     "cover_from", names("same_title").alias("same_titles"), names("alternatives").alias("alternatives"))
 
@@ -196,8 +198,7 @@ def _(t):
 def two_rounds(t):
     s = cut_lineage(scored(t))
     return M.two_round_resolve(requests(t), s.where("source <> 'bilinovel'"),
-                               lambda rest: s.where("source = 'bilinovel'").join(rest.select("query_id"), "query_id", "left_semi"),
-                               structural_only=True)
+                               lambda rest: s.where("source = 'bilinovel'").join(rest.select("query_id"), "query_id", "left_semi"))
 
 
 def _round(n, op):
@@ -230,7 +231,7 @@ def _(t):
       CASE WHEN NOT ok OR ({HINT.replace('query_id', 'res.query_id')} <> '' AND hit.title IS NULL) THEN res.title END AS weak
     FROM res LEFT JOIN hit USING (query_id)""")
 def _(t):
-    r = M.resolve(scored(t), floor=0.92, structural_only=True).withColumn("author_hint", F.expr(HINT))
+    r = M.resolve(scored(t), floor=0.92).withColumn("author_hint", F.expr(HINT))
     return M.author_gate(r).select("query_id", "best.title", "best.author", F.col("weak.title").alias("weak"))
 
 
@@ -238,7 +239,7 @@ def _(t):
     CASE WHEN ok AND title_score >= 0.95 THEN author ELSE '' END AS author, CASE WHEN ok AND title_score >= 0.95 THEN cover ELSE '' END AS cover,
     ok AND (title_score < 0.95 OR amb) AS ambiguous, CASE WHEN ok THEN round(title_score, 4) END AS title_match FROM res""")
 def _(t):
-    return M.auto_fill_gate(M.resolve(scored(t), floor=0.92, structural_only=True)).drop("candidates")
+    return M.auto_fill_gate(M.resolve(scored(t), floor=0.92)).drop("candidates")
 
 
 @query("g14_resolve_by_site_order", f"""WITH {SCORED}, o AS (SELECT *, CASE position % 3 WHEN 0 THEN 'site' WHEN 1 THEN 'index' ELSE 'scored' END AS origin FROM scored),

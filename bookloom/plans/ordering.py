@@ -48,7 +48,7 @@ BOARD = "CASE l_suppkey % 2 WHEN 0 THEN 'newhot' ELSE 'monthvisit' END"
 
 
 @query("f7_board_merge", f"""WITH b AS (SELECT {BOARD} AS board, CAST(l_suppkey // 2 AS VARCHAR) || '-' || l_partkey AS book, l_linenumber AS page, l_orderkey AS pos FROM lineitem),
-    f AS (SELECT *, row_number() OVER (PARTITION BY board, book ORDER BY page, pos) AS n FROM b WHERE page <= CASE WHEN board = 'newhot' THEN 3 ELSE 5 END)
+    f AS (SELECT *, row_number() OVER (PARTITION BY board, book ORDER BY page, pos) AS n FROM b)
     SELECT board, book, page, row_number() OVER (PARTITION BY board ORDER BY page, pos, book) AS rank_pos FROM f WHERE n = 1""")
 def _(t):
     b = t.lineitem.selectExpr(f"{BOARD} AS board", "concat(CAST(floor(l_suppkey / 2) AS BIGINT), '-', l_partkey) AS book", "l_linenumber AS page", "l_orderkey AS pos")

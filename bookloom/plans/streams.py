@@ -46,20 +46,30 @@ def _(t):
     return J.read_latest(t.spark, out, "user_id").select("user_id", "tripped", "run")
 
 
-@query("i4_ttl_dedup", """WITH RECURSIVE s AS (SELECT user_id, ts, event_id FROM events), k AS (SELECT user_id, min(ts) AS ts FROM s GROUP BY 1 UNION ALL
+TTL_SQL = """WITH RECURSIVE s AS (SELECT user_id, ts, event_id FROM events), k AS (SELECT user_id, min(ts) AS ts FROM s GROUP BY 1 UNION ALL
       (SELECT k.user_id, min(s.ts) FROM k JOIN s ON s.user_id = k.user_id AND s.ts > k.ts + INTERVAL 7 DAY GROUP BY k.user_id))
-    SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM k""")
+    SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts FROM k"""
+
+
+@query("i4_ttl_dedup", TTL_SQL)
 def _(t):
     d = E.ttl_dedup(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", F.expr("INTERVAL 7 DAYS"), "event_id")
     return d.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
-# the whole table is one micro-batch here, so the watermark never lets a key through a second time
-@query("i4_ttl_dedup_stream", "SELECT DISTINCT user_id FROM events")
+@query("i4_ttl_dedup_stream", TTL_SQL)
 def _(t):
-    out, ck = shared_folder(t, "dedup"), shared_folder(t, "ck")
-    J.dedup_stream(stream(t, "events"), "user_id", "ts", "7 days", out, ck, once=True).awaitTermination()
-    return t.spark.read.parquet(out).select("user_id")
+    out, state, ck, files = (shared_folder(t, n) for n in ("dedup", "dedup-state", "ck", "dedup-in"))
+    events = t.events.select("user_id", "ts", "event_id")
+    # four files in order of time, one micro-batch each
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    part = F.floor((micros - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1))
+    for k in range(4):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(files)
+    feed = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    J.dedup_stream(feed, "user_id", "ts", F.expr("INTERVAL 7 DAYS"), "event_id", out, state, ck, once=True).awaitTermination()
+    return t.spark.read.parquet(out).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 # an add in front for every event but errors; an error deletes the second bookmark

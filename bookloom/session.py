@@ -51,10 +51,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when an input is so small that it arrives in fewer splits than there are cores (a file with a
-    single row group is one task, however many columns of text it holds). Larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

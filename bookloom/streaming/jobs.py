@@ -8,8 +8,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bookloom.operators.events import block_breaker
+from bookloom.operators.events import block_breaker, ttl_dedup
 from bookloom.operators.scale import first_rows
+from bookloom.session import cut_lineage
 
 
 def files_stream(spark: SparkSession, path: str, schema, glob: str | None = None, per_batch: int = 1000) -> DataFrame:
@@ -40,11 +41,31 @@ def read_latest(spark: SparkSession, table: str, key: str) -> DataFrame:
     return first_rows(spark.read.parquet(table), [key], [F.col("batch_id").desc()]).drop("batch_id")
 
 
-def dedup_stream(events: DataFrame, key: str, ts: str, ttl: str, table: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Suppress a key within the time to live after its first event. State lives until the watermark passes it, so a key may
-    stay suppressed a little longer than ttl when events come late."""
-    d = events.withColumn(ts, F.to_timestamp(ts)).withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
-    return _start(d, "append", _write_batch(table), checkpoint, once)
+def _newest(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
+    """The state that the last batch before this one left; older ones are not read."""
+    if batch_id == 0:
+        return None
+    old = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
+    last = old.agg(F.max("batch_id")).first()[0]  # folder names only
+    return None if last is None else old.where(F.col("batch_id") == last).drop("batch_id")
+
+
+def dedup_stream(events: DataFrame, key: str, ts: str, ttl: Column, tie: str, table: str, state: str, checkpoint: str,
+                 once: bool = False) -> StreamingQuery:
+    """Keep an event when no kept event of its key is younger than ttl, over micro-batches. The state is the last kept event of each
+    key, written whole per batch; events of a key come in order of time from batch to batch."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        carry = _newest(batch.sparkSession, state, batch_id)
+        ahead = batch
+        if carry is not None:
+            last = carry.select(F.col(key).alias("_k"), F.col(ts).alias("_last"))
+            ahead = batch.join(last, F.col(key) == F.col("_k"), "left") \
+                .where(F.col("_last").isNull() | (F.col(ts) > F.col("_last") + ttl)).select(batch.columns)
+        kept = cut_lineage(ttl_dedup(ahead, key, ts, ttl, tie))
+        kept.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        ends = kept.select(key, ts) if carry is None else kept.select(key, ts).unionByName(carry)
+        ends.groupBy(key).agg(F.max(ts).alias(ts)).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+    return _start(events, "append", sink, checkpoint, once)
 
 
 def breaker_stream(events: DataFrame, source: str, order: Sequence[Column], blocked: Column, table: str, checkpoint: str,
@@ -52,11 +73,8 @@ def breaker_stream(events: DataFrame, source: str, order: Sequence[Column], bloc
     """Block breaker over micro-batches: the state per source is the last run of blocked answers and the sticky flag. A batch
     is reduced with the distributed batch operator and continues the newest earlier state."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        carry = None
-        if batch_id > 0:
-            old = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
-            carry = first_rows(old, [source], [F.col("batch_id").desc()]).select(source, "run", "tripped")
+        carry = _newest(batch.sparkSession, table, batch_id)
+        carry = carry.select(source, "run", "tripped") if carry is not None else None
         block_breaker(batch, source, order, blocked, limit, carry).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
     return _start(events, "append", sink, checkpoint, once)
 
