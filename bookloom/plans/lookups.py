@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from bookloom import constants as K
 from bookloom.operators import library, lookups as L
 from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query

@@ -216,7 +216,23 @@ def _(t):
     return two_rounds(t).select("query_id", "best.title", "best.source", F.col("weak.title").alias("weak"), "ambiguous")
 
 
-@query("g6_two_round_candidates")
+def _lists(n):
+    rows = "coalesce(list(title || '/' || author ORDER BY k) FILTER (WHERE {}), [])"
+    return f"""l{n} AS (SELECT query_id, max(CASE WHEN k = 1 THEN title_score END) AS x{n}, {rows.format('k = 1 AND title_score >= 0.85')} AS b{n},
+      {rows.format('title_score >= 0.97 AND j <= 5')} AS s{n}, CASE WHEN max(CASE WHEN k = 1 THEN title_score END) >= 0.85
+      THEN {rows.format('k > 1 AND title_score >= 0.55')}[1:7] ELSE [] END AS a{n} FROM w{n} GROUP BY 1)"""
+
+
+def _fresh(have, more):
+    return f"list_filter({more}, lambda v, i: NOT list_contains({have}, v) AND list_position({more}, v) = i)"
+
+
+@query("g6_two_round_candidates", f"""WITH {SCORED}, {_round(1, '<>')}, {_round(2, '=')}, {_lists(1)}, {_lists(2)},
+    m AS (SELECT query_id, coalesce(x1, 0) >= 0.95 AS sure, coalesce(x1, 0) < 0.95 AND (coalesce(x2, 0) >= 0.95 OR x1 IS NULL) AS two,
+      {', '.join(f'coalesce({c}{n}, []) AS {c}{n}' for n in (1, 2) for c in 'bsa')} FROM req LEFT JOIN l1 USING (query_id) LEFT JOIN l2 USING (query_id)),
+    o AS (SELECT *, list_concat(b1, s1) AS h1, list_concat(list_concat(b1, s1), a1) AS p1, list_concat(b2, s2) AS h2, list_concat(list_concat(b2, s2), a2) AS p2 FROM m)
+    SELECT query_id, array_to_string(CASE WHEN sure THEN s1 WHEN two THEN list_concat(s2, {_fresh('h2', 'p1')}) ELSE list_concat(s1, {_fresh('h1', 'p2')}) END, ';') AS same_titles,
+      array_to_string(CASE WHEN two THEN a2 ELSE a1 END, ';') AS alternatives FROM o""")
 def _(t):
     return two_rounds(t).select("query_id", names("same_title").alias("same_titles"), names("alternatives").alias("alternatives"))
 
