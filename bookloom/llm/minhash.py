@@ -128,7 +128,10 @@ def _across(tables: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int,
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c"),
                                         F.min("id").alias("head")).where("x <> y and c > 2").select("key", "head")
     rest = cut_lineage(labelled.join(mixed, "key"))
-    family = components(rest.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct())
+    # a text is tied to one head, and that one to the heads of all its tables: few links, the same families
+    tied = rest.groupBy("id").agg(F.min("head").alias("one"))
+    heads = rest.join(tied, "id").select(F.col("head").alias("a"), F.col("one").alias("b")).distinct()
+    family = components(heads.union(tied.select("id", "one")))
     members = rest.select("id", "comp").distinct().join(family.select("id", F.col("comp").alias("fam")), "id")
     line = Ordered(members, [], [F.col("fam").asc(), F.col("id").asc()]).add("_n", F.lit(1)).done()
     line = cut_lineage(line.select("id", "comp", "fam", F.expr(f"(_n - 1) div {BLOCK}").alias("block")))
