@@ -18,7 +18,7 @@ _U = np.uint64
 _STEP = _U(0xA24BAED4963EE407)
 _BACK = _U(pow(0xA24BAED4963EE407, -1, 1 << 64))
 #: bytes of text that are worked on together
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def _table(outside: list[tuple[int, int]]) -> np.ndarray:
