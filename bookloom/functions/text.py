@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, SparkSession, functions as F
 
 from bookloom import constants as K
-from bookloom.functions.pyudf import nfkc
+from bookloom.functions import pyudf
 
 BLANK = r"[\s　]"
 
@@ -318,6 +318,12 @@ def decode_url_escapes(c) -> Column:
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
+def nfkc(c) -> Column:
+    """Compatibility form; ASCII is its own and stays in the JVM."""
+    c, other = _c(c), r"[^\x00-\x7F]"
+    return F.when(c.rlike(other), pyudf.nfkc(F.when(c.rlike(other), c))).otherwise(c)
+
+
 def abs_url(c, base=None) -> Column:
     url = decode_url_escapes(F.trim(F.coalesce(_c(c), F.lit(""))))
     root = F.rtrim(_c(base), F.lit("/")) if base is not None else F.lit("")
@@ -326,6 +332,21 @@ def abs_url(c, base=None) -> Column:
             .when(url.startswith("/") & (root != ""), F.concat(root, url)).otherwise(url))
 
 
+def resolve_url(base, href) -> Column:
+    """href as seen from the page `base`. Plain addresses, rooted paths and paths below the page's folder are put together
+    in the JVM; dot segments, empty segments, fragments and the like go to the helper."""
+    b, h = _c(base), _c(href)
+    site, path, ask = r"^https?://[\w.-]+(?::\d+)?/", r"[\w~%=,+./-]*", r'(?:\?[!-"$-~]+)?$'
+    odd = r"[^:]//|/\."
+    page = b.rlike(site + path + "$") & ~b.rlike(odd)
+    whole, rooted = h.rlike(site + path + ask), h.rlike("^/" + path + ask)
+    below = h.rlike(r"^[\w~%=,+-]" + path + ask)
+    sure = page & (whole | rooted | below) & ~h.rlike(odd) & ~h.startswith("//")
+    plain = (F.when(whole, h).when(rooted, F.concat(F.regexp_extract(b, "^https?://[^/]+", 0), h))
+             .otherwise(F.concat(F.regexp_extract(b, "^.*/", 0), h)))
+    return F.when(sure, plain).otherwise(pyudf.join_url(F.when(~sure, b), h))
+
+
 def cover_variants(c) -> Column:
     """The same cover in other sizes, largest first; [url] when the name carries no size prefix."""
     url = F.coalesce(_c(c), F.lit(""))

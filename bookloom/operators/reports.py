@@ -88,17 +88,19 @@ def transfer_report(lines: DataFrame, log: str = "log_id", file: str = "file_no"
 
 def toc_tree_flatten(nodes: DataFrame, node: str = "node", parent: str = "parent", ordinal: str = "ordinal") -> DataFrame:
     """Pre-order rows of a tree: depth, path of ordinals, has_children, position. One join per level, until a level is
-    empty; each level is kept so that no level is computed twice."""
+    empty; each level is kept so that no level is computed twice. A node that occurs on its own path again is not followed."""
     edges = nodes.select(*[F.col(c).alias(c) for c in nodes.columns])
-    level = cut_lineage(nodes.where(F.col(parent).isNull()).withColumn("depth", F.lit(0)).withColumn("path", F.array(F.col(ordinal))))
+    level = cut_lineage(nodes.where(F.col(parent).isNull()).withColumn("depth", F.lit(0)).withColumn("path", F.array(F.col(ordinal)))
+                        .withColumn("_on", F.array(F.col(node))))
     out = level
     while not level.isEmpty():
-        up = level.select(F.col(node).alias("_up"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
-        level = cut_lineage(edges.join(up, F.col(parent) == F.col("_up")).withColumn("depth", F.col("_d") + 1)
-                            .withColumn("path", F.concat("_p", F.array(F.col(ordinal)))).drop("_up", "_d", "_p"))
+        up = level.select(F.col(node).alias("_up"), F.col("depth").alias("_d"), F.col("path").alias("_p"), "_on")
+        level = cut_lineage(edges.join(up, F.col(parent) == F.col("_up")).where(~F.array_contains("_on", F.col(node)))
+                            .withColumn("depth", F.col("_d") + 1).withColumn("path", F.concat("_p", F.array(F.col(ordinal))))
+                            .withColumn("_on", F.concat("_on", F.array(F.col(node)))).drop("_up", "_d", "_p"))
         out = out.unionByName(level)
     inner = nodes.where(F.col(parent).isNotNull()).select(F.col(parent).alias(node)).distinct().withColumn("has_children", F.lit(True))
-    flat = out.join(inner, node, "left").fillna(False, ["has_children"])
+    flat = out.drop("_on").join(inner, node, "left").fillna(False, ["has_children"])
     return ranked(flat, [], [F.col("path")], "position")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bookloom import constants as K
 from bookloom.functions import html as H
 from bookloom.functions.lines import drop_title_echo
-from bookloom.functions.pyudf import balanced_div, div_bodies, join_url, nested_objects, page_object
-from bookloom.functions.text import abs_url, nonempty, volume_label
+from bookloom.functions.pyudf import balanced_div, div_bodies, nested_objects, page_object
+from bookloom.functions.text import abs_url, nonempty, resolve_url, volume_label
 from bookloom.operators.scale import first_rows
 
 
@@ -61,7 +61,7 @@ def extract_toc(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     links = F.arrays_zip(F.regexp_extract_all("_scope", F.lit(link), F.lit(1)).alias("href"),
                          F.regexp_extract_all("_scope", F.lit(link), F.lit(2)).alias("label"))
     d = d.select(key, "_page", F.posexplode(links).alias("pos", "l"))
-    d = d.select(key, "_page", "pos", join_url(F.col("_page"), F.col("l.href")).alias("url"), H.inline_text("l.label").alias("name"))
+    d = d.select(key, "_page", "pos", resolve_url("_page", "l.href").alias("url"), H.inline_text("l.label").alias("name"))
     if same_path:
         path = lambda c: F.regexp_extract(c, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
         d = d.where(path("url").startswith(F.regexp_replace(path("_page"), "[^/]*$", "")))
@@ -94,9 +94,13 @@ def catalog_tree(pages: DataFrame, key: str = "page_id", html: str = "html", bas
     cover = first(r'data-original="([^"]+)"', r'data-src="([^"]+)"', r'<img[^>]+src="([^"]+)"')
     chapter = r'(?is)href="((?:/[^"]*)?/\d+\.html)"[^>]*>(.*?)</a>'
     urls, names = (F.regexp_extract_all("_b", F.lit(chapter), F.lit(g)) for g in (1, 2))
-    chapters = F.zip_with(urls, names, lambda u, n: F.struct(
-        F.coalesce(nonempty(H.unescape_fixed(H.flat_text(n))), F.lit("（无标题）")).alias("title"), F.concat(F.lit(base), u).alias("url")))
-    kept = F.filter(chapters, lambda c, i: F.array_position(F.transform(chapters, lambda x: x["url"]), c["url"]) == i + 1)
+    d = d.withColumn("_links", F.array_sort(F.transform(F.arrays_zip(urls.alias("url"), names.alias("name")),
+                                                        lambda x, i: F.struct(x["url"].alias("url"), i.alias("i"), x["name"].alias("name")))))
+    once = F.filter("_links", lambda x, i: (i == 0) | (F.get("_links", i - 1)["url"] != x["url"]))  # sorted: the first place of each url
+    in_order = F.array_sort(F.transform(once, lambda x: F.struct(x["i"].alias("i"), x["url"].alias("url"), x["name"].alias("name"))))
+    kept = F.transform(in_order, lambda x: F.struct(
+        F.coalesce(nonempty(H.unescape_fixed(H.flat_text(x["name"]))), F.lit("（无标题）")).alias("title"),
+        F.concat(F.lit(base), x["url"]).alias("url")))
     vol = F.regexp_extract("_b", r'href="([^"]*/vol_\d+\.html)"', 1)
     return d.select(key, "title", "author", (F.col("pos") + 1).alias("pos"), volume_label(raw, "title", F.col("pos") + 1).alias("name"),
                     F.when(vol != "", F.concat(F.lit(base), vol)).otherwise("").alias("url"), abs_url(cover, F.lit(base)).alias("cover"),

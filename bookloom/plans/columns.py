@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from bookloom import constants as K
 from bookloom.functions import html as H, text as X
-from bookloom.functions.pyudf import join_url, phrase_convert, unescape_all
+from bookloom.functions.pyudf import phrase_convert, unescape_all
 from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query
 
@@ -160,7 +160,7 @@ def _(t):
     path = F.regexp_replace("url", r"^https?://[^/]+", "")
     return t.pages.select("page_id", X.abs_url("url").alias("absolute"),
                           X.abs_url(path, F.lit("https://host.example/")).alias("rooted"),
-                          join_url(F.col("url"), F.lit("/next.html")).alias("joined"))
+                          X.resolve_url("url", F.lit("/next.html")).alias("joined"))
 
 
 @query("b19_cover_variants", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN concat_ws(' ', concat('https://c/t9_', p_partkey),

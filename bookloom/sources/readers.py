@@ -16,6 +16,8 @@ from bookloom.functions.pyudf import decode_declared, decode_ladder, jpeg_webp_s
 from bookloom.functions.text import media_kind, nonempty, png_gif_size
 from bookloom.operators.segment import read_list
 
+UTF8_MARK, REPLACED = "\ufeff", "\ufffd"
+
 
 def read_text_corpus(spark: SparkSession, path: str, ladder=K.CODEC_LADDER) -> DataFrame:
     """(path, modified, text, encoding, lossy) of every file below path."""
@@ -24,14 +26,26 @@ def read_text_corpus(spark: SparkSession, path: str, ladder=K.CODEC_LADDER) -> D
 
 
 def decode_corpus(raw: DataFrame, content: str = "content", ladder=K.CODEC_LADDER) -> DataFrame:
-    return raw.withColumn("_d", decode_ladder(F.col(content), ladder)).select(
+    """Bytes to text by byte order mark, then the first codec that fits. Valid UTF-8 is settled in the JVM; only other bytes
+    reach the helper."""
+    text = F.col(content).cast("string")
+    marked = text.startswith(UTF8_MARK)
+    sure = F.is_valid_utf8(text) & (marked | F.lit(next(iter(ladder), None) == "utf-8"))
+    plain = F.struct(F.regexp_replace(text, f"^{UTF8_MARK}+", "").alias("text"), F.when(marked, "utf-8-sig").otherwise("utf-8").alias("encoding"),
+                     (marked & text.contains(REPLACED)).alias("lossy"))
+    return raw.withColumn("_d", F.when(sure, plain).otherwise(decode_ladder(F.when(~sure, F.col(content)), ladder))).select(
         *[c for c in raw.columns if c != content], "_d.text", "_d.encoding", "_d.lossy")
 
 
 def decode_strict(raw: DataFrame, content: str, content_type: str) -> DataFrame:
-    """Page bytes to text by the declared charset, UTF-8, GB18030."""
+    """Page bytes to text by the declared charset, UTF-8, GB18030. Pages that are UTF-8, or ASCII, as they say or by default, are
+    settled in the JVM."""
     declared = nonempty(F.lower(F.regexp_extract(content_type, r"(?i)charset=([\w-]+)", 1)))
-    return raw.withColumn("_d", decode_declared(F.col(content), declared)).select(
+    text = F.col(content).cast("string")
+    fits = declared.isNull() | declared.isin("utf-8", "utf8") | (declared.isin("ascii", "us-ascii") & ~text.rlike(r"[^\x00-\x7F]"))
+    sure = F.is_valid_utf8(text) & fits & ~text.contains(REPLACED)
+    plain = F.struct(text.alias("text"), F.coalesce(declared, F.lit("utf-8")).alias("encoding"), F.lit(False).alias("lossy"))
+    return raw.withColumn("_d", F.when(sure, plain).otherwise(decode_declared(F.when(~sure, F.col(content)), declared))).select(
         *[c for c in raw.columns if c != content], "_d.text", "_d.encoding", "_d.lossy")
 
 

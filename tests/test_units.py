@@ -253,3 +253,40 @@ def test_snapshots_expire(spark, tmp_path):
     Wr.snapshot_write(spark.range(4), path, F.lit(200))  # replaces only that time
     read = lambda now, ttl, **kw: Wr.snapshot_read_fresh(spark, path, now, ttl, **kw).count()
     assert (read(210, 10), read(211, 10), read(9999, -1), read(150, 60), read(210, 10, min_rows=5)) == (4, 0, 4, 3, 0)
+
+
+def test_utf8_files_never_reach_the_decoder(spark):
+    text = "中文小说\ufeff，第一章。"
+    raw = [text.encode(), b"\xef\xbb\xbf" * 2 + text.encode(), b"\xef\xbb\xbf\xef\xbf\xbd", b"", None, text.encode("utf-16"), "第一章".encode("gbk"), b"\xef\xbb\xbf\xff",
+           b"\xed\xa0\x80", b"\xf0\x80\x80\x80"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(raw)], "i int, content binary")
+    got = [tuple(r)[1:] for r in R.decode_corpus(df).orderBy("i").collect()]
+    assert got == [tuple(r) if r is not None else (None,) * 3 for r in column(spark, raw, P.decode_ladder, "binary")]
+    pages = spark.createDataFrame([(v, t) for v in raw for t in (None, "", "text/html; charset=UTF-8", "x; charset=ascii", "x; charset=gbk")], "c binary, t string")
+    declared = F.lower(F.regexp_extract("t", "(?i)charset=(.*)", 1))
+    want = pages.select("t", P.decode_declared(F.col("c"), F.when(declared != "", declared)).alias("d")).select("t", "d.*")
+    assert sorted(map(str, R.decode_strict(pages, "c", "t").collect())) == sorted(map(str, want.collect()))
+
+
+def test_resolve_url_is_urljoin(spark):
+    from urllib.parse import urljoin
+    bases = ["https://a.example/b/c.html", "http://a.example", "http://a.example:80/", "https://a.example/b/../c/d", "https://a.example/b/?q=1", "", "x", "http://h://x",
+             "https://a.example//b//c"]
+    hrefs = ["", "/", "x", "x/", "/x.html", "../x", "./x", "x/../y", "//h.example/x", "https://h.example/x?y=http://z", "HTTP://h/x", "?q", "#f", "x#f", "x?y:z", "a:b",
+             "x;p", "/x//y", "/x/.y", "x?", "x?y#z", "书/1.html", "https://h.example", "javascript:void(0)", " x"]
+    df = spark.createDataFrame([(b, h) for b in bases for h in hrefs] + [(None, "x"), (bases[0], None)], "b string, h string")
+    for r in df.select("b", "h", X.resolve_url("b", "h").alias("u")).collect():
+        assert r["u"] == (None if r["b"] is None or r["h"] is None else urljoin(r["b"], r["h"])), r
+
+
+def test_volume_links_once_in_page_order(spark):
+    link = lambda n, name: f'<a href="/novel/1/{n}.html">{name}</a>'
+    page = '<h1>T</h1><div class="volume"><h2 class="v-line">V</h2>' + link(9, "a") + link(2, "b") + link(9, "c") + link(5, "") + link(2, "d") + "</div>"
+    got = W.catalog_tree(spark.createDataFrame([(1, page)], "page_id int, html string"), base="https://h").first()["chapters"]
+    assert [tuple(c) for c in got] == [("a", "https://h/novel/1/9.html"), ("b", "https://h/novel/1/2.html"), ("（无标题）", "https://h/novel/1/5.html")]
+
+
+def test_tree_with_a_cycle_ends(spark):
+    from bookloom.operators.reports import toc_tree_flatten
+    df = spark.createDataFrame([("a", None, 1), ("b", "a", 1), ("a", "b", 1), ("c", "b", 2)], "node string, parent string, ordinal int")
+    assert [(r["node"], r["depth"]) for r in toc_tree_flatten(df).orderBy("position").collect()] == [("a", 0), ("b", 1), ("c", 2)]
