@@ -117,11 +117,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: i
 
 
 def _across(tables: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the components of tables that still hold several.
+    """Pairs (a, b) of components that are linked, of tables that still hold several.
 
     Texts that meet in such tables, directly or over others, are laid side by side and cut into blocks of BLOCK texts. Blocks that
     share a table are compared in one task, all texts of a family with all others, as a product of two matrices; so pairs are never
-    rows, and of the links between two components one is returned.
+    rows, and two components are named once by a pair of blocks.
     """
     labelled = tables.join(comp.withColumnRenamed("comp", "_c"), "id", "left").select(
         "key", "id", F.coalesce("_c", "id").alias("comp"))
@@ -143,9 +143,9 @@ def _across(tables: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int,
 
     def compare(t: pa.Table) -> pa.Table:
         p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        block, fam, of, ids = (t.column(c).to_numpy() for c in ("block", "fam", "comp", "id"))
+        block, fam, of = (t.column(c).to_numpy() for c in ("block", "fam", "comp"))
         sets = list(shingle_sets(hashed(t.column("t"), BLANK_SEPARATED, lower=True), shingle))
-        out: dict[tuple[int, int], tuple[int, int]] = {}
+        out: set[tuple[int, int]] = set()
         for f in np.unique(fam):
             x, y = np.flatnonzero((fam == f) & (block == p)), np.flatnonzero((fam == f) & (block == q))
             if not len(x) or not len(y):
@@ -154,9 +154,9 @@ def _across(tables: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int,
             both = _shared([sets[i] for i in x], [sets[i] for i in y])
             near = (den * both >= num * (nx[:, None] + ny[None, :] - both)) & (of[x][:, None] != of[y][None, :])
             for i, j in zip(*np.nonzero(near), strict=True):
-                a, b = int(x[i]), int(y[j])
-                out.setdefault((min(of[a], of[b]), max(of[a], of[b])), (int(ids[a]), int(ids[b])))
-        return pa.table({"a": pa.array([v[0] for v in out.values()], pa.int64()), "b": pa.array([v[1] for v in out.values()], pa.int64())})
+                a, b = int(of[x[i]]), int(of[y[j]])
+                out.add((min(a, b), max(a, b)))
+        return pa.table({"a": pa.array([v[0] for v in out], pa.int64()), "b": pa.array([v[1] for v in out], pa.int64())})
 
     return sides.join(full, "block").groupBy("p", "q").applyInArrow(compare, "a long, b long")
 
@@ -213,7 +213,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     links = cut_lineage(_verified(tested, texts, shingle, num, den))
     comp = components(links)
     found = cut_lineage(_across(tables, comp, texts, shingle, num, den))
-    comp = components(links.union(found))
+    # only components are linked from here on; a text without links is one of its own
+    joined = components(found)
+    known = comp.union(joined.select("id", F.col("id").alias("comp"))).distinct()
+    comp = cut_lineage(known.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("_top")), "comp", "left")
+                       .select("id", F.coalesce("_top", "comp").alias("comp")))
     node = groups.select(F.col("d1").alias("_x"), F.col("d2").alias("_y"), F.col("id").alias("_r")) \
         .join(comp.select(F.col("id").alias("_r"), "comp"), "_r", "left") \
         .select("_x", "_y", F.coalesce("comp", "_r").alias("comp"))
