@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bookloom.llm.notices import KNOWN
 
-#: steps of the canonical form, in order; both engines of the check read these patterns alike
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: steps of the canonical form, in order. A notice is told by a (c), a sign or a year; a line of running text that only begins with the
+#: word stays, and so does one that is too long for a notice
+COPYRIGHT_LINE = (r"(?m)^[ \t]*((copyright[ \t:,]*(\(c\)|©|[\[{<]?(\d{4}|yyyy|year)\b)|\(c\)[ \t]*(copyright\b|\d{4})|©)[^\n]{0,200}"
+                  r"|all rights reserved[ \t.!]*)$")
+#: notices that belong to licence texts themselves, wherever the lines are broken
+OWN_NOTICE = (r"copyright\s+\(c\)\s+(\d{4},\s+)*\d{4}\s+free\s+software\s+foundation,\s+inc\.,?(\s+<https?://(www\.)?fsf\.org/>)?"
+              r"|copyright\s+(\(c\)\s+)?[\[{<]?(yyyy|year|19yy|19xx)[\]}>]?\s+[\[{<]?(name\s+of\s+(copyright\s+owner|author)|your\s+name)[\]}>]?")
+#: a text without any of these has no notice
+NOTICE_WORDS = ("copyright", "(c)", "©", "all rights reserved")
+#: what OP1_SQL takes for a copyright line; the same for all lines of the check's tables
+SQL_COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 SPELLINGS = (  # equivalent spellings, applied to lower-cased text
     (r"licence", "license"), (r"sub[ -]license", "sublicense"), (r"non[ -]commercial", "noncommercial"), (r"noninfringement", "non infringement"),
     (r"organisation", "organization"), (r"favour", "favor"), (r"merchantibility", "merchantability"), (r"whilst", "while"),
@@ -19,8 +30,10 @@ SENT_ENTRIES = 100_000
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z), without copyright lines, in one spelling, with one blank for all punctuation and white space."""
-    c = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, " ")
+    """Lower case (A-Z), without copyright notices, in one spelling, with one blank for all punctuation and white space."""
+    c = F.translate(text, UPPER, LOWER)
+    some = reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in NOTICE_WORDS])
+    c = F.when(some, F.regexp_replace(F.regexp_replace(c, OWN_NOTICE, " "), COPYRIGHT_LINE, " ")).otherwise(c)
     for pattern, into in SPELLINGS:
         c = F.regexp_replace(c, pattern, into)
     return F.trim(F.regexp_replace(c, PUNCTUATION, " "))
@@ -76,7 +89,7 @@ def op1_license_scan(spark, folder: str) -> DataFrame:
 
 def _sql_canonical(c: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), {quoted(COPYRIGHT_LINE)}, ' ', 'g')"
+    out = f"regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), {quoted(SQL_COPYRIGHT_LINE)}, ' ', 'g')"
     for pattern, into in SPELLINGS:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(into)}, 'g')"
     return f"trim(regexp_replace({out}, {quoted(PUNCTUATION)}, ' ', 'g'))"

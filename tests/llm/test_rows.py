@@ -1,8 +1,11 @@
 """Licence scan, sharding, chat formatting, mixing and media: plain versions, round trips, edge cases."""
 
+import hashlib
 import io
 import itertools
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from bookloom.llm import media, mixing, sharding
 from bookloom.llm.chat import chat_turns
 from bookloom.llm.licenses import known_licenses, license_lines, license_scan
-from bookloom.llm.notices import MIT
+from bookloom.llm.notices import APACHE_HEADER, ISC, MIT, WTFPL
 from bookloom.llm.ordered import XOR, Ordered
 
 
@@ -45,6 +48,29 @@ def test_licences_are_told_in_any_dress(spark):
     assert sorted(map(tuple, license_lines(lines, known_licenses(spark)).collect()), key=str) == [(1, 2, "MIT"), (None, 1, "MIT")]
 
 
+def test_licences_are_told_at_any_width(spark):
+    texts = [("MIT", MIT), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n" + MIT), ("ISC", "ISC License\n\n© 2001-2003, Some One\n\n" + ISC),
+             ("WTFPL", WTFPL), ("Apache-2.0", APACHE_HEADER)]
+    data = []
+    for name, t in texts:
+        parts = [" ".join(p.split()) for p in t.split("\n\n")]
+        data += [(name, w, "\n\n".join(textwrap.fill(p, w, break_long_words=False) for p in parts)) for w in (*range(60, 131), 10_000)]
+    data += [(name, 0, " ".join(t.split())) for name, t in texts if "2020" not in t and "2001" not in t]
+    # words of the clauses count, also where a line begins with them
+    data += [(None, 1, MIT.replace("COPYRIGHT HOLDERS BE LIABLE", "COPYRIGHT HOLDERS NOT BE LIABLE")), (None, 2, MIT + "Copyright " + "words " * 60)]
+    df = spark.createDataFrame(data, "want string, width int, text string")
+    assert [tuple(r) for r in license_scan(df, known_licenses(spark)).where("not want <=> license_id").select("want", "width", "license_id").collect()] == []
+
+
+def test_only_notices_are_cut_from_the_digest(spark):
+    lines = ["Copyright holders be liable", "copyright notice that is included", "(c) You must retain all notices", "All rights reserved to the crown"]
+    gone = ["Copyright (c) 1999 A", "copyright 2001, B", " (C) 2004 C", "© D", "(c) Copyright E", "All rights reserved.", "Copyright [yyyy] [name of copyright owner]"]
+    df = spark.createDataFrame([(x,) for x in lines + gone], "text string")
+    got = {r.text: r.digest for r in license_scan(df, known_licenses(spark)).collect()}
+    assert all(got[x] == hashlib.sha256(" ".join(re.findall("[a-z]+", x.lower())).encode()).hexdigest() for x in lines)
+    assert all(got[x] is None for x in gone)
+
+
 def test_licence_edge_rows(spark):
     out = license_scan(edge_docs(spark), known_licenses(spark))
     assert out.count() == len(rows()) and out.where("license_id is not null").count() == 0
