@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bookloom.llm.notices import KNOWN
+from bookloom.llm.digests import DIGESTS
+from bookloom.llm.notices import BSD, KNOWN
 
 #: steps of the canonical form, in order. A notice is told by a (c), a sign or a year; a line of running text that only begins with the
 #: word stays, and so does one that is too long for a notice
 COPYRIGHT_LINE = (r"(?m)^[ \t]*((copyright[ \t:,]*(\(c\)|©|[\[{<]?(\d{4}|yyyy|year)\b)|\(c\)[ \t]*(copyright\b|\d{4})|©)[^\n]{0,200}"
                   r"|all rights reserved[ \t.!]*)$")
 #: notices that belong to licence texts themselves, wherever the lines are broken
-OWN_NOTICE = (r"copyright\s+\(c\)\s+(\d{4},\s+)*\d{4}\s+free\s+software\s+foundation,\s+inc\.,?(\s+<https?://(www\.)?fsf\.org/>)?"
-              r"|copyright\s+(\(c\)\s+)?[\[{<]?(yyyy|year|19yy|19xx)[\]}>]?\s+[\[{<]?(name\s+of\s+(copyright\s+owner|author)|your\s+name)[\]}>]?")
-#: a text without any of these has no notice
-NOTICE_WORDS = ("copyright", "(c)", "©", "all rights reserved")
+OWN_NOTICE = (r"copyright\s+(\(c\)\s+(\d{4},\s*)*\d{4}\s+free\s+software\s+foundation,\s+inc\.,?(\s+<https?://(www\.)?fsf\.org/>)?"
+              r"|(\(c\)\s+)?[\[{<]?(yyyy|year|19yy|19xx)[\]}>]?\s+[\[{<]?(name\s+of\s+(copyright\s+owner|author)|your\s+name)[\]}>]?)")
 #: what OP1_SQL takes for a copyright line; the same for all lines of the check's tables
 SQL_COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 SPELLINGS = (  # equivalent spellings, applied to lower-cased text
@@ -31,9 +28,7 @@ SENT_ENTRIES = 100_000
 
 def canonical(text: Column) -> Column:
     """Lower case (A-Z), without copyright notices, in one spelling, with one blank for all punctuation and white space."""
-    c = F.translate(text, UPPER, LOWER)
-    some = reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in NOTICE_WORDS])
-    c = F.when(some, F.regexp_replace(F.regexp_replace(c, OWN_NOTICE, " "), COPYRIGHT_LINE, " ")).otherwise(c)
+    c = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), OWN_NOTICE, " "), COPYRIGHT_LINE, " ")
     for pattern, into in SPELLINGS:
         c = F.regexp_replace(c, pattern, into)
     return F.trim(F.regexp_replace(c, PUNCTUATION, " "))
@@ -44,10 +39,14 @@ def digest(text: Column) -> Column:
     return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
 
 
-def known_licenses(spark: SparkSession, entries=KNOWN) -> DataFrame:
-    """(license_id, digest) of known licence texts and notices; a digest of several entries keeps the first id."""
+def known_licenses(spark: SparkSession, entries=KNOWN + BSD, digests=DIGESTS) -> DataFrame:
+    """(license_id, digest) of known licence texts and notices; a digest of several entries keeps the first id.
+
+    Long texts are known by their digests alone, of the canonical form above.
+    """
     df = spark.createDataFrame(list(entries), "license_id string, body string")
-    return df.select("license_id", digest(F.col("body")).alias("digest")).where("digest is not null") \
+    long = spark.createDataFrame(list(digests), "license_id string, digest string")
+    return df.select("license_id", digest(F.col("body")).alias("digest")).where("digest is not null").union(long) \
         .groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 

@@ -39,6 +39,37 @@ TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
 0. You just DO WHAT THE FUCK YOU WANT TO.
 """
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT {holder} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT {holder2} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE.
+"""
+_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+"""
+
+#: (SPDX id, text) of the BSD licences, in the singular and the plural, numbered or not, with their usual headings
+BSD = tuple(
+    (name, head + body)
+    for name, third, heads in (("BSD-2-Clause", "", ("", "BSD 2-Clause License\n\n", 'The 2-Clause BSD License\n\n', 'Simplified BSD License\n\n')),
+                               ("BSD-3-Clause", _THIRD, ("", "BSD 3-Clause License\n\n", "The 3-Clause BSD License\n\n", "New BSD License\n\n")))
+    for holders in (("HOLDERS", "HOLDER"), ("HOLDER", "HOLDER"), ("HOLDERS", "HOLDERS"), ("OWNER", "OWNER"))
+    for full in (_BSD.format(third=third, holder=holders[0], holder2=holders[1]),)
+    for body in (full, full.replace("1. ", "").replace("2. ", "").replace("3. ", ""))
+    for head in heads)
+
 #: (SPDX id, text or one-line notice)
 KNOWN = (
     ("MIT", MIT),

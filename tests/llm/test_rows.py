@@ -7,6 +7,7 @@ import random
 import re
 import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from bookloom.llm import media, mixing, sharding
 from bookloom.llm.chat import chat_turns
 from bookloom.llm.licenses import known_licenses, license_lines, license_scan
-from bookloom.llm.notices import APACHE_HEADER, ISC, MIT, WTFPL
+from bookloom.llm.notices import APACHE_HEADER, BSD, ISC, MIT, WTFPL
 from bookloom.llm.ordered import XOR, Ordered
 
 
@@ -62,6 +63,40 @@ def test_licences_are_told_at_any_width(spark):
     assert [tuple(r) for r in license_scan(df, known_licenses(spark)).where("not want <=> license_id").select("want", "width", "license_id").collect()] == []
 
 
+LONG = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3",
+        "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+        "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+LICENSES = Path("/usr/share/common-licenses")
+END = "END OF TERMS AND CONDITIONS"
+
+
+def long_texts(folder=LICENSES):
+    out = []
+    for file, name in LONG.items():
+        t = (folder / file).read_text("utf-8")
+        parts = [t] + ([t[:t.index(END)], t[:t.index(END)] + END] if END in t else [])
+        out += [(name, p) for p in parts]
+    return out
+
+
+@pytest.mark.skipif(not all((LICENSES / f).exists() for f in LONG), reason="no folder of licence texts")
+def test_whole_licences_are_known(spark):
+    texts = long_texts()
+    data = [(name, "as is", t) for name, t in texts] + [(name, "one line", " ".join(t.split())) for name, t in texts if "Regents" not in t]
+    data += [(name, f"width {w}", "\n\n".join(textwrap.fill(" ".join(p.split()), w, break_long_words=False, break_on_hyphens=False) for p in t.split("\n\n"))) for name, t in texts for w in (66, 72, 80, 100) if "Regents" not in t]
+    data += [(name, "filled", t.replace("[yyyy] [name of copyright owner]", "2021 Some One")) for name, t in texts if name == "Apache-2.0"]
+    data += [(None, "changed", t.lower().replace(" not ", " ", 1)) for name, t in texts]
+    df = spark.createDataFrame(data, "want string, how string, text string")
+    assert [tuple(r) for r in license_scan(df, known_licenses(spark)).where("not want <=> license_id").select("want", "how", "license_id").collect()] == []
+
+
+def test_bsd_texts_are_known(spark):
+    head, body = "Copyright (c) 2015, Some One\nAll rights reserved.\n\n", dict(reversed(BSD))
+    data = [(name, head + t.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")) for name, t in body.items()] + [(name, head + t) for name, t in BSD if not t.startswith(("BSD", "The", "New", "Sim"))]
+    df = spark.createDataFrame(data, "want string, text string")
+    assert license_scan(df, known_licenses(spark)).where("not want <=> license_id").count() == 0
+
+
 def test_only_notices_are_cut_from_the_digest(spark):
     lines = ["Copyright holders be liable", "copyright notice that is included", "(c) You must retain all notices", "All rights reserved to the crown"]
     gone = ["Copyright (c) 1999 A", "copyright 2001, B", " (C) 2004 C", "© D", "(c) Copyright E", "All rights reserved.", "Copyright [yyyy] [name of copyright owner]"]
