@@ -11,8 +11,10 @@ from bookloom.session import cut_lineage
 CAP = 3
 #: weights of the sources in code point order, repeating
 WEIGHTS = (1, 2, 3)
-#: passes that fill what is left of a target with documents that still fit
-FILLS = 4
+#: a source that misses more than this share of its target takes one document too many where that brings it nearer
+MISSED = 0.01
+#: repeated rows that are too heavy for a stretch, sent to all tasks up to this number
+SENT_GROUPS = 1_000_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,13 +42,16 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return line.withColumn("target", F.least(F.col("weight") * share, most.cast("double"))).drop("weight")
 
 
-def plan(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
-    """One row per source: target, whole copies, inclusion odds and the accepted stretches of the sampling order.
+def plan(docs: DataFrame, seed: str = "mix", **kw) -> tuple[DataFrame, DataFrame]:
+    """One row per source: target, whole copies, inclusion odds and the accepted stretches of the sampling order; and the groups
+    of repeated rows that are too heavy for the stretch they lie in.
 
     `docs` has source, size and the random number _u. With ratio r = target / source_size each document is wanted r times:
     floor(r) copies are certain, and frac(r) is the inclusion probability of one more. Documents are ranked by their random
     odds u/(1-u) divided by the inclusion odds, and taken in that order while their words fit the words that are still
-    wanted (fixed size in words). What then remains is filled, in the same order, with later documents that still fit.
+    wanted (fixed size in words). What then remains is filled, in the same order, with later documents that still fit, until none does;
+    earlier ones were too heavy for more than is left now. Repeated rows are weighed together. If more than MISSED of the target is still
+    missing, the first document that brings the source nearer to it is taken as well.
     """
     keys = cut_lineage(docs.groupBy("source", "_u", "size").agg(F.count(F.lit(1)).alias("_c")))
     sizes = keys.groupBy("source").agg(F.sum(F.col("size") * F.col("_c")).alias("source_size"))
@@ -57,15 +62,20 @@ def plan(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
         .withColumn("_left", F.col("target") - F.col("whole") * F.col("source_size")) \
         .withColumn("_from", F.lit(-1.0)).withColumn("taken", F.array().cast("array<struct<above:double,upto:double,fit:double>>")).drop("_f")
     by = cut_lineage(by)
-    left = keys.select(F.col("source").alias("_s"), "_u", "size", "_c")
-    for _ in range(FILLS):
-        cand = (left.join(by.select("source", "odds", "_left", "_from"), _same("_s", "source"))
-                .withColumn("_q", pareto(F.col("_u"), F.col("odds")))
-                .where((F.col("odds") > 0) & (F.col("size") <= F.col("_left")) & (F.col("_q") > F.col("_from")))
-                .select("_s", "_q", "_left", (F.col("size") * F.col("_c")).alias("_w")))
+    left = keys.select(F.col("source").alias("_s"), "_u", "size", "_c", (F.col("size") * F.col("_c")).alias("_w"))
+
+    def beside(*columns: str) -> DataFrame:
+        return left.join(by.where("odds > 0").select("source", "odds", *columns), _same("_s", "source")) \
+            .withColumn("_q", pareto(F.col("_u"), F.col("odds")))
+
+    while True:  # what is left shrinks below the weight of each document that did not fit
+        cand = beside("_left", "_from").where((F.col("_w") <= F.col("_left")) & (F.col("_q") > F.col("_from"))) \
+            .select("_s", "_q", "_left", "_w")
         line = Ordered(cand, ["_s"], [F.col("_q").asc()]).add("_sum", F.col("_w")).done()
-        end = (line.where(F.col("_sum") <= F.col("_left")).groupBy("_s")
-               .agg(F.max("_q").alias("_upto"), F.max("_sum").alias("_got")))
+        end = cut_lineage(line.where(F.col("_sum") <= F.col("_left")).groupBy("_s")
+                          .agg(F.max("_q").alias("_upto"), F.max("_sum").alias("_got")))
+        if end.isEmpty():
+            break
         took = F.col("_upto").isNotNull()
         step = F.struct(F.col("_from").alias("above"), F.col("_upto").alias("upto"), F.col("_left").alias("fit"))
         by = cut_lineage(by.join(end, _same("source", "_s"), "left").select(
@@ -73,11 +83,22 @@ def plan(docs: DataFrame, seed: str = "mix", **kw) -> DataFrame:
             (F.col("_left") - F.coalesce("_got", F.lit(0))).alias("_left"),
             F.coalesce("_upto", "_from").alias("_from"),
             F.when(took, F.concat("taken", F.array(step))).otherwise(F.col("taken")).alias("taken")))
-    return by.drop("_left", "_from")
+    # nothing fits any more, so whatever weighs more than is left has not been taken
+    over = beside("_left", "target", "taken").where((F.col("_left") > MISSED * F.col("target")) & (F.col("_w") > F.col("_left")) & (F.col("_w") < 2 * F.col("_left"))) \
+        .where(~inside(F.col("taken"), F.col("_q"), F.col("_w"))) \
+        .groupBy("_s").agg(F.min(F.struct("_q", "size")).alias("over"))
+    heavy = beside("taken").where((F.col("_c") > 1) & inside(F.col("taken"), F.col("_q"), F.col("size")) & ~inside(F.col("taken"), F.col("_q"), F.col("_w"))) \
+        .select(F.col("_s").alias("_hs"), F.col("_u").alias("_hu"), F.col("size").alias("_hn"))
+    return by.join(over, _same("source", "_s"), "left").drop("_left", "_from", "_s"), cut_lineage(heavy)
+
+
+def inside(taken: Column, q: Column, weight: Column) -> Column:
+    """Whether q lies in a stretch that has room for the weight."""
+    return F.exists(taken, lambda x: (q > x["above"]) & (q <= x["upto"]) & (weight <= x["fit"]))
 
 
 def pareto(u: Column, odds: Column) -> Column:
-    return u / (1 - u) / odds
+    return u / (1 - u) / F.nullif(odds, F.lit(0.0))
 
 
 def random(doc: Column, text: Column, seed: str) -> Column:
@@ -96,14 +117,20 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     # the parts are named apart from whatever columns the table has
     own = docs.drop("size", "source_size", "target", "copies").withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")) \
         .withColumn("_u", random(F.col(key), F.col(text), seed))
-    by = plan(own.select(F.col(source).alias("source"), F.col("_size").alias("size"), "_u"), seed, **kw)
+    by, heavy = plan(own.select(F.col(source).alias("source"), F.col("_size").alias("size"), "_u"), seed, **kw)
     by = by.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-                   "whole", "odds", F.col("taken").alias("_taken"))
+                   "whole", "odds", F.col("taken").alias("_taken"), F.col("over").alias("_over"))
     kept = [c for c in own.columns if c not in ("_size", "_u")]
-    out = own.join(by.select(F.col("_src"), F.struct("_source_size", "_target", "whole", "odds", "_taken").alias("_by")),
+    out = own.join(by.select(F.col("_src"), F.struct("_source_size", "_target", "whole", "odds", "_taken", "_over").alias("_by")),
                    _same(source, "_src"))
     q = pareto(F.col("_u"), F.col("_by.odds"))
-    one_more = F.exists(F.col("_by._taken"), lambda x: (q > x["above"]) & (q <= x["upto"]) & (F.col("_size") <= x["fit"]))
+    one_more = inside(F.col("_by._taken"), q, F.col("_size"))
+    n = heavy.limit(SENT_GROUPS + 1).count()
+    if n:
+        out = out.join(F.broadcast(heavy) if n <= SENT_GROUPS else heavy,
+                       _same(source, "_hs") & (F.col("_u") == F.col("_hu")) & (F.col("_size") == F.col("_hn")), "left")
+        one_more = one_more & F.col("_hu").isNull()
+    one_more = one_more | F.coalesce((q == F.col("_by._over._q")) & (F.col("_size") == F.col("_by._over.size")), F.lit(False))
     copies = F.col("_by.whole") + F.coalesce(one_more & (F.col("_by.odds") > 0), F.lit(False)).cast("int")
     return out.select(*kept, F.col("_size").alias("size"), F.col("_by._source_size").alias("source_size"),
                       F.col("_by._target").alias("target"), copies.cast("int").alias("copies"))

@@ -241,6 +241,21 @@ def test_order_is_that_of_pareto_sampling(spark):
         assert more == sorted(more, reverse=True) and 0 < sum(more) < len(more)  # equal sizes: the first ones by random odds
 
 
+def test_heavy_repeats_and_long_documents_do_not_end_the_fill(spark):
+    small = [(i, "w " * 10, "a") for i in range(200)]
+    for seed in ("1", "2", "3"):
+        df = spark.createDataFrame(small + [(1000, "v " * 11, "a")] * 91 + [(2000 + i, "x " * 20, "b") for i in range(150)], "doc_id long, text string, source string")
+        got = mixing.with_copies(df, seed=seed).collect()
+        assert len({r.copies for r in got if r.doc_id == 1000}) == 1
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            assert abs(mine[0].target - sum(r.copies * r["size"] for r in mine)) < 30
+        # two documents that are each more than what is wanted: one is nearer than none
+        df = spark.createDataFrame([(1, "w " * 700, "a"), (2, "w " * 700, "a")] + [(10 + i, "x " * 5, "b") for i in range(200)], "doc_id long, text string, source string")
+        mine = [r for r in mixing.with_copies(df, seed=seed, weights=(1, 3)).collect() if r.source == "a"]
+        assert abs(mine[0].target - sum(r.copies * r["size"] for r in mine)) <= 100 and sum(r.copies for r in mine) == 1
+
+
 def test_mixing_edge_rows(spark):
     out = mixing.with_copies(edge_docs(spark))
     assert out.count() == len(rows())
