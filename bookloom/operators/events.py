@@ -46,20 +46,61 @@ def block_breaker(events: DataFrame, source: str, order: Sequence[Column], block
 
 
 def ttl_dedup(events: DataFrame, key: str, ts: str, ttl: Column, tie: str) -> DataFrame:
-    """Keep an event when no kept event of the key is younger than ttl.
+    """Keep an event when no kept event of the key is younger than ttl: (key, ts, tie). Rows without key or ts are left out.
 
-    Kept events of a key are more than ttl apart, so there are at most span/ttl rounds; each round finds the next kept
-    event of every key with one partial aggregate over the events still ahead.
+    Every event points to the first one of its key that is more than ttl younger; what the pointers lead to from a key's first event
+    is kept. The pointers come from two range-sorted numberings: of the events, and of events and their ends of life together. An
+    event that follows the one before it by more than ttl is kept whatever was kept before, so pointers end there. Pointers are then doubled: after k rounds
+    everything less than 2 ** k steps from a start is marked. So rounds grow with the logarithm of the longest chain, and a busy
+    key is spread like any other rows, since all joins are on (key, number).
     """
-    row = F.min(F.struct(ts, tie)).alias("_k")
-    kept = cut_lineage(events.groupBy(key).agg(row).select(key, f"_k.{ts}", f"_k.{tie}"))
-    out = kept
-    while not kept.isEmpty():
-        last = kept.select(key, F.col(ts).alias("_last"))
-        ahead = events.join(last, key).where(F.col(ts) > F.col("_last") + ttl)  # keys without a next event drop out
-        kept = cut_lineage(ahead.groupBy(key).agg(row).select(key, f"_k.{ts}", f"_k.{tie}"))
-        out = out.unionByName(kept)
-    return out
+    rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts, tie)
+    line = cut_lineage(ranked(rows, [key], [F.col(ts), F.col(tie)], "_n"))
+    both = line.select(key, F.col(ts).alias("_at"), F.lit(0).alias("_end"), "_n") \
+        .unionByName(line.select(key, (F.col(ts) + ttl).alias("_at"), F.lit(1).alias("_end"), "_n"))
+    laid = ranked(both, [key], [F.col("_at"), F.col("_end"), F.col("_n")], "_p", size="_size")
+    # the n-th end of life has as many events before it as its place less n
+    ahead = cut_lineage(laid.where("_end = 1 and _p - _n < _size / 2").select(key, "_n", (F.col("_p") - F.col("_n") + 1).alias("_to")))
+    begin = ahead.where("_to = _n + 1").select(key, F.col("_to").alias("_n"))
+    marked = cut_lineage(line.where("_n = 1").select(key, "_n").union(begin))
+    jump = cut_lineage(ahead.join(begin.withColumnRenamed("_n", "_to"), [key, "_to"], "left_anti").select(key, "_n", "_to"))
+    while True:
+        reached = cut_lineage(marked.join(jump, [key, "_n"]).select(key, F.col("_to").alias("_n")))
+        if reached.isEmpty():
+            break
+        marked = cut_lineage(marked.union(reached).distinct())
+        jump = cut_lineage(jump.join(jump.select(key, F.col("_n").alias("_to"), F.col("_to").alias("_far")), [key, "_to"])
+                           .select(key, "_n", F.col("_far").alias("_to")))
+    return line.join(marked, [key, "_n"]).select(key, ts, tie)
+
+
+class Places:
+    """The places 0, 1, 2, ... without those taken away; finds the n-th that is left in a logarithmic number of steps (a sparse
+    Fenwick tree over the places taken)."""
+    BITS = 40
+
+    def __init__(self):
+        self.tree: dict[int, int] = {}
+        self.gone: set[int] = set()
+
+    def nth(self, n: int) -> int:
+        at = 0
+        for bit in reversed(range(self.BITS)):
+            left = (1 << bit) - self.tree.get(at + (1 << bit), 0)
+            if left <= n:
+                n -= left
+                at += 1 << bit
+        return at
+
+    def take(self, place: int) -> None:
+        self.gone.add(place)
+        i = place + 1
+        while i <= 1 << self.BITS:
+            self.tree[i] = self.tree.get(i, 0) + 1
+            i += i & -i
+
+    def __contains__(self, place: int) -> bool:
+        return place in self.gone
 
 
 def bookmark_fold(events: DataFrame, key: str, order: str, action: str = "action", item: str = "item", ordinal: str = "ordinal") -> DataFrame:
@@ -74,38 +115,46 @@ def bookmark_fold(events: DataFrame, key: str, order: str, action: str = "action
     laid = events.select(key, order, action, item, ordinal).repartitionByRange(*keys).sortWithinPartitions(*keys) \
                  .withColumn("_part", F.spark_partition_id())
 
-    def remove(front: list, gone: list, at: int) -> None:
-        if at < len(front):
-            front.pop(at)
-        else:
-            at -= len(front)
-            for g in gone:
-                at += g <= at
-            gone.append(at)
-            gone.sort()
+    class Stretch:
+        """What a stretch of one book's events does: items it puts in front, and places of the incoming list it takes away."""
 
-    def rows(state) -> list:
-        k, part, front, gone = state
-        return [(k, part, None, None, len(front), gone)] + [(k, part, i, it, None, None) for i, it in enumerate(front)]
+        def __init__(self, name, part):
+            self.name, self.part, self.items, self.alive = name, part, [], 0
+            self.own, self.incoming = Places(), Places()
+
+        def add(self, it) -> None:
+            self.items.append(it)
+            self.alive += 1
+
+        def delete(self, at: int) -> None:
+            if at < self.alive:
+                self.own.take(self.own.nth(self.alive - 1 - at))
+                self.alive -= 1
+            else:
+                self.incoming.take(self.incoming.nth(at - self.alive))
+
+        def rows(self) -> list:
+            front = [it for i, it in enumerate(self.items) if i not in self.own][::-1]
+            return [(self.name, self.part, None, None, len(front), sorted(self.incoming.gone))] + \
+                [(self.name, self.part, i, it, None, None) for i, it in enumerate(front)]
 
     def summarise(batches: Iterable[pd.DataFrame]):
-        state = None  # (key, part, front, gone) of the book being read; the rows come sorted by book
+        now = None  # the stretch of the book being read; the rows come sorted by book
         cols = [key, "_part", "idx", "item", "n", "gone"]
         frame = lambda out: pd.DataFrame(out, columns=cols).astype({"idx": "Int64", "n": "Int64"})
         for b in batches:
             out = []
             for k, part, act, it, at in zip(b[key], b["_part"], b[action], b[item], b[ordinal]):
-                if state is None or state[0] != k:
-                    if state is not None:
-                        out += rows(state)
-                    state = (k, part, [], [])
+                if now is None or now.name != k:
+                    out += now.rows() if now is not None else []
+                    now = Stretch(k, part)
                 if act == "add":
-                    state[2].insert(0, it)
-                elif at is not None and at >= 0:
-                    remove(state[2], state[3], int(at))
+                    now.add(it)
+                elif not pd.isna(at) and at >= 0:
+                    now.delete(int(at))
             yield frame(out)
-        if state is not None:
-            yield frame(rows(state))
+        if now is not None:
+            yield frame(now.rows())
 
     parts = cut_lineage(laid.mapInPandas(summarise, f"{key} {kind}, _part int, idx long, item string, n long, gone array<long>"))
     later = parts.where(F.col("n").isNotNull()).groupBy(key).agg(

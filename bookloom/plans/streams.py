@@ -7,6 +7,7 @@ from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query
 from bookloom.plans.sources import shared_folder
 from bookloom.streaming import jobs as J
+from bookloom.streaming.current import read_current
 
 PROGRESS = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
 
@@ -19,10 +20,37 @@ def stream(t, name):
 def _(t):
     out, ck = shared_folder(t, "progress"), shared_folder(t, "ck")
     J.latest_stream(stream(t, "events"), "user_id", ["event_id"], ["event_type", "value"], out, ck, once=True).awaitTermination()
-    return J.read_latest(t.spark, out, "user_id")
+    return read_current(t.spark, out, ["user_id"])
 
 
-@query("i2_latest_position", "SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+#: rows of one stretch of the events that arrives before the next one; there are some in any case
+STRETCH, STRETCHES = 5_000_000, 6
+
+
+def arriving(t, rows, order, start):
+    """The rows in several arrivals, one after the other in the order of a long column. Each arrival is a set of files that Spark writes in
+    parallel, and the job goes on over it before the next one comes."""
+    files = shared_folder(t, "arrivals")
+    count = max(STRETCHES, rows.count() // STRETCH)
+    edges = rows.approxQuantile(order, [i / count for i in range(1, count)], 0.001)
+    place = F.coalesce(sum(((F.col(order) >= int(e)).cast("int") for e in edges), F.lit(0)), F.lit(0))
+    for k in range(count):
+        rows.where(place == k).write.mode("append").parquet(files)
+        start(J.files_stream(t.spark, files, rows.schema, per_batch=1_000_000)).awaitTermination()
+
+
+POSITION = "SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+
+
+@query("i2_latest_position_stream", POSITION)
+def _(t):
+    out, ck = shared_folder(t, "positions"), shared_folder(t, "ck")
+    arriving(t, t.events.select("user_id", "ts", "event_id", "props"), "event_id", lambda feed: J.latest_stream(
+        feed, "user_id", ["ts", "event_id"], ["props"], out, ck, once=True, ttl_ms=30 * 24 * 3600 * 1000))
+    return read_current(t.spark, out, ["user_id"]).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "props")
+
+
+@query("i2_latest_position", POSITION)
 def _(t):
     d = E.latest_by_key(t.events, "user_id", ["ts", "event_id"], ["props"])
     return d.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "props")
@@ -38,12 +66,13 @@ def _(t):
     return E.block_breaker(t.events, "user_id", [F.col("ts"), F.col("event_id")], F.col("event_type").isin("error", "view"))
 
 
-@query("i3_block_breaker_stream", "SELECT user_id, tripped, run FROM (" + BREAKER + ")")
+@query("i3_block_breaker_stream", BREAKER)
 def _(t):
     out, ck = shared_folder(t, "breaker"), shared_folder(t, "ck")
-    J.breaker_stream(stream(t, "events"), "user_id", [F.col("ts"), F.col("event_id")], F.col("event_type").isin("error", "view"), out, ck,
-                     once=True).awaitTermination()
-    return J.read_latest(t.spark, out, "user_id").select("user_id", "tripped", "run")
+    rows = t.events.select("user_id", "ts", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    arriving(t, rows, "at", lambda feed: J.breaker_stream(
+        feed, "user_id", [F.col("at"), F.col("event_id")], F.col("event_type").isin("error", "view"), out, ck, once=True))
+    return read_current(t.spark, out, ["user_id"])
 
 
 TTL_SQL = """WITH RECURSIVE s AS (SELECT user_id, ts, event_id FROM events), k AS (SELECT user_id, min(ts) AS ts FROM s GROUP BY 1 UNION ALL
@@ -59,28 +88,34 @@ def _(t):
 
 @query("i4_ttl_dedup_stream", TTL_SQL)
 def _(t):
-    out, state, ck, files = (shared_folder(t, n) for n in ("dedup", "dedup-state", "ck", "dedup-in"))
-    events = t.events.select("user_id", "ts", "event_id")
-    # four files in order of time, one micro-batch each
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    low, high = events.agg(F.min(micros), F.max(micros)).first()
-    part = F.floor((micros - F.lit(low)) * 4 / F.lit((high or 0) - (low or 0) + 1))
-    for k in range(4):
-        events.where(part == k).coalesce(1).write.mode("append").parquet(files)
-    feed = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
-    J.dedup_stream(feed, "user_id", "ts", F.expr("INTERVAL 7 DAYS"), "event_id", out, state, ck, once=True).awaitTermination()
+    out, ck = shared_folder(t, "dedup"), shared_folder(t, "ck")
+    rows = t.events.select("user_id", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    arriving(t, rows, "at", lambda feed: J.dedup_stream(feed, "user_id", "ts", 7 * 24 * 3600 * 1_000_000, "event_id", out, ck, once=True))
     return t.spark.read.parquet(out).select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
 
 
 # an add in front for every event but errors; an error deletes the second bookmark
-@query("i5_bookmark_fold", """WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS VARCHAR) AS item, event_type = 'error' AS del, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+BOOKMARKS = """WITH RECURSIVE e AS (SELECT user_id, CAST(event_id AS VARCHAR) AS item, event_type = 'error' AS del, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
     st AS (SELECT DISTINCT user_id, 0::BIGINT AS n, []::VARCHAR[] AS l FROM events UNION ALL
       SELECT st.user_id, e.n, CASE WHEN del THEN list_concat(l[1:1], l[3:]) ELSE list_prepend(item, l) END FROM st JOIN e ON e.user_id = st.user_id AND e.n = st.n + 1)
-    SELECT user_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS place, unnest(l) AS item FROM st JOIN (SELECT user_id, max(n) AS n FROM st GROUP BY 1) USING (user_id, n)""")
+    SELECT user_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS place, unnest(l) AS item FROM st JOIN (SELECT user_id, max(n) AS n FROM st GROUP BY 1) USING (user_id, n)"""
+
+
+def bookmark_events(t):
+    return t.events.select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("action"),
+                           F.col("event_id").cast("string").alias("item"), F.when(F.col("event_type") == "error", F.lit(1)).cast("int").alias("ordinal"))
+
+
+@query("i5_bookmark_fold", BOOKMARKS)
+def _(t):
+    return E.bookmark_fold(bookmark_events(t), "user_id", "event_id")
+
+
+@query("i5_bookmark_fold_stream", BOOKMARKS)
 def _(t):
-    ev = t.events.select("user_id", "event_id", F.when(F.col("event_type") == "error", "delete").otherwise("add").alias("action"),
-                         F.col("event_id").cast("string").alias("item"), F.when(F.col("event_type") == "error", F.lit(1)).cast("int").alias("ordinal"))
-    return E.bookmark_fold(ev, "user_id", "event_id")
+    out, ck = shared_folder(t, "bookmarks"), shared_folder(t, "ck")
+    arriving(t, bookmark_events(t), "event_id", lambda feed: J.bookmark_stream(feed, "user_id", "event_id", out, ck, once=True))
+    return read_current(t.spark, out, ["user_id"]).select("user_id", F.posexplode("items").alias("place", "item"))
 
 
 HEADING_TEXT = S.rx(S.unescape("regexp_extract(html, '<h1>(.*?)</h1>', 1)"), chr(92) + "s+", " ")
