@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bookloom.llm.digests import DIGESTS
 from bookloom.llm.notices import BSD, KNOWN
 
-#: steps of the canonical form, in order. A notice is told by a (c), a sign or a year; a line of running text that only begins with the
-#: word stays, and so does one that is too long for a notice
-COPYRIGHT_LINE = (r"(?m)^[ \t]*((copyright[ \t:,]*(\(c\)|©|[\[{<]?(\d{4}|yyyy|year)\b)|\(c\)[ \t]*(copyright\b|\d{4})|©)[^\n]{0,200}"
+#: steps of the canonical form, in order. A notice is told by a (c), a sign or a year, and goes to the end of its line; a line of
+#: running text that only begins with the word stays
+COPYRIGHT_LINE = (r"(?m)^[ \t]*((copyright[ \t:,]*(\(c\)|©|[\[{<]?(\d{4}|yyyy|year)\b)|\(c\)[ \t]*(copyright\b|\d{4})|©)[^\n]*"
                   r"|all rights reserved[ \t.!]*)$")
 #: notices that belong to licence texts themselves, wherever the lines are broken
 OWN_NOTICE = (r"copyright\s+(\(c\)\s+(\d{4},\s*)*\d{4}\s+free\s+software\s+foundation,\s+inc\.,?(\s+<https?://(www\.)?fsf\.org/>)?"
               r"|(\(c\)\s+)?[\[{<]?(yyyy|year|19yy|19xx)[\]}>]?\s+[\[{<]?(name\s+of\s+(copyright\s+owner|author)|your\s+name)[\]}>]?)")
-#: what OP1_SQL takes for a copyright line; the same for all lines of the check's tables
-SQL_COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-SPELLINGS = (  # equivalent spellings, applied to lower-cased text
-    (r"licence", "license"), (r"sub[ -]license", "sublicense"), (r"non[ -]commercial", "noncommercial"), (r"noninfringement", "non infringement"),
-    (r"organisation", "organization"), (r"favour", "favor"), (r"merchantibility", "merchantability"), (r"whilst", "while"),
-    (r"https?://", ""), (r"&", " and "), (r"\bper cent\b", "percent"))
+SPELLINGS = (  # equivalent spellings, applied in order to lower-cased text
+    ("licence", "license"), ("sub license", "sublicense"), ("sub-license", "sublicense"), ("non commercial", "noncommercial"),
+    ("non-commercial", "noncommercial"), ("noninfringement", "non infringement"), ("organisation", "organization"), ("favour", "favor"),
+    ("merchantibility", "merchantability"), ("whilst", "while"), ("https://", ""), ("http://", ""), ("&", " and "))
+PERCENT = (r"\bper cent\b", "percent")
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: a table of known licences is sent to all tasks up to this many entries; a larger one is shuffled
@@ -27,11 +28,22 @@ SENT_ENTRIES = 100_000
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z), without copyright notices, in one spelling, with one blank for all punctuation and white space."""
-    c = F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), OWN_NOTICE, " "), COPYRIGHT_LINE, " ")
-    for pattern, into in SPELLINGS:
-        c = F.regexp_replace(c, pattern, into)
-    return F.trim(F.regexp_replace(c, PUNCTUATION, " "))
+    """Lower case (A-Z), without copyright notices, in one spelling, with one blank for all punctuation and white space.
+
+    A pattern is only tried where the text has the words without which it cannot match; such a test costs far less than the pattern.
+    """
+    def once(c: Column, step) -> Column:
+        """step(c), with c computed once however often the step names it."""
+        return F.get(F.transform(F.array(c), step), F.lit(0))
+
+    def where(c: Column, words: tuple[str, ...], pattern: str, into: str) -> Column:
+        return once(c, lambda x: F.when(reduce(lambda a, b: a | b, [x.contains(w) for w in words]), F.regexp_replace(x, pattern, into)).otherwise(x))
+
+    c = where(F.translate(text, UPPER, LOWER), ("copyright",), OWN_NOTICE, " ")
+    c = where(c, ("copyright", "(c)", "©", "all rights reserved"), COPYRIGHT_LINE, " ")
+    for old, new in SPELLINGS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return F.trim(F.regexp_replace(where(c, ("per cent",), *PERCENT), PUNCTUATION, " "))
 
 
 def digest(text: Column) -> Column:
@@ -88,18 +100,23 @@ def op1_license_scan(spark, folder: str) -> DataFrame:
 
 def _sql_canonical(c: str) -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"regexp_replace(translate({c}, '{UPPER}', '{LOWER}'), {quoted(SQL_COPYRIGHT_LINE)}, ' ', 'g')"
-    for pattern, into in SPELLINGS:
-        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(into)}, 'g')"
+    out = f"translate({c}, '{UPPER}', '{LOWER}')"
+    for pattern in (OWN_NOTICE, COPYRIGHT_LINE):
+        out = f"regexp_replace({out}, {quoted(pattern)}, ' ', 'g')"
+    for old, new in SPELLINGS:
+        out = f"replace({out}, {quoted(old)}, {quoted(new)})"
+    out = f"regexp_replace({out}, {quoted(PERCENT[0])}, {quoted(PERCENT[1])}, 'g')"
     return f"trim(regexp_replace({out}, {quoted(PUNCTUATION)}, ' ', 'g'))"
 
 
 def _op1_sql() -> str:
-    values = ",\n".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    values = ",\n".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN + BSD)
+    long = ",\n".join(f"('{i}', '{x}')" for i, x in DIGESTS)
     d = lambda c: f"sha256(nullif({_sql_canonical(c)}, ''))"
     return f"""
 WITH k AS (SELECT min(i) AS license_id, d AS digest FROM (
-  SELECT i, {d('t')} AS d FROM (VALUES {values}) AS v(i, t)) WHERE d IS NOT NULL GROUP BY d),
+  SELECT i, {d('t')} AS d FROM (VALUES {values}) AS v(i, t)
+    UNION ALL SELECT i, d FROM (VALUES {long}) AS v(i, d)) WHERE d IS NOT NULL GROUP BY d),
 l AS (SELECT doc_id, {d('line')} AS digest FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 n AS (SELECT doc_id, count(*) AS n_notices, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS notices
