@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bookloom.llm.frames import plus
-from bookloom.llm.words import ALPHANUMERIC, Words, hashed, sliced
+from bookloom.llm.frames import tidy
+from bookloom.llm.words import ALPHANUMERIC, Words, hashed, parts, sliced
 
 #: words of a window; an item of fewer words is one window
 WINDOW = 10
@@ -91,7 +91,7 @@ class Index:
         keys = sorted(entries)
         self.postings = [entries[k] for k in keys]
         self.select(self.vocabulary[keys])
-        self.parts = []
+        self.parts, self.vocabulary = [], self.vocabulary[:0]  # not needed any more where this is sent
 
     def hits(self, w: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words are inside an occurrence of a window, and the windows of each text."""
@@ -117,6 +117,7 @@ class Index:
 
 def _counts(docs: DataFrame, text: str, index) -> DataFrame:
     """(i, n): how often the i-th shingle of the vocabulary occurs in all documents."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(index.value.vocabulary), np.int64)
         for b in sliced(batches, 0):
@@ -142,10 +143,9 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     are kept; a column with the name of an added one is replaced.
     """
     spark = docs.sparkSession
-    out = docs.drop("n_words", "spans", "items")
-    base = out.columns
-    schema = plus(out, "n_words long, spans array<struct<start:long,end:long>>, items array<string>")
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    base = docs.drop("n_words", "spans", "items")
+    kind = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    out = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("r"), F.lit(None).cast(f"struct<{_ddl(kind)}>").alias("m"))
     wins = _windows(benchmark, item, item_text, window)
     blocks = max(1, -(-wins.count() // BLOCK))
     wins = wins.withColumn("_block", F.pmod(F.xxhash64("win"), F.lit(blocks)))
@@ -156,34 +156,50 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         count = np.zeros(len(index.vocabulary), np.int64)
         for r in _counts(docs, text, sent).collect() if len(count) else ():  # as many as the block has shingles
             count[r.i] = r.n
+        sent.unpersist()
         index.by_rarity(count)
         sent = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[pa.RecordBatch]:
-            for b in sliced(batches, text):
-                w = hashed(b.column(text), ALPHANUMERIC, lower=True)
-                inside, windows = sent.value.hits(w)
-                n = np.diff(w.first)
-                before = [([], [])] * b.num_rows if first else \
-                    [([(s["start"], s["end"]) for s in x], y) for x, y in zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True)]
-                spans, items = [], []
-                for t in range(b.num_rows):
-                    old, ids = before[t]
-                    if t in windows:
-                        here = inside[w.first[t]:w.first[t + 1]].copy()
-                        for s, e in old:
-                            here[s:e] = True
-                        edge = np.flatnonzero(np.diff(np.concatenate(([0], here.astype(np.int8), [0]))))
-                        old = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                        ids = sorted({i for v in windows[t] for i in sent.value.items[v]} | set(ids))
-                    spans.append([{"start": s, "end": e} for s, e in old])
-                    items.append(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [*[b.column(c) for c in base], pa.array(n, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))],
-                    [*base, "n_words", "spans", "items"])
-
-        out = out.mapInArrow(run, schema)
-    return out
+        found = F.arrow_udf(_marking(sent), kind).asNondeterministic()  # computed once, whatever filters follow
+        out = out.select("r", found(F.col(f"r.`{text}`"), F.col("m")).alias("m"))
+    return out.select("r.*", "m.*")
+
+
+def _ddl(fields: str) -> str:
+    return ", ".join(f.strip().replace(" ", ": ", 1) for f in fields.split(", "))
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _marking(sent):
+    @tidy
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        none = pa.array([], pa.struct([("n_words", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))]))
+        for texts, before in columns:
+            yield pa.concat_arrays([none, *[_marked(part, before, sent.value, at) for at, part in parts(texts)]])
+    return run
+
+
+def _marked(texts: pa.Array, before: pa.Array, index: Index, at: int) -> pa.Array:
+    """n_words, spans and items of a few texts, with what earlier blocks of windows found in them."""
+    w = hashed(texts, ALPHANUMERIC, lower=True)
+    inside, windows = index.hits(w)
+    spans, items = [], []
+    for t in range(len(texts)):
+        old = before[at + t].as_py() or {"spans": [], "items": []}
+        ranges, ids = [(s["start"], s["end"]) for s in old["spans"]], old["items"]
+        if t in windows:
+            here = inside[w.first[t]:w.first[t + 1]].copy()
+            for s, e in ranges:
+                here[s:e] = True
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], here.astype(np.int8), [0]))))
+            ranges = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+            ids = sorted({i for v in windows[t] for i in index.items[v]} | set(ids))
+        spans.append([{"start": s, "end": e} for s, e in ranges])
+        items.append(ids)
+    return pa.StructArray.from_arrays([pa.array(np.diff(w.first), pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
+                                      ["n_words", "spans", "items"])
 
 
 def op2_decontamination(spark, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bookloom.llm.frames import plus
+from bookloom.llm.frames import tidy
 from bookloom.operators.scale import first_rows
 
 #: labelled rows that the weights are fitted on, dealt evenly over the languages
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()) \
         .select(F.col(key).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
 
+    @tidy
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(SPACE, np.int64), 0
         for b in batches:
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
              pa.array([None] * len(names) + at.tolist(), pa.int32()), pa.array([t] * len(names) + w[at, of].tolist())],
             ["name", "c", "i", "v"])
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [weighted(grams(t.as_py()), idf) for t in b.column(2)]
@@ -206,14 +208,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     base = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [sent.value.predict(t.as_py()) for t in b.column(text)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
-                [*b.schema.names, "lang_pred", "score"])
-
-    return base.mapInArrow(run, plus(base, "lang_pred string, score double"))
+    @tidy
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            made = [sent.value.predict(t.as_py()) for t in column]
+            yield pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
+                                             ["lang_pred", "score"])
+
+    # the text alone goes to Python; a function that is not to be repeated is computed once, whatever filters follow
+    found = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()(F.col(text))
+    packed_row = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("r"), found.alias("p"))
+    return packed_row.select("r.*", "p.*")
 
 
 def fold(key: str, parts: int) -> Column:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from bookloom.llm.frames import tidy
 from bookloom.llm.graph import components
 from bookloom.llm.ordered import Ordered
 from bookloom.llm.words import BLANK_SEPARATED, Words, hashed, mix, sliced
@@ -54,6 +55,7 @@ def signature(s: np.ndarray, seeds: np.ndarray, factors: np.ndarray) -> np.ndarr
 
 def _signatures(docs: DataFrame, key: str, text: str, shingle: int, m: int) -> DataFrame:
     """(id, n, d1, d2, keys): set size, a 128-bit digest of the set and the hashes of both collections."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             seeds = mix(np.arange(1, 2 * m * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -94,6 +96,7 @@ def _tables(nodes: DataFrame, m: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) for which den * |intersection| >= num * |union|, on whole sets."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 3):
             keep = np.zeros(batch.num_rows, bool)

@@ -174,12 +174,18 @@ def hashed(column: pa.Array, member: np.ndarray = BLANK_SEPARATED, lower: bool =
     return Words(data, np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, at).astype(np.int64))
 
 
+def parts(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(place, part): a column of texts in parts of some megabytes; a text is never divided."""
+    at = utf8(column)[1]
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+        yield i, column.slice(i, j - i)
+        i = j
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
-    """Batches with some megabytes of text each; a text is never divided."""
+    """Batches in such parts."""
     for b in batches:
-        at = utf8(b.column(column))[1]
-        i = 0
-        while i < b.num_rows:
-            j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
-            yield b.slice(i, j - i)
-            i = j
+        for i, part in parts(b.column(column)):
+            yield b.slice(i, len(part))
