@@ -30,25 +30,37 @@ def _shared_keys(a: DataFrame, b: DataFrame) -> DataFrame:
             .join(b.withColumn("k", F.explode(F.array_distinct(F.array("c", "cf")))), "k").drop("k"))
 
 
-def _parts(long: DataFrame, title: str, lengths: DataFrame, min_score: float) -> DataFrame:
-    """Every substring of `title` that could be the other title of a containment pair scoring at least min_score.
+def _grams(title: str, n: int) -> Column:
+    """The distinct substrings of n characters of a title, none of a shorter one."""
+    size = F.length(title)
+    return F.when(size >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda p: F.substring(title, p, n)))) \
+            .otherwise(F.array().cast("array<string>"))
 
-    Prefixes always count; inner substrings only when their share of the title is large enough. Only lengths that
-    occur on the other side are cut (`lengths` holds distinct small integers, at most the longest title)."""
-    share = (min_score - K.CONTAINS_BASE) / K.CONTAINS_SPAN
-    n = F.length(title)
-    d = long.where(n > 1).withColumn("m", F.explode(F.sequence(F.lit(1), n - 1)))
-    d = d.join(F.broadcast(lengths), "m")
-    last = F.when(F.col("m") / n >= share - 1e-12, n - F.col("m") + 1).otherwise(F.lit(1))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda p: F.substring(title, p, F.col("m"))))
-    return d.withColumn("k", F.explode(keys)).drop("m")
 
+def _inside(short: DataFrame, long: DataFrame, s: str, t: str) -> DataFrame:
+    """The pairs of rows whose title s is a part of title t.
 
-def _contained(a: DataFrame, b: DataFrame, min_score: float) -> DataFrame:
-    short_c = _parts(a, "q", b.select(F.length("c").alias("m")).distinct(), min_score)
-    short_q = _parts(b, "c", a.select(F.length("q").alias("m")).distinct(), min_score)
-    return (short_c.join(b, F.col("k") == F.col("c")).select("q", "qf", "c", "cf")
-            .unionByName(a.join(short_q, F.col("k") == F.col("q")).select("q", "qf", "c", "cf")))
+    `long` is indexed by its bigrams, as many keys as a title has characters. A title that another one contains has all its bigrams there, so
+    it is looked up by the one that the fewest titles of `long` have; one bigram that none has rules it out. What is met is compared
+    as a whole. Titles of one character are looked up by it.
+    """
+    kinds = []
+    for n, only in ((2, F.length(s) > 1), (1, F.length(s) == 1)):
+        probes = short.where(only).select(*short.columns, F.explode(_grams(s, n)).alias("_g"))
+        index = long.select(*long.columns, F.explode(_grams(t, n)).alias("_g"))
+        if n == 1:
+            index = index.join(probes.select("_g").distinct(), "_g", "left_semi")  # few: only these need single characters
+        rarity = index.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+        anchor = probes.join(rarity, "_g", "left").groupBy(*short.columns) \
+            .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_a")).where("_a.n > 0") \
+            .select(*short.columns, F.col("_a.g").alias("_g"))
+        kinds.append(anchor.join(index, "_g").where(F.col(t).contains(F.col(s))).drop("_g"))
+    return kinds[0].unionByName(kinds[1])
+
+
+def _contained(a: DataFrame, b: DataFrame) -> DataFrame:
+    return (_inside(a, b, "q", "c").select("q", "qf", "c", "cf")
+            .unionByName(_inside(b, a, "c", "q").select("q", "qf", "c", "cf")))
 
 
 def _near(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
@@ -97,12 +109,12 @@ def fuzzy_title_pairs(queries: DataFrame, catalog: DataFrame, min_score: float =
     """(q, qf, c, cf, score) for all pairs of distinct title keys scoring at least min_score.
 
     queries has columns q, qf, catalog has c, cf. Every pair that can reach the score meets on some equal key
-    (shared form, substring, or intact piece), so nothing is lost and no pair is formed that shares nothing.
+    (shared form, rarest bigram of the shorter title, or intact piece), so nothing is lost and no pair is formed that shares nothing.
     """
     # distinct keys only, read by every branch below
     a = cut_lineage(queries.select("q", "qf").where(F.col("q") != "").distinct())
     b = cut_lineage(catalog.select("c", "cf").where(F.col("c") != "").distinct())
-    met = _shared_keys(a, b).unionByName(_contained(a, b, min_score)).distinct()
+    met = _shared_keys(a, b).unionByName(_contained(a, b)).distinct()
     pairs = met.withColumn("score", S.structural_score("q", "qf", "c", "cf")).where(F.col("score") >= min_score)
     ratio = S.ratio_needed(min_score)
     if ratio is not None:
@@ -177,36 +189,55 @@ def prefix_derivatives(pairs: DataFrame, query: str = "query_id") -> DataFrame:
                 .withColumn("cluster", F.col("derivatives") >= K.DERIVATIVES_MIN)
 
 
+def _author_closeness(d: DataFrame) -> DataFrame:
+    """(author_hint, author, _author, _similar) for each different pair: the cleaned author, and how close the two names are."""
+    pairs = d.select(F.coalesce("author_hint", F.lit("")).alias("_hint"), F.coalesce("author", F.lit("")).alias("_raw")).distinct()
+    pairs = pairs.withColumn("_author", clean_author("_raw"))
+    keys = pairs.withColumn("_h", norm_title("_hint", strip_brackets=False)) \
+        .withColumn("_a", norm_title("_author", strip_brackets=False, normalized=True))
+    return cut_lineage(keys.withColumn("_similar", S.author_similarity("_h", "_a")).select("_hint", "_raw", "_author", "_similar"))
+
+
+def _title_closeness(d: DataFrame) -> DataFrame:
+    """d with _base, the closeness of the titles, computed once for each different pair of keys."""
+    keys = ["q", "qf", "c", "cf"]
+    pairs = cut_lineage(d.select(*keys).distinct().withColumn("_base", S.title_similarity(*keys)))
+    return d.join(pairs, keys)
+
+
 def score_candidates(cands: DataFrame, priority: Sequence[str], query: str = "query_id", simplified=None) -> DataFrame:
     """Scores of (query, candidate) rows with columns query_id, query, author_hint, title, author, cover, source,
-    position, matched_by, cand_no (the title keys q, qf, c, cf are made when missing)."""
+    position, matched_by, cand_no (the title keys q, qf, c, cf and pair_score, the closeness of the titles, are made when missing).
+
+    What is costly depends on few different values: names are cleaned and compared once for each pair of hint and author, titles
+    once for each pair of keys. The rows then only look these up, in tables that the planner sends to all tasks where they are small.
+    """
     d = cands
     for title, norm, folded in (("query", "q", "qf"), ("title", "c", "cf")):
         if norm not in d.columns:
-            d = with_keys(d, title, norm, folded, simplified)
-    d = cut_lineage(d.withColumn("author", clean_author("author")))  # read twice: for the cluster size and for the scores
+            d = d.join(_keyed_titles(d, title, norm, folded, simplified), title)
+    d = cut_lineage(d)  # read for the cluster sizes, the different names and titles, and the scores
+    close = _author_closeness(d)
     d = d.join(prefix_derivatives(d, query), query, "left")
-    base = S.title_similarity("q", "qf", "c", "cf")
+    d = d.withColumn("_base", F.col("pair_score")) if "pair_score" in d.columns else _title_closeness(d)
+    hint = F.coalesce("author_hint", F.lit(""))
+    d = d.join(close, (hint == F.col("_hint")) & (F.coalesce("author", F.lit("")) == F.col("_raw"))).drop("author", "_hint", "_raw") \
+        .withColumnRenamed("_author", "author")
     bare_q, bare_c = (F.regexp_replace(x, K.NON_WORD, "") for x in ("query", "title"))
-    suspect = (F.col("cluster") & (F.col("q") != "") & (bare_q == bare_c) & ~F.col("source").isin(*K.TRUSTED_SOURCES))
+    suspect = F.col("cluster") & (F.col("q") != "") & ~F.col("source").isin(*K.TRUSTED_SOURCES) & (bare_q == bare_c)
     lifted = F.coalesce(F.col("matched_by").isin("content", "site"), F.lit(False))
-    d = d.withColumn("_base", base)
-    d = d.withColumn("fanfic_suspect", ~lifted & suspect).withColumn(
+    d = d.withColumn("_suspect", suspect).withColumn("fanfic_suspect", ~lifted & F.col("_suspect")).withColumn(
         "title_score", F.when(lifted, F.greatest("_base", F.lit(K.LIFT_TO)))
-        .when(suspect, F.least("_base", F.lit(K.DEMOTE_TO))).otherwise(F.col("_base")))
+        .when(F.col("_suspect"), F.least("_base", F.lit(K.DEMOTE_TO))).otherwise(F.col("_base")))
     rank = F.lit(len(priority))
     for i, name in reversed(list(enumerate(priority))):
         rank = F.when(F.col("source") == name, F.lit(i)).otherwise(rank)
     d = d.withColumn("source_rank", rank)
-    hint = F.coalesce("author_hint", F.lit(""))
-    d = d.withColumn("_h", norm_title(hint, strip_brackets=False)).withColumn(
-        "_a", norm_title("author", strip_brackets=False, normalized=True))
-    similar = S.author_similarity("_h", "_a")
-    bonus = F.when((hint != "") & (F.col("author") != ""),
-                   K.AUTHOR_WEIGHT * similar * F.when(F.col("title_score") >= K.AUTHOR_FULL_FROM, 1.0).otherwise(K.AUTHOR_REST)).otherwise(0.0)
+    bonus = F.when((hint != "") & (F.col("author") != ""), K.AUTHOR_WEIGHT * F.col("_similar")
+                   * F.when(F.col("title_score") >= K.AUTHOR_FULL_FROM, 1.0).otherwise(K.AUTHOR_REST)).otherwise(0.0)
     score = (F.col("title_score") + bonus + F.when(F.coalesce("cover", F.lit("")) != "", K.COVER_WEIGHT).otherwise(0.0)
              + F.when(F.col("author") != "", K.AUTHOR_KNOWN_WEIGHT).otherwise(0.0) - K.SOURCE_STEP * F.col("source_rank"))
-    return d.withColumn("score", F.round(score, 6)).drop("_base", "_h", "_a", "q", "qf", "c", "cf", "cluster")
+    return d.withColumn("score", F.round(score, 6)).drop("_base", "_suspect", "_similar", "q", "qf", "c", "cf", "cluster")
 
 
 def rank_candidates(cands: DataFrame, priority: Sequence[str], query: str = "query_id", **kw) -> DataFrame:
@@ -238,10 +269,14 @@ def cover_donor(scored: DataFrame, query: str = "query_id") -> DataFrame:
         query, F.col("cand_no").alias("_best"), F.coalesce("author", F.lit("")).alias("_ba"))
     others = scored.where((F.coalesce("cover", F.lit("")) != "") & (F.col("title_score") >= 0.90))
     d = others.join(bare, query).where(F.col("cand_no") != F.col("_best"))
+    known = d.withColumn("author", F.coalesce("author", F.lit("")))
     keys = [norm_title(c, strip_brackets=False) for c in ("_ba", "author")]
-    similar = S.author_similarity(*keys)
-    both = (F.col("_ba") != "") & (F.coalesce("author", F.lit("")) != "")
-    d = d.where(F.when(both, F.coalesce(similar, F.lit(0.0)) >= K.DONOR_AUTHOR).otherwise(F.col("title_score") >= K.DONOR_TITLE))
+    close = known.where((F.col("_ba") != "") & (F.col("author") != "")).select("_ba", "author").distinct() \
+        .withColumn("_similar", S.author_similarity(*keys))
+    close = close.where(F.col("_similar") >= K.DONOR_AUTHOR).select("_ba", F.col("author").alias("_with"), F.lit(True).alias("_same"))
+    d = known.join(cut_lineage(close).withColumnRenamed("_ba", "_bb"), (F.col("_ba") == F.col("_bb")) & (F.col("author") == F.col("_with")), "left")
+    both = (F.col("_ba") != "") & (F.col("author") != "")
+    d = d.where(F.when(both, F.coalesce("_same", F.lit(False))).otherwise(F.col("title_score") >= K.DONOR_TITLE))
     return first_rows(d, [query], rank_order()).select(query, F.col("cover").alias("donor_cover"), F.col("source").alias("cover_from"))
 
 

@@ -13,9 +13,10 @@ from bookloom.session import cut_lineage
 CAT_TITLE = "CASE p_partkey % 2 WHEN 0 THEN p_name ELSE concat(p_name, ' ', lower(p_type)) END"
 CAT_COVER = "CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('c', p_partkey) END"
 CAT_SOURCE = "CASE p_partkey % 4 WHEN 0 THEN 'weread' WHEN 1 THEN 'jjwxc' WHEN 2 THEN 'bilinovel' ELSE 'fanqie' END"
-# authors of different brands share no character, so their ratio is 0 in SQL as well; hints are empty, contained or equal ones
-CAT_AUTHOR = "repeat(chr(96 + CAST(substr(p_brand, 7) AS INT)), 4)"
-HINT = "CASE query_id % 3 WHEN 0 THEN '' WHEN 1 THEN repeat(chr(CAST(97 + query_id % 25 AS INT)), 2) ELSE repeat(chr(CAST(97 + query_id % 25 AS INT)), 4) END"
+# authors that resemble each other to different degrees; hints are empty, an author's name, a part of all, or nearly some of them
+CAT_AUTHOR = "translate(p_brand, '#12345', ' aeiou')"
+HINT = ("CASE query_id % 4 WHEN 0 THEN '' WHEN 1 THEN translate(concat('Brand#', CAST(1 + query_id % 5 AS STRING), CAST(1 + query_id % 3 AS STRING)), '#12345', ' aeiou') "
+        "WHEN 2 THEN 'Brand' ELSE translate(concat('Grand', CAST(1 + query_id % 5 AS STRING), CAST(1 + query_id % 3 AS STRING), 's'), '12345', 'aeiou') END")
 PRIORITY = ("weread", "bilinovel", "jjwxc")
 FLOOR = 0.72
 
@@ -30,8 +31,8 @@ def catalog(t):
                          F.expr(CAT_COVER).alias("cover"), F.expr(CAT_SOURCE).alias("source"))
 
 
-def found(t):
-    d = M.fuzzy_title_join(requests(t), catalog(t), FLOOR)
+def found(t, asked=None, entries=None):
+    d = M.fuzzy_title_join(requests(t) if asked is None else asked, catalog(t) if entries is None else entries, FLOOR)
     return (d.withColumn("author_hint", F.expr(HINT)).withColumnRenamed("score", "pair_score")
             .withColumn("matched_by", F.when(F.col("position") == 3, "site")).withColumnRenamed("pos", "cand_no"))
 
@@ -59,14 +60,19 @@ AUTHOR_KEY = S.norm_title("author", brackets=False)
 HINT_KEY = S.norm_title("hint", brackets=False)
 SCORED = HITS + f""", s1 AS (SELECT *, {HINT} AS hint, {S.norm_title('title')} AS c,
       CASE WHEN position = 3 THEN 'site' END AS matched_by, CASE source WHEN 'weread' THEN 0 WHEN 'bilinovel' THEN 1 WHEN 'jjwxc' THEN 2 ELSE 3 END AS source_rank FROM met),
+    names AS (SELECT DISTINCT ak, hk FROM (SELECT DISTINCT {AUTHOR_KEY} AS ak FROM s1), (SELECT DISTINCT {HINT_KEY} AS hk FROM s1 UNION SELECT DISTINCT {AUTHOR_KEY} FROM s1)),
+    asked AS (SELECT hk AS a, ak AS b FROM names WHERE hk <> '' AND ak <> '' AND NOT contains(hk, ak) AND NOT contains(ak, hk)),
+    {S.ratio_ctes('asked')},
+    sim AS MATERIALIZED (SELECT ak, hk, CASE WHEN hk = '' OR ak = '' THEN 0.0::DOUBLE WHEN hk = ak THEN 1.0 WHEN contains(hk, ak) OR contains(ak, hk) THEN 0.8 ELSE ratio END AS closeness
+      FROM names LEFT JOIN ratio ON a = hk AND b = ak),
     s2 AS (SELECT *, sum(CASE WHEN q <> '' AND c <> q AND starts_with(c, q) THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS derivatives,
       {AUTHOR_KEY} AS ak, {HINT_KEY} AS hk FROM s1),
     s3 AS (SELECT *, matched_by IS NULL AND derivatives >= 3 AND q <> '' AND {S.bare('query')} = {S.bare('title')}
       AND source NOT IN ('bilinovel', 'qidiantracker') AS fanfic_suspect FROM s2),
     s4 AS (SELECT *, CASE WHEN matched_by IS NOT NULL THEN greatest(score, 0.99) WHEN fanfic_suspect THEN least(score, 0.9) ELSE score END AS title_score FROM s3),
     scored AS MATERIALIZED (SELECT query_id, query, hint, pos AS cand_no, title, author, cover, source, position, matched_by, source_rank, derivatives, fanfic_suspect, title_score,
-      round(title_score + CASE WHEN hint <> '' AND author <> '' THEN 0.45 * (CASE WHEN hk = ak THEN 1.0 WHEN contains(hk, ak) OR contains(ak, hk) THEN 0.8 ELSE 0.0 END)
-        * (CASE WHEN title_score >= 0.9 THEN 1.0 ELSE 0.5 END) ELSE 0.0 END + CASE WHEN cover <> '' THEN 0.04 ELSE 0.0 END + 0.02 - 0.01 * source_rank, 6) AS score FROM s4),
+      round(title_score + CASE WHEN hint <> '' AND author <> '' THEN 0.45 * closeness
+        * (CASE WHEN title_score >= 0.9 THEN 1.0 ELSE 0.5 END) ELSE 0.0 END + CASE WHEN cover <> '' THEN 0.04 ELSE 0.0 END + 0.02 - 0.01 * source_rank, 6) AS score FROM s4 JOIN sim USING (ak, hk)),
     ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_rank, position, length(title), cand_no) AS rank FROM scored)"""
 
 
@@ -82,10 +88,22 @@ def _(t):
         "query_id", "pos", "title", F.col("position").cast("long").alias("position"), F.round("score", 6).alias("score"))
 
 
-@query("d2_fuzzy_title_pairs_ratio")
+TWISTED = "concat(reverse(substr(p_name, 1, 2)), substr(p_name, 3))"
+# a pair with ratio r leaves at most (1 - r) of all characters unmatched, which bounds its edit distance; so few pairs are matched in full
+NEEDED = Sim.ratio_needed(0.55)
+
+
+@query("d2_fuzzy_title_pairs_ratio", f"""WITH RECURSIVE {BASE.split(', cat AS')[0]}, tc AS (SELECT DISTINCT {S.norm_title('title')} AS c, {S.norm_title('title', fold=True)} AS cf
+      FROM (SELECT {TWISTED} AS title FROM part)),
+    every AS MATERIALIZED (SELECT *, CAST({structural('q', 'qf', 'c', 'cf')} AS DOUBLE) AS sure FROM (SELECT DISTINCT q, qf FROM rk WHERE q <> ''), tc WHERE c <> ''),
+    close AS (SELECT DISTINCT q AS a, c AS b FROM every WHERE sure IS NULL AND abs(length(q) - length(c)) <= {1 - NEEDED} * (length(q) + length(c)) + 1e-9
+      AND levenshtein(q, c) <= {1 - NEEDED} * (length(q) + length(c)) + 1e-9),
+    {S.ratio_ctes('close')}, scored AS (SELECT q, qf, c, cf, coalesce(sure, greatest(0.0, (ratio - {K.RATIO_FLOOR}) / {K.RATIO_SPAN}) * {K.RATIO_TOP}) AS score
+      FROM every LEFT JOIN ratio ON a = q AND b = c)
+    SELECT q, qf, c, cf, round(score, 6) AS score FROM scored WHERE score >= 0.55""")
 def _(t):
     q = M.with_keys(requests(t), "query", "q", "qf")
-    c = M.with_keys(t.part.select(F.concat(F.reverse(F.substring("p_name", 1, 2)), F.expr("substr(p_name, 3)")).alias("title")), "title", "c", "cf")
+    c = M.with_keys(t.part.select(F.expr(TWISTED).alias("title")), "title", "c", "cf")
     return M.fuzzy_title_pairs(q, c, 0.55).withColumn("score", F.round("score", 6))
 
 
@@ -120,13 +138,16 @@ def _(t):
     return M.fuzzy_title_pairs(q, c, 0.72).withColumn("score", F.round("score", 6))
 
 
-@query("g2_author_similarity", f"""SELECT query_id, CASE WHEN hk = '' OR ak = '' THEN 0.0::DOUBLE WHEN hk = ak THEN 1.0 WHEN contains(hk, ak) OR contains(ak, hk) THEN 0.8 ELSE 0.0 END AS band
-    FROM (SELECT query_id, {HINT_KEY} AS hk, {AUTHOR_KEY} AS ak FROM (SELECT p_partkey AS query_id, {CAT_AUTHOR} AS author, {HINT.replace('query_id', 'p_partkey')} AS hint FROM part))""")
+@query("g2_author_similarity", f"""WITH RECURSIVE n AS (SELECT query_id, {HINT_KEY} AS hk, {AUTHOR_KEY} AS ak
+      FROM (SELECT p_partkey AS query_id, {CAT_AUTHOR} AS author, {HINT.replace('query_id', 'p_partkey')} AS hint FROM part)),
+    p AS (SELECT hk AS a, ak AS b FROM n), {S.ratio_ctes('p')}
+    SELECT query_id, round(CASE WHEN hk = '' OR ak = '' THEN 0.0::DOUBLE WHEN hk = ak THEN 1.0 WHEN contains(hk, ak) OR contains(ak, hk) THEN 0.8 ELSE ratio END, 6) AS similar
+    FROM n LEFT JOIN ratio ON a = hk AND b = ak""")
 def _(t):
     from bookloom.functions.text import norm_title
     d = t.part.select(F.col("p_partkey").alias("query_id"), F.expr(CAT_AUTHOR).alias("author"))
-    return d.select("query_id", Sim.author_similarity(norm_title(F.expr(HINT), strip_brackets=False),
-                                                      norm_title("author", strip_brackets=False)).alias("band"))
+    return d.select("query_id", F.round(Sim.author_similarity(norm_title(F.expr(HINT), strip_brackets=False),
+                                                              norm_title("author", strip_brackets=False)), 6).alias("similar"))
 
 
 DL = {"q": S.key_title("p_name"), "c": S.key_title("cand")}
@@ -143,13 +164,13 @@ def _(t):
     return t.part.select("p_partkey", F.round(Sim.download_title_score("p_name", F.expr(DL_CAND)), 6).alias("score"))
 
 
-@query("g4_rank_candidates", f"WITH {SCORED} SELECT query_id, cand_no, title, source, rank, fanfic_suspect, round(title_score, 6) AS title_score, score FROM ranked")
+@query("g4_rank_candidates", f"WITH RECURSIVE {SCORED} SELECT query_id, cand_no, title, source, rank, fanfic_suspect, round(title_score, 6) AS title_score, score FROM ranked")
 def _(t):
     d = M.rank_candidates(found(t), PRIORITY)
     return d.select("query_id", "cand_no", "title", "source", "rank", "fanfic_suspect", F.round("title_score", 6).alias("title_score"), "score")
 
 
-@query("e5_prefix_derivative_count", f"WITH {SCORED} SELECT DISTINCT query_id, CAST(derivatives AS BIGINT) AS derivatives, derivatives >= 3 AS cluster FROM scored")
+@query("e5_prefix_derivative_count", f"WITH RECURSIVE {SCORED} SELECT DISTINCT query_id, CAST(derivatives AS BIGINT) AS derivatives, derivatives >= 3 AS cluster FROM scored")
 def _(t):
     return M.prefix_derivatives(found(t))
 
@@ -159,17 +180,18 @@ SAME = """same AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r
       string_agg(title || '/' || author, ';' ORDER BY rank) AS same_titles FROM same WHERE n <= 5 GROUP BY query_id)"""
 
 
-@query("e4_dup_title_by_author", f"WITH {SCORED}, {SAME} SELECT query_id, rows, authors, rows > 1 AND authors > 1 AS ambiguous FROM st")
+@query("e4_dup_title_by_author", f"WITH RECURSIVE {SCORED}, {SAME} SELECT query_id, rows, authors, rows > 1 AND authors > 1 AS ambiguous FROM st")
 def _(t):
     return M.same_title(scored(t))
 
 
-DONOR = """best AS (SELECT * FROM ranked WHERE rank = 1), don AS (SELECT r.query_id, first(r.cover ORDER BY r.rank) AS donor_cover, first(r.source ORDER BY r.rank) AS cover_from
+DONOR = f"""best AS (SELECT * FROM ranked WHERE rank = 1), don AS (SELECT r.query_id, first(r.cover ORDER BY r.rank) AS donor_cover, first(r.source ORDER BY r.rank) AS cover_from
     FROM best b JOIN ranked r ON r.query_id = b.query_id AND r.rank > 1 AND b.cover = '' AND r.cover <> '' AND r.title_score >= 0.9
-    AND CASE WHEN b.author <> '' AND r.author <> '' THEN lower(b.author) = lower(r.author) ELSE r.title_score >= 0.99 END GROUP BY r.query_id)"""
+    JOIN sim ON sim.hk = {AUTHOR_KEY.replace('author', 'b.author')} AND sim.ak = {AUTHOR_KEY.replace('author', 'r.author')}
+    WHERE CASE WHEN b.author <> '' AND r.author <> '' THEN closeness >= 0.85 ELSE r.title_score >= 0.99 END GROUP BY r.query_id)"""
 
 
-@query("d12_cover_donor", f"WITH {SCORED}, {DONOR} SELECT * FROM don")
+@query("d12_cover_donor", f"WITH RECURSIVE {SCORED}, {DONOR} SELECT * FROM don")
 def _(t):
     return M.cover_donor(scored(t))
 
@@ -185,7 +207,7 @@ def names(c):
     return F.array_join(F.transform(c, lambda x: F.concat(x["title"], F.lit("/"), x["author"])), ";")
 
 
-@query("g5_resolve", f"""WITH {RESOLVED} SELECT query_id, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN author END AS author,
+@query("g5_resolve", f"""WITH RECURSIVE {RESOLVED} SELECT query_id, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN author END AS author,
     CASE WHEN ok THEN cover END AS cover, CASE WHEN ok THEN score END AS score, CASE WHEN NOT ok THEN title END AS weak, ok AND amb AS ambiguous,
     CASE WHEN ok THEN cover_from END AS cover_from, same_titles, CASE WHEN ok THEN alternatives ELSE '' END AS alternatives FROM res""")
 def _(t):
@@ -207,7 +229,7 @@ def _round(n, op):
     r{n} AS (SELECT w{n}.*, coalesce(amb, false) AS amb FROM w{n} LEFT JOIN a{n} USING (query_id) WHERE k = 1)"""
 
 
-@query("g6_two_round_resolve", f"""WITH {SCORED}, {_round(1, '<>')}, {_round(2, '=')}, c AS (SELECT req.query_id, coalesce(r1.title_score, 0) < 0.95 AND (coalesce(r2.title_score, 0) >= 0.95 OR r1.title IS NULL) AS two,
+@query("g6_two_round_resolve", f"""WITH RECURSIVE {SCORED}, {_round(1, '<>')}, {_round(2, '=')}, c AS (SELECT req.query_id, coalesce(r1.title_score, 0) < 0.95 AND (coalesce(r2.title_score, 0) >= 0.95 OR r1.title IS NULL) AS two,
       r1.title AS t1, r1.source AS s1, r1.title_score AS x1, r1.amb AS m1, r2.title AS t2, r2.source AS s2, r2.title_score AS x2, r2.amb AS m2
       FROM req LEFT JOIN r1 USING (query_id) LEFT JOIN r2 USING (query_id)),
     d AS (SELECT query_id, CASE WHEN two THEN t2 ELSE t1 END AS t, CASE WHEN two THEN s2 ELSE s1 END AS s, CASE WHEN two THEN x2 ELSE x1 END AS x, CASE WHEN two THEN m2 ELSE m1 END AS m FROM c)
@@ -227,7 +249,7 @@ def _fresh(have, more):
     return f"list_filter({more}, lambda v, i: NOT list_contains({have}, v) AND list_position({more}, v) = i)"
 
 
-@query("g6_two_round_candidates", f"""WITH {SCORED}, {_round(1, '<>')}, {_round(2, '=')}, {_lists(1)}, {_lists(2)},
+@query("g6_two_round_candidates", f"""WITH RECURSIVE {SCORED}, {_round(1, '<>')}, {_round(2, '=')}, {_lists(1)}, {_lists(2)},
     m AS (SELECT query_id, coalesce(x1, 0) >= 0.95 AS sure, coalesce(x1, 0) < 0.95 AND (coalesce(x2, 0) >= 0.95 OR x1 IS NULL) AS two,
       {', '.join(f'coalesce({c}{n}, []) AS {c}{n}' for n in (1, 2) for c in 'bsa')} FROM req LEFT JOIN l1 USING (query_id) LEFT JOIN l2 USING (query_id)),
     o AS (SELECT *, list_concat(b1, s1) AS h1, list_concat(list_concat(b1, s1), a1) AS p1, list_concat(b2, s2) AS h2, list_concat(list_concat(b2, s2), a2) AS p2 FROM m)
@@ -237,7 +259,7 @@ def _(t):
     return two_rounds(t).select("query_id", names("same_title").alias("same_titles"), names("alternatives").alias("alternatives"))
 
 
-@query("g7_author_gate", f"""WITH {RESOLVED}, m AS (SELECT r.query_id, {HINT.replace('query_id', 'r.query_id')} AS hint, r.rank, r.title, r.author,
+@query("g7_author_gate", f"""WITH RECURSIVE {RESOLVED}, m AS (SELECT r.query_id, {HINT.replace('query_id', 'r.query_id')} AS hint, r.rank, r.title, r.author,
       CASE WHEN r.rank = 1 THEN 0 WHEN r.title_score >= 0.97 AND s.n <= 5 THEN 1 ELSE 2 END AS grp,
       row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS seq FROM ranked r LEFT JOIN same s ON s.query_id = r.query_id AND s.rank = r.rank),
     hit AS (SELECT query_id, first(title ORDER BY grp, rank) AS title, first(author ORDER BY grp, rank) AS author FROM m
@@ -251,14 +273,14 @@ def _(t):
     return M.author_gate(r).select("query_id", "best.title", "best.author", F.col("weak.title").alias("weak"))
 
 
-@query("g8_auto_fill_gate", f"""WITH {RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title,
+@query("g8_auto_fill_gate", f"""WITH RECURSIVE {RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title,
     CASE WHEN ok AND title_score >= 0.95 THEN author ELSE '' END AS author, CASE WHEN ok AND title_score >= 0.95 THEN cover ELSE '' END AS cover,
     ok AND (title_score < 0.95 OR amb) AS ambiguous, CASE WHEN ok THEN round(title_score, 4) END AS title_match FROM res""")
 def _(t):
     return M.auto_fill_gate(M.resolve(scored(t), floor=0.92)).drop("candidates")
 
 
-@query("g14_resolve_by_site_order", f"""WITH {SCORED}, o AS (SELECT *, CASE position % 3 WHEN 0 THEN 'site' WHEN 1 THEN 'index' ELSE 'scored' END AS origin FROM scored),
+@query("g14_resolve_by_site_order", f"""WITH RECURSIVE {SCORED}, o AS (SELECT *, CASE position % 3 WHEN 0 THEN 'site' WHEN 1 THEN 'index' ELSE 'scored' END AS origin FROM scored),
     tr AS (SELECT *, CASE WHEN origin = 'index' AND title_score >= 0.995 THEN 1 WHEN origin = 'site' AND (matched_by IS NOT NULL OR title_score >= 0.85) THEN 2
       WHEN origin = 'scored' AND (matched_by IS NOT NULL OR title_score >= 0.85) THEN 3 END AS tier FROM o)
     SELECT query_id, CAST(first(tier ORDER BY tier, CASE WHEN origin = 'index' THEN -title_score ELSE 0 END, position) AS INTEGER) AS tier,

@@ -114,7 +114,7 @@ def _(t):
     return W.book_markdown(t.conversations.withColumn("number", F.col("turn") + 1), books, "conv_id", "number", "role", "text", F.lit("2026-01-01"))
 
 
-@query("a14_write_resolution", f"WITH {PM.RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN round(CAST(score AS DECIMAL(18, 6)), 4)::DOUBLE END AS score, ok AND amb AS ambiguous FROM res")
+@query("a14_write_resolution", f"WITH RECURSIVE {PM.RESOLVED} SELECT query_id, ok AS found, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN round(CAST(score AS DECIMAL(18, 6)), 4)::DOUBLE END AS score, ok AND amb AS ambiguous FROM res")
 def _(t):
     path = shared_folder(t, "resolution")
     W.write_resolution(M.resolve(PM.scored(t), floor=0.92), path)

@@ -90,3 +90,15 @@ def unescape(x: str) -> str:
 
 
 HEADING_SQL = r"^\S+( \S+){0,2}[.]$"  # the heading rule the fixture documents are split with
+
+
+def ratio_ctes(pairs: str, name: str = "ratio") -> str:
+    """CTEs (to follow WITH RECURSIVE) that add the matching ratio to the distinct texts (a, b) of `pairs`: the longest common part (the
+    earliest in a, then in b) counts, then what is left of it in both texts, and what is right of it."""
+    return f"""{name}_open AS (SELECT DISTINCT a, b, a AS x, b AS y, 0::BIGINT AS n FROM {pairs}
+      UNION ALL SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + l)]) AS x, unnest([substr(y, 1, j - 1), substr(y, j + l)]) AS y, unnest([l, 0]) AS n
+      FROM (SELECT a, b, x, y, m.l AS l, -m.i AS i, strpos(y, substr(x, -m.i, m.l)) AS j FROM (
+        SELECT a, b, x, y, list_max(flatten(list_transform(range(1, length(x) + 1), lambda l: list_transform(
+          list_filter(range(1, length(x) - l + 2), lambda i: contains(y, substr(x, i, l))), lambda i: {{'l': l, 'i': -i}})))) AS m FROM {name}_open WHERE x <> '' AND y <> '')
+        WHERE m IS NOT NULL)),
+    {name} AS MATERIALIZED (SELECT a, b, 2.0::DOUBLE * sum(n) / (length(a) + length(b)) AS ratio FROM {name}_open GROUP BY a, b)"""
