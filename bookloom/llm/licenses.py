@@ -79,9 +79,11 @@ def license_scan(texts: DataFrame, known: DataFrame, text: str = "text") -> Data
 
 def license_lines(docs: DataFrame, known: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, license_id): the lines, from 1, of each document that are, as entire texts, a known licence or notice."""
-    lines = docs.select(F.col(key).alias(key), F.posexplode(F.split(text, "\n")).alias("line", "text")) \
-        .withColumn("line", F.col("line") + 1)
-    return license_scan(lines, known).where("license_id is not null").select(key, "line", "license_id")
+    # digests are made before the lines become rows, so that no later filter or join makes them again
+    digests = F.transform(F.split(F.col(text), "\n"), lambda line: digest(line))
+    lines = docs.select(F.col(key).alias(key), F.posexplode(digests).alias("line", "digest")).where("digest is not null")
+    return lines.join(_sent(known.select("digest", "license_id")), "digest") \
+        .select(key, (F.col("line") + 1).alias("line"), "license_id")
 
 
 def op1_license_scan(spark, folder: str) -> DataFrame:
