@@ -1,10 +1,14 @@
 """Queries for order, duplicates, tiers, boards and recommendation (groups F and G9-G13)."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from bookloom.operators import boards as B, library, ordering as O, sections
 from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query
+from bookloom.plans.sources import shared_folder
+from bookloom.session import cut_lineage
 
 
 @query("f1_dedup_keep_first", "SELECT min(p_partkey) AS p_partkey, p_name FROM part GROUP BY p_name")
@@ -135,19 +139,27 @@ def request_lists(t):
     return library_, seen
 
 
-def pick_sql(title, batch):
-    """The greedy as a walk over all visits: quota pass in bucket order, then fill pass; one recursion step per visit."""
-    return f"""{POOL}, lib AS (SELECT DISTINCT {S.key_title('p_name')} AS k FROM part WHERE p_size = 50), seen AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier),
+def pick_sql(title, batch, n=14, tag="", library="p_size = 50", more=""):
+    """The greedy as a walk over all visits: quota pass in bucket order, then fill pass; one recursion step per visit. `tag` makes the
+    names of the parts differ where several walks stand in one statement, `more` is a query of further seen ids."""
+    seats = B.quotas(n)
+    plan = ", ".join(f"('{b}', {i}, {seats[b]})" for i, b in enumerate(("正经书", "男频起点大火", "男频起点新作", "男频番茄", "女频晋江大火", "女频晋江新作"), 1))
+    parts = _walk(title, batch, n, library, more, plan)
+    return POOL + ", " + (re.sub(r"\b(lib|seen|cand|fit|r0|r|plan|fill|visits|st|picked)\b", lambda m: m[0] + tag, parts) if tag else parts)
+
+
+def _walk(title, batch, n, library, more, plan):
+    return f"""lib AS (SELECT DISTINCT {S.key_title('p_name')} AS k FROM part WHERE {library}), seen AS (SELECT CAST(s_suppkey AS VARCHAR) AS k FROM supplier{more}),
     cand AS (SELECT *, {title} AS shown FROM sc WHERE title <> '' AND book_id NOT IN (SELECT k FROM seen)),
     fit AS (SELECT * FROM cand WHERE {S.key_title('shown')} NOT IN (SELECT k FROM lib) AND {S.key_title('shown')} NOT IN (SELECT k FROM seen)),
     r0 AS (SELECT *, split_part(tags, ' ', 1) AS tag, row_number() OVER (PARTITION BY bucket ORDER BY pick_score DESC, pos) - 1 AS k, count(*) OVER (PARTITION BY bucket) AS n FROM fit),
     r AS (SELECT *, ((k - {batch * 17}) % n + n) % n AS turn FROM r0),
-    plan(bucket, ord, seats) AS (VALUES ('正经书', 1, 2), ('男频起点大火', 2, 3), ('男频起点新作', 3, 2), ('男频番茄', 4, 2), ('女频晋江大火', 5, 3), ('女频晋江新作', 6, 2)),
+    plan(bucket, ord, seats) AS (VALUES {plan}),
     fill(bucket, ord, seats) AS (VALUES ('正经书', 11, 99), ('男频起点大火', 12, 99), ('男频起点新作', 13, 99), ('女频晋江大火', 14, 99), ('女频晋江新作', 15, 99), ('出版', 16, 99), ('女频番茄', 17, 99)),
     visits AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord, turn) AS v, * FROM (SELECT ord, seats, turn, pos, tag, source FROM r JOIN plan USING (bucket) UNION ALL SELECT ord, seats, turn, pos, tag, source FROM r JOIN fill USING (bucket))),
     st AS (SELECT 0::BIGINT AS v, []::BIGINT[] AS ids, []::VARCHAR[] AS tags, []::VARCHAR[] AS sources, 0 AS got, 0 AS cur UNION ALL
       SELECT v, CASE WHEN take THEN list_append(ids, pos) ELSE ids END, CASE WHEN take THEN list_append(tags, tag) ELSE tags END, CASE WHEN take THEN list_append(sources, source) ELSE sources END,
-        CASE WHEN take THEN g + 1 ELSE g END, ord FROM (SELECT *, len(ids) < 14 AND g < seats AND NOT list_contains(ids, pos) AND (tag = '' OR len(list_filter(tags, lambda x: x = tag)) < 2)
+        CASE WHEN take THEN g + 1 ELSE g END, ord FROM (SELECT *, len(ids) < {n} AND g < seats AND NOT list_contains(ids, pos) AND (tag = '' OR len(list_filter(tags, lambda x: x = tag)) < 2)
         AND len(list_filter(sources, lambda x: x = source)) < 6 AS take FROM (SELECT x.v, x.ord, x.seats, x.pos, x.tag, x.source, st.ids, st.tags, st.sources, CASE WHEN st.cur = x.ord THEN st.got ELSE 0 END AS g
         FROM st JOIN visits x ON x.v = st.v + 1))),
     picked AS (SELECT unnest(ids) AS pos, generate_subscripts(ids, 1) AS seat FROM st WHERE v = (SELECT max(v) FROM visits))"""
@@ -169,6 +181,49 @@ def _(t):
     return B.recommend(p, lib, seen, detail, n=14, batch=1).select("seat", "pos", "title", "author", "intro")
 
 
+# several requests in one job, each with its own library, batch and number of seats
+REQUESTS = ((1, 10, 1, "p_size = 50"), (2, 14, 2, "p_name LIKE 'b%'"), (3, 23, 7, "p_partkey % 97 = 3"))
+
+
+def request_tables(t):
+    asked = t.spark.createDataFrame([r[:3] for r in REQUESTS], "request long, n long, batch long")
+    own = [t.part.where(cond).select(F.lit(r).cast("long").alias("request"), F.col("p_name").alias("title")) for r, _, _, cond in REQUESTS]
+    seen = t.supplier.select(F.explode(F.array(*[F.lit(r[0]).cast("long") for r in REQUESTS])).alias("request"), F.col("s_suppkey").cast("string").alias("id"))
+    return asked, own[0].union(own[1]).union(own[2]), seen
+
+
+def requests_sql():
+    walks = [pick_sql("title", batch, n, f"_{r}", library) for r, n, batch, library in REQUESTS]
+    every = " UNION ALL ".join(f"SELECT {r}::BIGINT AS request, seat, pos, title, source, bucket FROM picked_{r} JOIN sc USING (pos)" for r, *_ in REQUESTS)
+    return f"WITH RECURSIVE {POOL}, " + ", ".join(w.removeprefix(POOL + ", ") for w in walks) + " " + every
+
+
+@query("g11_pick_requests", requests_sql())
+def _(t):
+    return B.pick_requests(pool(t), *request_tables(t)).select("request", "seat", "pos", "title", "source", "bucket")
+
+
+def batches_sql():
+    """Three batches in a row; what the earlier ones picked is seen by the later ones."""
+    walks, more = [], ""
+    for k in (1, 2, 3):
+        walks.append(pick_sql("title", k, 12, f"_{k}", more=more).removeprefix(POOL + ", "))
+        more += f" UNION ALL SELECT CAST(pos AS VARCHAR) FROM picked_{k}"
+    every = " UNION ALL ".join(f"SELECT {k}::BIGINT AS batch, seat, pos, title FROM picked_{k} JOIN sc USING (pos)" for k in (1, 2, 3))
+    return f"WITH RECURSIVE {POOL}, " + ", ".join(walks) + " " + every
+
+
+@query("g12_recommend_batches", batches_sql())
+def _(t):
+    lib, seen = (d.select(F.lit(1).cast("long").alias("request"), F.col(d.columns[0]).alias(n)) for d, n in zip(request_lists(t), ("title", "id"), strict=True))
+    asked = t.spark.range(1, 2).select(F.col("id").alias("request"), F.lit(12).cast("long").alias("n"))
+    detail = t.part.select(F.col("p_partkey").cast("string").alias("book_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("author"),
+                           F.array("p_type").alias("tags"), F.col("p_type").alias("intro"))
+    ledger, books = shared_folder(t, "ledger"), cut_lineage(pool(t).withColumn("intro", F.lit("")))
+    out = [B.recommend_next(books, asked, lib, seen, detail, ledger, k).withColumn("batch", F.lit(k).cast("long")) for k in (1, 2, 3)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("batch", "seat", "pos", "title")
+
+
 @query("g13_full_text_search", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
     h AS (SELECT *, strpos(lower(line), 'tion') AS place FROM l WHERE contains(lower(line), 'tion'))
     SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(place AS INTEGER) AS place, substr(line, greatest(place - 20, 1), CAST(place - greatest(place - 20, 1) + 24 AS BIGINT)) AS excerpt,
