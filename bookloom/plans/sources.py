@@ -97,14 +97,15 @@ def _(t):
 
 @query("a13_write_books", """SELECT conv_id, 'Book ' || conv_id || chr(10) || chr(10) || string_agg(chr(10) || chr(10) || role || chr(10) || chr(10) || text || chr(10), '' ORDER BY turn) AS book FROM conversations GROUP BY conv_id""")
 def _(t):
-    """Writes the books, reads the files back, and puts each book's parts together in file order."""
+    """Writes the books, finds each one's files in the manifest and puts its fragments together."""
     path = shared_folder(t, "books")
     books = t.conversations.select("conv_id").distinct().withColumn("title", F.concat(F.lit("Book "), F.col("conv_id").cast("string")))
     W.write_books(W.book_fragments(t.conversations, books, "conv_id", "turn", "role", "text"), path, "conv_id")
-    parts = t.spark.read.text(path, wholetext=True).select(F.col("conv_id").cast("long").alias("conv_id"), F.input_file_name().alias("f"), "value")
-    # one row per file: a book has as many as its share of the output partitions
-    return parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("f", "value"))).alias("p")) \
-                .select("conv_id", F.array_join(F.transform("p", lambda x: x["value"]), "").alias("book"))
+    found = t.spark.read.parquet(f"{path}/manifest").select("book", "file", "first_pos", "last_pos").withColumnsRenamed({"book": "_b", "file": "_f"})
+    rows = t.spark.read.parquet(f"{path}/data").withColumn("file", F.element_at(F.split("_metadata.file_path", "/"), -1))
+    rows = rows.join(found, (F.col("book") == F.col("_b")) & (F.col("file") == F.col("_f")) & F.col("pos").between(F.col("first_pos"), F.col("last_pos")))
+    return rows.groupBy(F.col("book").alias("conv_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "fragment"))).alias("p")) \
+               .select("conv_id", F.array_join(F.transform("p", lambda x: x["fragment"]), "").alias("book"))
 
 
 @query("a13_book_markdown", """SELECT conv_id, 0 AS pos, '---' || chr(10) || 'title: "Book ' || conv_id || '"' || chr(10) || 'author: "Ann"' || chr(10) || 'date: "2026-01-01"' || chr(10) || 'lang: zh-CN' || chr(10) || '---' || chr(10) || chr(10) AS fragment
