@@ -11,6 +11,8 @@ from bookloom.session import cut_lineage
 CAP = 3
 #: weights of the sources in code point order, repeating
 WEIGHTS = (1, 2, 3)
+#: inclusion odds of a certain document
+CERTAIN = 1e9
 #: a source that misses more than this share of its target takes one document too many where that brings it nearer
 MISSED = 0.01
 #: repeated rows that are too heavy for a stretch, sent to all tasks up to this number
@@ -42,31 +44,72 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     return line.withColumn("target", F.least(F.col("weight") * share, most.cast("double"))).drop("weight")
 
 
+def breadth(size: Column) -> Column:
+    """What a document counts for when the inclusion odds are dealt out: the root of its words, so that a long text is wanted more than a short
+    one, but by far not in proportion, and a few long ones do not use up a source's words."""
+    return F.greatest(F.floor(F.sqrt(size.cast("double")) * 1000), F.lit(1)).cast("long")
+
+
+def inclusion(size: Column, level: Column) -> Column:
+    """Probability that a document of this size gets one more copy; 1 for sizes up to a point that the source's level sets."""
+    return F.least(level * breadth(size) / size, F.lit(1.0))
+
+
+def odds(size: Column, level: Column) -> Column:
+    """Inclusion odds; very high ones for certain documents, which therefore come first."""
+    p = inclusion(size, level)
+    return F.when(p < 1 - 1 / CERTAIN, p / (1 - p)).otherwise(F.lit(CERTAIN))
+
+
+def levels(sizes: DataFrame, by: DataFrame) -> DataFrame:
+    """(source, level): the level at which the expected words, the sum of inclusion probability times size, are the words wanted.
+
+    sizes has (source, size, n), by the words wanted (_left). In order of size, all documents up to one are certain and the rest
+    share what they leave in proportion to their breadth. Running sums over the different sizes tell which size that is: the last one
+    up to which certain documents do not ask for too much.
+    """
+    rows = sizes.where("size > 0").select("source", "size", (F.col("size") * F.col("n")).alias("_w"), (breadth(F.col("size")) * F.col("n")).alias("_r"))
+    line = Ordered(rows, ["source"], [F.col("size").asc()]).add("_ws", F.col("_w")).add("_rs", F.col("_r")).done()
+    line = cut_lineage(line)
+    whole = line.groupBy("source").agg(F.max("_rs").alias("_all"))
+    wanted = by.select(F.col("source").alias("_s"), "_left").where("_left > 0").join(whole.withColumnRenamed("source", "_t"), _same("_s", "_t"))
+    asked = F.col("_ws") + F.col("size") / breadth(F.col("size")) * (F.col("_all") - F.col("_rs"))
+    sure = line.join(wanted.select("_s", "_left", "_all"), _same("source", "_s")).where(asked <= F.col("_left")) \
+        .groupBy("_s").agg(F.max("_ws").alias("_ws"), F.max("_rs").alias("_rs"))
+    found = wanted.join(sure.withColumnRenamed("_s", "_c"), _same("_s", "_c"), "left")
+    rest = F.greatest(F.col("_all") - F.coalesce("_rs", F.lit(0)), F.lit(1))
+    return cut_lineage(found.select(F.col("_s").alias("source"), ((F.col("_left") - F.coalesce("_ws", F.lit(0))) / rest).alias("level")))
+
+
 def plan(docs: DataFrame, seed: str = "mix", **kw) -> tuple[DataFrame, DataFrame]:
-    """One row per source: target, whole copies, inclusion odds and the accepted stretches of the sampling order; and the groups
-    of repeated rows that are too heavy for the stretch they lie in.
-
-    `docs` has source, size and the random number _u. With ratio r = target / source_size each document is wanted r times:
-    floor(r) copies are certain, and frac(r) is the inclusion probability of one more. Documents are ranked by their random
-    odds u/(1-u) divided by the inclusion odds, and taken in that order while their words fit the words that are still
-    wanted (fixed size in words). What then remains is filled, in the same order, with later documents that still fit, until none does;
-    earlier ones were too heavy for more than is left now. Repeated rows are weighed together. If more than MISSED of the target is still
+    """One row per source: target, whole copies, the level of its inclusion odds and the accepted stretches of the sampling order; and the
+    groups of repeated rows that are too heavy for the stretch they lie in.
+
+    `docs` has source, size and the random number _u. With ratio r = target / source_size, floor(r) copies of each document are certain.
+    For the words that are still wanted each document has an inclusion probability by its length (see `inclusion`), such that the
+    expected words are the words wanted. Documents are ranked by their random odds u/(1-u) divided by their inclusion odds (Pareto order
+    sampling), and taken in that order while their words fit the words that are still wanted (fixed size in words). What then remains
+    is filled, in the same order, with later documents that still fit, until none does; earlier ones were too heavy for more than is
+    left now. Each round of filling leaves fewer words than the document weighs that ended it, so there are at most as many rounds as
+    different weights, and a handful in practice. Repeated rows are weighed together. If more than MISSED of the target is still
     missing, the first document that brings the source nearer to it is taken as well.
     """
     keys = cut_lineage(docs.groupBy("source", "_u", "size").agg(F.count(F.lit(1)).alias("_c")))
     sizes = keys.groupBy("source").agg(F.sum(F.col("size") * F.col("_c")).alias("source_size"))
     by = targets(sizes, **kw)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    by = by.withColumn("whole", F.floor(ratio).cast("int")).withColumn("_f", ratio - F.floor(ratio))
-    by = by.withColumn("odds", F.col("_f") / (1 - F.col("_f"))) \
-        .withColumn("_left", F.col("target") - F.col("whole") * F.col("source_size")) \
-        .withColumn("_from", F.lit(-1.0)).withColumn("taken", F.array().cast("array<struct<above:double,upto:double,fit:double>>")).drop("_f")
+    by = by.withColumn("whole", F.floor(ratio).cast("int")) \
+        .withColumn("_left", F.col("target") - F.col("whole") * F.col("source_size"))
+    by = cut_lineage(by)
+    level = levels(keys.groupBy("source", "size").agg(F.sum("_c").alias("n")), by).withColumnRenamed("source", "_l")
+    by = by.join(level, _same("source", "_l"), "left").drop("_l").withColumn("level", F.coalesce("level", F.lit(0.0))) \
+        .withColumn("_from", F.lit(-1.0)).withColumn("taken", F.array().cast("array<struct<above:double,upto:double,fit:double>>"))
     by = cut_lineage(by)
-    left = keys.select(F.col("source").alias("_s"), "_u", "size", "_c", (F.col("size") * F.col("_c")).alias("_w"))
+    left = keys.where("size > 0").select(F.col("source").alias("_s"), "_u", "size", "_c", (F.col("size") * F.col("_c")).alias("_w"))
 
     def beside(*columns: str) -> DataFrame:
-        return left.join(by.where("odds > 0").select("source", "odds", *columns), _same("_s", "source")) \
-            .withColumn("_q", pareto(F.col("_u"), F.col("odds")))
+        return left.join(by.where("level > 0").select("source", "level", *columns), _same("_s", "source")) \
+            .withColumn("_q", pareto(F.col("_u"), odds(F.col("size"), F.col("level"))))
 
     while True:  # what is left shrinks below the weight of each document that did not fit
         cand = beside("_left", "_from").where((F.col("_w") <= F.col("_left")) & (F.col("_q") > F.col("_from"))) \
@@ -79,7 +122,7 @@ def plan(docs: DataFrame, seed: str = "mix", **kw) -> tuple[DataFrame, DataFrame
         took = F.col("_upto").isNotNull()
         step = F.struct(F.col("_from").alias("above"), F.col("_upto").alias("upto"), F.col("_left").alias("fit"))
         by = cut_lineage(by.join(end, _same("source", "_s"), "left").select(
-            "source", "source_size", "target", "whole", "odds",
+            "source", "source_size", "target", "whole", "level",
             (F.col("_left") - F.coalesce("_got", F.lit(0))).alias("_left"),
             F.coalesce("_upto", "_from").alias("_from"),
             F.when(took, F.concat("taken", F.array(step))).otherwise(F.col("taken")).alias("taken")))
@@ -97,8 +140,8 @@ def inside(taken: Column, q: Column, weight: Column) -> Column:
     return F.exists(taken, lambda x: (q > x["above"]) & (q <= x["upto"]) & (weight <= x["fit"]))
 
 
-def pareto(u: Column, odds: Column) -> Column:
-    return u / (1 - u) / F.nullif(odds, F.lit(0.0))
+def pareto(u: Column, inclusion_odds: Column) -> Column:
+    return u / (1 - u) / inclusion_odds
 
 
 def random(doc: Column, text: Column, seed: str) -> Column:
@@ -114,26 +157,28 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     taken. Rows that are repeated share one random number and are taken or left together; ties of the random number likewise. An empty
     table gives an empty result. Other columns are kept; a column with the name of an added one is replaced.
     """
-    # the parts are named apart from whatever columns the table has
-    own = docs.drop("size", "source_size", "target", "copies").withColumn("_size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")) \
-        .withColumn("_u", random(F.col(key), F.col(text), seed))
-    by, heavy = plan(own.select(F.col(source).alias("source"), F.col("_size").alias("size"), "_u"), seed, **kw)
-    by = by.select(F.col("source").alias("_src"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-                   "whole", "odds", F.col("taken").alias("_taken"), F.col("over").alias("_over"))
-    kept = [c for c in own.columns if c not in ("_size", "_u")]
-    out = own.join(by.select(F.col("_src"), F.struct("_source_size", "_target", "whole", "odds", "_taken", "_over").alias("_by")),
-                   _same(source, "_src"))
-    q = pareto(F.col("_u"), F.col("_by.odds"))
-    one_more = inside(F.col("_by._taken"), q, F.col("_size"))
+    # the row travels as one column, so that none of its names can clash
+    added = ("size", "source_size", "target", "copies")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(source).alias("_source"),
+                      F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+                      random(F.col(key), F.col(text), seed).alias("_u"))
+    by, heavy = plan(own.select(F.col("_source").alias("source"), F.col("_size").alias("size"), "_u"), seed, **kw)
+    by = by.select(F.col("source").alias("_src"), F.struct("source_size", "target", "whole", "level", "taken", "over").alias("_by"))
+    out = own.join(by, _same("_source", "_src"))
+    q = pareto(F.col("_u"), odds(F.col("_size"), F.col("_by.level")))
+    one_more = inside(F.col("_by.taken"), q, F.col("_size"))
     n = heavy.limit(SENT_GROUPS + 1).count()
     if n:
         out = out.join(F.broadcast(heavy) if n <= SENT_GROUPS else heavy,
-                       _same(source, "_hs") & (F.col("_u") == F.col("_hu")) & (F.col("_size") == F.col("_hn")), "left")
+                       _same("_source", "_hs") & (F.col("_u") == F.col("_hu")) & (F.col("_size") == F.col("_hn")), "left")
         one_more = one_more & F.col("_hu").isNull()
-    one_more = one_more | F.coalesce((q == F.col("_by._over._q")) & (F.col("_size") == F.col("_by._over.size")), F.lit(False))
-    copies = F.col("_by.whole") + F.coalesce(one_more & (F.col("_by.odds") > 0), F.lit(False)).cast("int")
-    return out.select(*kept, F.col("_size").alias("size"), F.col("_by._source_size").alias("source_size"),
-                      F.col("_by._target").alias("target"), copies.cast("int").alias("copies"))
+    one_more = one_more | F.coalesce((q == F.col("_by.over._q")) & (F.col("_size") == F.col("_by.over.size")), F.lit(False))
+    wanted = (F.col("_size") > 0) & (F.col("_by.level") > 0)
+    copies = F.col("_by.whole") + F.when(wanted, F.coalesce(one_more, F.lit(False))).otherwise(False).cast("int")
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added]
+    # the row is unpacked in a step of its own: where its names stand beside those used above they could be taken for them
+    out = out.select("_row", F.struct(F.col("_size").alias("size"), "_by.source_size", "_by.target", copies.cast("int").alias("copies")).alias("_m"))
+    return out.select(*kept, *[F.col(f"_m.{c}").alias(c) for c in added])
 
 
 def op7_mixing(spark, folder: str) -> DataFrame:

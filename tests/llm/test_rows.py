@@ -325,3 +325,44 @@ def test_text_media_round_trip_and_edge_rows(spark):
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"P5 9")), (4, bytearray(b"P5 0 3 255\n"))], "id long, media binary")
     assert [(r.dhash, bool(r.problem)) for r in media.media_tiles(bad).collect()] == [(None, True)] * 4
     assert media.media_tiles(bad.limit(0)).count() == 0 and media.text_media(none(spark)).count() == 0
+
+
+# --- inclusion probabilities of the mix ---------------------------------------------------------------------
+
+def test_inclusion_follows_the_length_and_meets_the_words(spark):
+    """40 sources with the same sizes stand for as many draws: how often a size is taken follows its inclusion probability, and the
+    expected words are the words wanted."""
+    sizes = [5] * 40 + [40] * 60 + [300] * 60 + [1500] * 20
+    docs = [(1000 * g + i, "w " * n, f"s{g:03}") for g in range(40) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.with_copies(df, weights=(1, 3)).collect()
+    total = sum(sizes)
+    by = spark.createDataFrame([("s", total / 2)], "source string, _left double")
+    classes = spark.createDataFrame([("s", n, sizes.count(n)) for n in set(sizes)], "source string, size long, n long")
+    level = mixing.levels(classes, by).first()["level"]
+    p = {r["size"]: r["p"] for r in classes.select("size", mixing.inclusion(F.col("size"), F.lit(level)).alias("p")).collect()}
+    assert abs(sum(p[n] * n for n in sizes) - total / 2) < 1e-6 * total
+    assert 1 >= p[5] >= p[40] > p[300] > p[1500] > 0
+    for n in set(sizes):
+        extra = [r.copies - int(r.target // r.source_size) for r in got if r["size"] == n]
+        assert len(extra) == 40 * sizes.count(n) and abs(sum(extra) / len(extra) - p[n]) < 0.1, (n, p[n], sum(extra) / len(extra))
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= 0.05 * mine[0].target
+
+
+def test_small_documents_are_certain_where_much_is_wanted(spark):
+    classes = spark.createDataFrame([("s", 1, 50), ("s", 100, 5), ("s", 10_000, 1), ("t", 7, 3)], "source string, size long, n long")
+    by = spark.createDataFrame([("s", 9000.0), ("t", 20.0)], "source string, _left double")
+    levels = {r.source: r.level for r in mixing.levels(classes, by).collect()}
+    p = {r["size"]: r.p for r in classes.where("source = 's'").select("size", mixing.inclusion(F.col("size"), F.lit(levels["s"])).alias("p")).collect()}
+    assert p[1] == p[100] == 1.0 and abs(p[10_000] - (9000 - 550) / 10_000) < 1e-9
+    assert abs(classes.where("source = 't'").select(mixing.inclusion(F.col("size"), F.lit(levels["t"]))).first()[0] - 20 / 21) < 1e-9
+
+
+def test_clashing_columns_of_the_mix_keep_their_values(spark):
+    names = ("_u", "_src", "_by", "_size", "_row", "_hs", "_hu", "_hn", "_source", "level", "whole")
+    df = spark.createDataFrame([(i, "a b c", "s") for i in range(6)], "doc_id long, text string, source string").selectExpr(
+        "*", *[f"'{c}' as `{c}`" for c in names])
+    for r in mixing.with_copies(df.union(df)).collect():
+        assert all(r[c] == c for c in names)
