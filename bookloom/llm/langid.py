@@ -136,6 +136,12 @@ class Model:
         return self.languages[i], float(p[i])
 
 
+def readable(text: pa.StringScalar) -> str | None:
+    """The text of a value; bytes that are no valid UTF-8 count as replacement characters, which are no letters."""
+    raw = text.as_buffer()
+    return None if raw is None else raw.to_pybytes().decode("utf-8", "replace")
+
+
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Learn from the rows where `learn` holds and text and lang are not null; without any, every text is `und`."""
     spark = docs.sparkSession
@@ -147,7 +153,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         seen, n = np.zeros(SPACE, np.int64), 0
         for b in batches:
             for t in b.column(0):
-                count = grams(t.as_py())
+                count = grams(readable(t))
                 n += 1
                 seen += count > 0
         at = np.append(np.flatnonzero(seen), SPACE)  # the last is the number of texts
@@ -183,7 +189,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [weighted(grams(t.as_py()), idf) for t in b.column(2)]
+            made = [weighted(grams(readable(t)), idf) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(3), pa.array([m[0] for m in made], pa.list_(pa.int64())),
                  pa.array([m[1] for m in made], pa.list_(pa.float64()))], ["h", "lang", "r", "at", "x"])
@@ -203,7 +209,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred and score (calibrated probability, 0 to 1) from the whole text alone.
 
     A null and a text without letters get `und` with score 0, as all texts do where nothing could be learned. Equal texts
-    get equal results; no row is lost. Other columns are kept; a column with the name of an added one is replaced.
+    get equal results; no row is lost. Bytes that are no valid UTF-8 are no letters; a text may be of any length. Other columns are kept; a column with the name of an added one is replaced.
     """
     base = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -211,7 +217,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @tidy
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
-            made = [sent.value.predict(t.as_py()) for t in column]
+            made = [sent.value.predict(readable(t)) for t in column]
             yield pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())],
                                              ["lang_pred", "score"])
 

@@ -188,7 +188,8 @@ def text_media(docs: DataFrame, text: str = "text", form: str = "netpbm") -> Dat
         for b in batches:
             at = b.schema.get_field_index(text)
             for i in range(b.num_rows):  # a row at a time: media are as large as the texts
-                raw = (b.column(at)[i].as_py() or "").encode()
+                held = b.column(at)[i].as_buffer()  # the bytes as they are, whether or not they are valid UTF-8
+                raw = held.to_pybytes() if held is not None else b""
                 row = b.slice(i, 1)
                 yield pa.RecordBatch.from_arrays(
                     [*row.columns, pa.array([len(raw)], pa.int64()), pa.array([store(payload(raw))], pa.binary())],

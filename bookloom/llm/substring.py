@@ -169,7 +169,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 rest = w.joined(t, ~gone)
                 removed.append(int(gone.sum()))
                 spans.append([{"start": s, "end": e} for s, e in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True)])
-                kept.append(rest.decode())
+                kept.append(rest.decode("utf-8", "replace"))  # the digest is of the bytes as they are
                 sha.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(spans, span),
                                               pa.array(kept, pa.string()), pa.array(sha, pa.string())], ["i", "n", "s", "k", "h"])

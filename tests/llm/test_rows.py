@@ -366,3 +366,26 @@ def test_clashing_columns_of_the_mix_keep_their_values(spark):
         "*", *[f"'{c}' as `{c}`" for c in names])
     for r in mixing.with_copies(df.union(df)).collect():
         assert all(r[c] == c for c in names)
+
+
+# --- bytes that are no valid UTF-8 --------------------------------------------------------------------------
+
+def test_invalid_utf8_stops_nothing(spark):
+    import hashlib
+
+    from bookloom.llm import langid
+    from bookloom.llm.search import ranked_search
+    from bookloom.llm.simhash import simhash_duplicates
+    from bookloom.llm.substring import without_repeats
+    broken = b"good \xc3\x28 words \xff and more " * 4
+    df = spark.sql(f"SELECT 1L AS doc_id, CAST(X'{broken.hex()}' AS STRING) AS text, 'en' AS lang UNION ALL "
+                   f"SELECT 2L, CAST(X'{broken.hex()}' AS STRING), 'en' UNION ALL SELECT 3L, 'plain words', 'de'")
+    model = langid.fit(df, F.lit(True))
+    assert {r.lang_pred for r in langid.predict(df, model).where("doc_id < 3").collect()} <= {"en", "de"}
+    stored = {r.doc_id: r for r in media.digests(media.text_media(df)).collect()}
+    assert stored[1].n_bytes == len(broken) and stored[1].payload_sha256 == hashlib.sha256(media.payload(broken).tobytes()).hexdigest()
+    prints = {r.id: r.fp for r in simhash_duplicates(df).collect()}
+    assert prints[1] == prints[2] != prints[3]
+    assert without_repeats(df).count() == 3
+    asked = spark.createDataFrame([(1, "plain good")], "item_id long, text string")
+    assert sorted(r.id for r in ranked_search(df, asked).collect()) == [1, 2, 3]
