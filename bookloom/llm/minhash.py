@@ -21,6 +21,8 @@ ROWS = 3
 MISS = 5e-5
 #: texts that are compared with as many others in one task
 BLOCK = 256
+#: bytes of text in such a block; a longer text is a block of its own
+BLOCK_BYTES = 16 << 20
 #: ids that are sent to all tasks to pick texts; more are joined by a shuffle
 SENT_IDS = 1_000_000
 
@@ -54,16 +56,16 @@ def signature(s: np.ndarray, seeds: np.ndarray, factors: np.ndarray) -> np.ndarr
 
 
 def _signatures(docs: DataFrame, key: str, text: str, shingle: int, m: int) -> DataFrame:
-    """(id, n, d1, d2, keys): set size, a 128-bit digest of the set and the hashes of both collections."""
+    """(id, x, n, d1, d2, keys): hash of the text, set size, a 128-bit digest of the set and the hashes of both collections."""
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             seeds = mix(np.arange(1, 2 * m * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             factors = mix(seeds) | np.uint64(1)
             place = mix(np.arange(101, 101 + 2 * m, dtype=np.uint64))
-            for b in sliced(batches, 1):
+            for b in sliced(batches, 2):
                 sizes, d1, d2, keys = [], [], [], []
-                for s in shingle_sets(hashed(b.column(1), BLANK_SEPARATED, lower=True), shingle):
+                for s in shingle_sets(hashed(b.column(2), BLANK_SEPARATED, lower=True), shingle):
                     sizes.append(len(s))
                     d1.append(int(mix(s).sum()) if len(s) else 0)
                     d2.append(int(mix(s ^ np.uint64(0xA0761D6478BD642F)).sum()) if len(s) else 0)
@@ -71,11 +73,11 @@ def _signatures(docs: DataFrame, key: str, text: str, shingle: int, m: int) -> D
                     keys.append(mix(mix(mix(low[:, 0]) + low[:, 1]) + low[:, 2] + place).view(np.int64) if len(s) else None)
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(sizes, pa.int64()), signed(d1), signed(d2), pa.array(keys, pa.list_(pa.int64()))],
-                    ["id", "n", "d1", "d2", "keys"])
+                    [b.column(0), b.column(1), pa.array(sizes, pa.int64()), signed(d1), signed(d2), pa.array(keys, pa.list_(pa.int64()))],
+                    ["id", "x", "n", "d1", "d2", "keys"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text)) \
-        .mapInArrow(run, "id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("x"), F.col(text)) \
+        .mapInArrow(run, "id long, x long, n long, d1 long, d2 long, keys array<long>")
 
 
 def _tables(nodes: DataFrame, m: int) -> DataFrame:
@@ -122,7 +124,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, num: int, den: i
 def _across(tables: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of components that are linked, of tables that still hold several.
 
-    Texts that meet in such tables, directly or over others, are laid side by side and cut into blocks of BLOCK texts. Blocks that
+    Texts that meet in such tables, directly or over others, are laid side by side and cut into blocks of BLOCK texts or BLOCK_BYTES bytes. Blocks that
     share a table are compared in one task, all texts of a family with all others, as a product of two matrices; so pairs are never
     rows, and two components are named once by a pair of blocks.
     """
@@ -136,8 +138,10 @@ def _across(tables: DataFrame, comp: DataFrame, texts: DataFrame, shingle: int,
     heads = rest.join(tied, "id").select(F.col("head").alias("a"), F.col("one").alias("b")).distinct()
     family = components(heads.union(tied.select("id", "one")))
     members = rest.select("id", "comp").distinct().join(family.select("id", F.col("comp").alias("fam")), "id")
-    line = Ordered(members, [], [F.col("fam").asc(), F.col("id").asc()]).add("_n", F.lit(1)).done()
-    line = cut_lineage(line.select("id", "comp", "fam", F.expr(f"(_n - 1) div {BLOCK}").alias("block")))
+    members = members.join(texts.select("id", F.octet_length("t").alias("size")), "id")
+    line = Ordered(members, [], [F.col("fam").asc(), F.col("id").asc()]).add_all(_n=F.lit(1), _b=F.col("size")).done()
+    # both quotients only rise, so their sum is a number of its own for each stretch in which neither does
+    line = cut_lineage(line.select("id", "comp", "fam", F.expr(f"(_n - 1) div {BLOCK} + _b div {BLOCK_BYTES}").alias("block")))
     held = rest.select("key", "id").join(line.select("id", "block"), "id").select("key", "block").distinct()
     left, right = held.toDF("key", "p"), held.toDF("key", "q")
     pairs = left.join(right, "key").where("p <= q").select("p", "q").distinct()  # blocks of a table are neighbours
@@ -201,17 +205,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     num, den = similarity
     m = collection_size(num / den)
     sig = cut_lineage(_signatures(docs, key, text, shingle, m))
-    one = sig.where("id is not null and n > 0").groupBy("id").agg(F.min(F.struct("d1", "d2", "n", "keys")).alias("s"))
-    groups = one.select("id", "s.*").groupBy("d1", "d2").agg(F.min(F.struct("id", "keys")).alias("s"))
-    groups = cut_lineage(groups.select("d1", "d2", "s.id", "s.keys"))
+    one = sig.where("id is not null and n > 0").groupBy("id").agg(F.min(F.struct("d1", "d2", "n", "x", "keys")).alias("s"))
+    groups = one.select("id", "s.*").groupBy("d1", "d2").agg(F.min(F.struct("id", "x", "keys")).alias("s"))
+    groups = cut_lineage(groups.select("d1", "d2", "s.id", "s.x", "s.keys"))
     tables = cut_lineage(_tables(groups, m))
     top = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("deg", "id")).alias("top")).where("c > 1")
     tables = cut_lineage(tables.join(top.select("key", F.col("top.id").alias("top")), "key").select("key", "id", "deg", "top"))
     tested = cut_lineage(tables.where("id <> top").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct())
     ids = tested.select(F.col("a").alias("id")).union(tested.select(F.col("b").alias("id"))).distinct()
-    ids = cut_lineage(ids)
+    ids = cut_lineage(ids.join(groups.select("id", "x"), "id"))
     picked = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).join(picked, "id", "left_semi")
+    # of an id with several texts, the one that its hashes are of
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("x"), F.col(text).alias("t")) \
+        .join(picked, ["id", "x"], "left_semi")
     texts = cut_lineage(texts.groupBy("id").agg(F.min("t").alias("t")))
     links = cut_lineage(_verified(tested, texts, shingle, num, den))
     comp = components(links)

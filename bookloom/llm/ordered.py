@@ -28,22 +28,38 @@ class Ordered:
 
     def add(self, name: str, value: Column, total=ADD) -> Ordered:
         """Add the running total of a bigint value, up to and with the row."""
-        rows = self.rows.withColumn("_v", value.cast("long"))
-        block = rows.groupBy("_part", *self.group).agg(total("_v").alias("_t"))
+        return self.add_all(total, **{name: value})
+
+    def add_all(self, total=ADD, **values: Column) -> Ordered:
+        """Add the running totals of several bigint values in one pass: one sort and one join for all of them."""
+        at = {name: i for i, name in enumerate(values)}
+        rows = self.rows.withColumns({f"_v{at[n]}": v.cast("long") for n, v in values.items()})
+        block = rows.groupBy("_part", *self.group).agg(*[total(f"_v{i}").alias(f"_t{i}") for i in at.values()])
         w = Window.partitionBy(*self.group) if self.group else Window.partitionBy(F.lit(0))  # a row per partition at most
-        before = total("_t").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-        block = block.select(F.col("_part").alias("_bp"), F.coalesce(before, F.lit(0)).alias("_before"),
+        earlier = w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        block = block.select(F.col("_part").alias("_bp"),
+                             *[F.coalesce(total(f"_t{i}").over(earlier), F.lit(0)).alias(f"_before{i}") for i in at.values()],
                              *[F.col(c).alias(f"_b{i}") for i, c in enumerate(self.group)])
         inside = Window.partitionBy("_part", *self.group).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-        local = total("_v").over(inside)
         on = F.col("_part") == F.col("_bp")
         for i, c in enumerate(self.group):
             on = on & F.col(c).eqNullSafe(F.col(f"_b{i}"))
-        whole = F.col("_before") + F.col("_l") if total is ADD else F.col("_before").bitwiseXOR(F.col("_l"))
+
+        def whole(i: int) -> Column:
+            before, local = F.col(f"_before{i}"), F.col(f"_l{i}")
+            return before + local if total is ADD else before.bitwiseXOR(local)
+
+        local = rows.select("*", *[total(f"_v{i}").over(inside).alias(f"_l{i}") for i in at.values()])
+        return self._with(local.join(block, on).select(
+            *[c for c in self.rows.columns if c not in at], *[whole(i).alias(n) for n, i in at.items()]))
+
+    def only(self, *columns: str) -> Ordered:
+        """The same rows in the same order with few columns, for totals that need no more; `rows` keeps `_row`, by which the others join."""
+        return self._with(self.rows.select("_row", "_part", *columns))
+
+    def _with(self, rows: DataFrame) -> Ordered:
         out = object.__new__(Ordered)
-        out.group = self.group
-        out.rows = (rows.withColumn("_l", local).join(block, on).withColumn(name, whole)
-                    .select(*self.rows.columns, name))
+        out.group, out.rows = self.group, rows
         return out
 
     def done(self) -> DataFrame:

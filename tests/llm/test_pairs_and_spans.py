@@ -76,6 +76,31 @@ def test_texts_joined_by_a_shuffle_give_the_same(spark, monkeypatch):
     assert got == brute_components(docs, 3, 85, 100)
 
 
+def test_an_id_with_two_texts_keeps_the_links_of_the_one_it_is_compared_by(spark):
+    rng = random.Random(12)
+    for _ in range(4):  # whichever of the two texts has the smaller digest
+        a, other = sentence(rng, 60, 2_000), sentence(rng, 60, 2_000)
+        near = a.split()
+        near[30] = "changed"
+        near = " ".join(near)
+        near_other = other.split()
+        near_other[20] = "changed"
+        rows = [(1, a), (2, near), (2, other), (2, "A short one"), (3, " ".join(near_other)), (4, "a short one")]
+        got = {(r.id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3).collect()}
+        linked = [i for i in (1, 3, 4) if dict(got)[i] == dict(got)[2]]
+        assert len(linked) == 1  # id 2 is the text with the smallest digest, and that one finds its like
+        assert len({c for i, c in got if i == 2}) == 1
+
+
+def test_blocks_cut_by_bytes_give_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = list(enumerate([t for f in [(40, 90, 4), (40, 120, 5)] for t in family(rng, *f)], 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2_000)  # three or four texts
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_duplicates(df, shingle=3, similarity=(85, 100)).collect()}
+    assert got == brute_components(docs, 3, 85, 100)
+
+
 def test_near_duplicates_edge_rows(spark):
     got = sorted((r.id is None, r.id or 0, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(edge_docs(spark), shingle=3).collect())
     want = {i: v for i, v in brute_components({(r[0], r[1]) for r in rows() if r[0] is not None}, 3, 80, 100).items()}

@@ -1,8 +1,10 @@
 """Licence scan, sharding, chat formatting, mixing and media: plain versions, round trips, edge cases."""
 
+import functools
 import hashlib
 import io
 import itertools
+import operator
 import random
 import re
 import textwrap
@@ -169,6 +171,23 @@ def test_sharding_edge_rows(spark):
     assert out.where("text is null").select("size").distinct().collect()[0][0] == 8
 
 
+def test_several_totals_in_one_pass(spark):
+    rng = random.Random(4)
+    data = [(g, i, rng.randrange(9), rng.getrandbits(62)) for g in (1, 2, None) for i in range(rng.randrange(1, 200))]
+    df = spark.createDataFrame(data, "g long, i long, a long, b long").repartition(7)
+    line = Ordered(df, ["g"], [F.col("i")])
+    narrow = line.only("g", "i", "a").add_all(n=F.lit(1), s=F.col("a"))
+    mixed = line.add_all(XOR, x=F.col("b"), y=F.col("a")).done().collect()
+    assert sorted(narrow.done().columns) == ["a", "g", "i", "n", "s"]
+    for r in narrow.done().collect():
+        before = [d for d in data if d[0] == r.g and d[1] <= r.i]
+        assert (r.n, r.s) == (len(before), sum(d[2] for d in before))
+    for r in mixed:
+        before = [d for d in data if d[0] == r.g and d[1] <= r.i]
+        assert (r.x, r.y) == (functools.reduce(operator.xor, [d[3] for d in before]), functools.reduce(operator.xor, [d[2] for d in before]))
+    assert len(mixed) == len(data)
+
+
 # --- chat -------------------------------------------------------------------------------------------------
 
 def test_snapshots_collapse_to_the_longest(spark):
