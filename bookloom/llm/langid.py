@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bookloom.llm.frames import tidy
-from bookloom.operators.scale import first_rows
+from bookloom.llm.samples import smallest_hashes
 
 #: labelled rows that the weights are fitted on, dealt evenly over the languages
 SAMPLE = 2_400
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
         df[r.i] = r.n  # SPACE + 1 rows at most
     idf = np.log((1 + df[SPACE]) / (1 + df[:SPACE])) + 1
 
-    ranked = first_rows(rows.select("lang", F.xxhash64("k", "text").alias("h")).distinct(), ["lang"], [F.col("h").asc()], SAMPLE, out="r")
+    ranked = smallest_hashes(rows.select("lang", F.xxhash64("k", "text").alias("h")).distinct(), "lang", "h", SAMPLE)
     ids = ranked.orderBy("r", "h").limit(SAMPLE).select("h", "lang", "r")
     chosen = rows.withColumn("h", F.xxhash64("k", "text")).join(F.broadcast(ids), ["h", "lang"]).dropDuplicates(["h", "lang"])
 

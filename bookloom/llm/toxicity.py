@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bookloom.llm.frames import plus
 from bookloom.llm.langid import fold
+from bookloom.llm.samples import smallest_hashes
 from bookloom.llm.words import ALPHANUMERIC, Words, hashed, sliced
-from bookloom.operators.scale import first_rows
 from bookloom.session import cut_lineage
 
 #: labelled rows of each class, at most, that are learned from
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     known = labels.where(learn & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")) \
         .agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("y")).withColumn("h", F.xxhash64("k"))
     total = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
-    ids = first_rows(known, ["y"], [F.col("h").asc(), F.col("k").asc()], SAMPLE)  # 2 * SAMPLE rows
+    ids = smallest_hashes(known, "y", "h", SAMPLE).drop("r")  # 2 * SAMPLE rows
     chosen = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")) \
         .join(F.broadcast(ids), "k").groupBy("k", "y", "h").agg(F.min("t").alias("t")) \
         .withColumn("part", F.pmod(F.col("h"), F.lit(5)))

@@ -8,7 +8,7 @@ from edge import edge_docs, none, rows
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from bookloom.llm import langid, toxicity
+from bookloom.llm import langid, samples, toxicity
 from bookloom.llm.langid import grams
 from bookloom.llm.toxicity import Lookup, boost, features, isotonic
 
@@ -109,3 +109,16 @@ def test_trees_learn_a_rule_of_two_features():
     y = ((x[:, 1] > 0.6) ^ (x[:, 3] > 0.5)).astype(float)
     trees = boost(x[:1500], y[:1500], np.ones(1500))
     assert ((trees.raw(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.93
+
+
+def test_smallest_hashes_are_those_of_a_sort(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(g, rng.getrandbits(64) - 2 ** 63, i) for g, n in (("a", 30_000), ("b", 40), ("c", 5), (None, 9)) for i in range(n)]
+    data += [("near", 2 ** 62 + i, i) for i in range(5_000)]  # hashes that are not spread
+    want = {(g, h, i) for n in ("a", "b", "c", "near") for g, h, i in sorted(d for d in data if d[0] == n)[:20]}
+    df = spark.createDataFrame(data, "g string, h long, i long").repartition(6)
+    for sent in (100, 0):
+        monkeypatch.setattr(samples, "SENT_GROUPS", sent)
+        got = samples.smallest_hashes(df, "g", "h", 20).collect()
+        assert {(r.g, r.h, r.i) for r in got} == want and max(r.r for r in got) == 20
+    assert samples.smallest_hashes(df.limit(0), "g", "h", 20).count() == 0
