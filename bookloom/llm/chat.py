@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bookloom.llm.ordered import ADD, XOR, Ordered
+from bookloom.llm.ordered import XOR, Ordered
 from bookloom.session import cut_lineage
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -20,7 +20,8 @@ def chat_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     """Rendered turns of the maximal conversations: conv_id, pos (1..n_turns), role, rendered, begin (characters of the
     conversation before the turn) and n_turns. A conversation's rendering is its turns' in order of pos.
 
-    Each turn gets the hash of all turns up to it (two independent 64-bit values): the running XOR of hashes of (pos, role, text).
+    Each turn gets the hash of all turns up to it (two independent 64-bit values): the running XOR of hashes of pos and
+    a hash of (role, text).
     A conversation whose last such value also stands inside a longer one is a snapshot of that one and goes; of conversations
     with the same turns the one with the smallest conv_id stays. Conversations and common prefixes of any length or number are
     spread over the tasks.
@@ -32,13 +33,14 @@ def chat_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
                         F.coalesce(F.nullif(F.lower(F.trim(F.col(role))), F.lit("")), F.lit("user")).alias("role"),
                         F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
-    line = Ordered(rows, ["conv_id"], order).add("pos", F.lit(1))
-    for i in (1, 2):
-        line = line.add(f"h{i}", F.xxhash64(F.lit(i), "pos", F.lit(f"role{i}"), "role", F.lit("text"), "text"), XOR)
     rendered = F.concat(F.lit(OPEN), _clean(F.col("role")), F.lit("\n"), _clean(F.col("text")), F.lit(CLOSE + "\n"))
-    line = line.add("_end", F.length(rendered), ADD)
-    seen = cut_lineage(line.done())
+    order = [F.col("turn").asc_nulls_first(), F.col("role").asc(), F.col("text").asc()]
+    # texts are written once, in order; what follows reads their hashes and lengths only
+    whole = Ordered(rows.withColumns({f"_x{i}": F.xxhash64(F.lit(i), F.lit("role"), "role", F.lit("text"), "text") for i in (1, 2)}
+                                     | {"_size": F.length(rendered)}), ["conv_id"], order)
+    line = whole.only("conv_id", "_x1", "_x2", "_size").add_all(pos=F.lit(1), _end=F.col("_size"))
+    line = line.add_all(XOR, **{f"h{i}": F.xxhash64(F.lit(i), "pos", f"_x{i}") for i in (1, 2)})
+    seen = cut_lineage(line.rows.select("_row", "conv_id", "pos", "h1", "h2", (F.col("_end") - F.col("_size")).alias("begin")))
     ends = seen.groupBy(F.col("conv_id").alias("_c")).agg(F.max("pos").alias("n_turns"))
     sized = seen.select("conv_id", "pos", "h1", "h2").join(ends, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
     full = sized.where("pos = n_turns")
@@ -47,9 +49,9 @@ def chat_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     # a proper prefix of some conversation; equal ones meet before the shuffle
     inner = sized.where("pos < n_turns").select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
     kept = one.join(inner, ["n_turns", "h1", "h2"], "left_anti").select(F.col("conv_id").alias("_kept"), "n_turns")
-    return (seen.join(kept, F.col("conv_id").eqNullSafe(F.col("_kept")))
-            .select("conv_id", "pos", "role", rendered.alias("rendered"), (F.col("_end") - F.length(rendered)).alias("begin"),
-                    "n_turns"))
+    places = seen.join(kept, F.col("conv_id").eqNullSafe(F.col("_kept"))).select("_row", "pos", "begin", "n_turns")
+    return (whole.rows.select("_row", "conv_id", "role", "text").join(places, "_row")
+            .select("conv_id", "pos", "role", rendered.alias("rendered"), "begin", "n_turns"))
 
 
 def op4_chat_format(spark, folder: str) -> DataFrame:
