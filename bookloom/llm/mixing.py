@@ -18,6 +18,11 @@ MISSED = 0.01
 #: repeated rows that are too heavy for a stretch, sent to all tasks up to this number
 SENT_GROUPS = 1_000_000
 
+#: sources that miss too much of their target
+MISSING = "_left > %s * target" % MISSED
+#: no groups of rows that are exchanged
+SWAP = "cast(array() as array<struct<q:double,size:bigint>>)"
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -92,7 +97,7 @@ def plan(docs: DataFrame, seed: str = "mix", **kw) -> tuple[DataFrame, DataFrame
     is filled, in the same order, with later documents that still fit, until none does; earlier ones were too heavy for more than is
     left now. Each round of filling leaves fewer words than the document weighs that ended it, so there are at most as many rounds as
     different weights, and a handful in practice. Repeated rows are weighed together. If more than MISSED of the target is still
-    missing, the first document that brings the source nearer to it is taken as well.
+    missing, groups are exchanged or added (see `exchange`).
     """
     keys = cut_lineage(docs.groupBy("source", "_u", "size").agg(F.count(F.lit(1)).alias("_c")))
     sizes = keys.groupBy("source").agg(F.sum(F.col("size") * F.col("_c")).alias("source_size"))
@@ -126,13 +131,43 @@ def plan(docs: DataFrame, seed: str = "mix", **kw) -> tuple[DataFrame, DataFrame
             (F.col("_left") - F.coalesce("_got", F.lit(0))).alias("_left"),
             F.coalesce("_upto", "_from").alias("_from"),
             F.when(took, F.concat("taken", F.array(step))).otherwise(F.col("taken")).alias("taken")))
-    # nothing fits any more, so whatever weighs more than is left has not been taken
-    over = beside("_left", "target", "taken").where((F.col("_left") > MISSED * F.col("target")) & (F.col("_w") > F.col("_left")) & (F.col("_w") < 2 * F.col("_left"))) \
-        .where(~inside(F.col("taken"), F.col("_q"), F.col("_w"))) \
-        .groupBy("_s").agg(F.min(F.struct("_q", "size")).alias("over"))
+    by = exchange(by, beside) if not by.where(MISSING).isEmpty() else by.withColumns({"gone": F.expr(SWAP), "over": F.expr(SWAP)})
     heavy = beside("taken").where((F.col("_c") > 1) & inside(F.col("taken"), F.col("_q"), F.col("size")) & ~inside(F.col("taken"), F.col("_q"), F.col("_w"))) \
         .select(F.col("_s").alias("_hs"), F.col("_u").alias("_hu"), F.col("size").alias("_hn"))
-    return by.join(over, _same("source", "_s"), "left").drop("_left", "_from", "_s"), cut_lineage(heavy)
+    return by.drop("_left", "_from"), cut_lineage(heavy)
+
+
+def exchange(by: DataFrame, beside) -> DataFrame:
+    """Add to sources that miss too much the groups of rows that are taken out (`gone`) and added (`over`) once nothing fits any more.
+
+    All that is not taken weighs more than what is left. The lightest such group goes in for the lightest taken one that makes room for it,
+    of equal ones the first and the last in the sampling order: the words taken grow by the difference, and stay within the target. Where that leaves
+    too much missing, the first group that brings the source nearer to its target is added as well.
+    """
+    place = F.struct(F.col("_q").alias("q"), "size")
+    rest = beside("_left", "target", "taken").where(MISSING)
+    used = inside(F.col("taken"), F.col("_q"), F.col("_w"))
+    into = rest.where(~used).groupBy("_s").agg(F.min(F.struct("_w", "_q", "size")).alias("_in")) \
+        .select(F.col("_s").alias("_i"), F.col("_in._w").alias("_heavy"), F.struct(F.col("_in._q").alias("q"), F.col("_in.size").alias("size")).alias("_in"))
+    room = rest.where(used).join(into, _same("_s", "_i")) \
+        .where((F.col("_w") >= F.col("_heavy") - F.col("_left")) & (F.col("_w") < F.col("_heavy")))
+    swap = room.groupBy("_s").agg(F.min(F.struct("_w", -F.col("_q"), place.alias("at"))).alias("_out"), F.first("_in").alias("_in"),
+                                  F.first("_heavy").alias("_heavy"))
+    by = cut_lineage(by.join(swap, _same("source", "_s"), "left").drop("_s").withColumns({
+        "_left": F.col("_left") - F.coalesce(F.col("_heavy") - F.col("_out._w"), F.lit(0)),
+        "gone": F.when(F.col("_out").isNotNull(), F.array("_out.at")).otherwise(F.expr(SWAP)),
+        "over": F.when(F.col("_out").isNotNull(), F.array("_in")).otherwise(F.expr(SWAP))}).drop("_out", "_in", "_heavy"))
+    last = by.where(MISSING).select(F.col("source").alias("_b"), F.col("_left").alias("_now"), F.col("over").alias("_over"))
+    nearer = rest.where(~used).join(last, _same("_s", "_b")) \
+        .where((F.col("_w") > F.col("_now")) & (F.col("_w") < 2 * F.col("_now")) & ~listed(F.col("_over"), F.col("_q"), F.col("size"))) \
+        .groupBy("_s").agg(F.min(place).alias("_more"))
+    return cut_lineage(by.join(nearer, _same("source", "_s"), "left").drop("_s")
+                       .withColumn("over", F.when(F.col("_more").isNotNull(), F.concat("over", F.array("_more"))).otherwise(F.col("over"))).drop("_more"))
+
+
+def listed(groups: Column, q: Column, size: Column) -> Column:
+    """Whether the group of rows with this place in the order and this size is among the groups."""
+    return F.exists(groups, lambda x: (x["q"] == q) & (x["size"] == size))
 
 
 def inside(taken: Column, q: Column, weight: Column) -> Column:
@@ -163,7 +198,7 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
                       F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
                       random(F.col(key), F.col(text), seed).alias("_u"))
     by, heavy = plan(own.select(F.col("_source").alias("source"), F.col("_size").alias("size"), "_u"), seed, **kw)
-    by = by.select(F.col("source").alias("_src"), F.struct("source_size", "target", "whole", "level", "taken", "over").alias("_by"))
+    by = by.select(F.col("source").alias("_src"), F.struct("source_size", "target", "whole", "level", "taken", "gone", "over").alias("_by"))
     out = own.join(by, _same("_source", "_src"))
     q = pareto(F.col("_u"), odds(F.col("_size"), F.col("_by.level")))
     one_more = inside(F.col("_by.taken"), q, F.col("_size"))
@@ -172,7 +207,7 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         out = out.join(F.broadcast(heavy) if n <= SENT_GROUPS else heavy,
                        _same("_source", "_hs") & (F.col("_u") == F.col("_hu")) & (F.col("_size") == F.col("_hn")), "left")
         one_more = one_more & F.col("_hu").isNull()
-    one_more = one_more | F.coalesce((q == F.col("_by.over._q")) & (F.col("_size") == F.col("_by.over.size")), F.lit(False))
+    one_more = (one_more & ~listed(F.col("_by.gone"), q, F.col("_size"))) | listed(F.col("_by.over"), q, F.col("_size"))
     wanted = (F.col("_size") > 0) & (F.col("_by.level") > 0)
     copies = F.col("_by.whole") + F.when(wanted, F.coalesce(one_more, F.lit(False))).otherwise(False).cast("int")
     kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in added]
