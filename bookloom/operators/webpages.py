@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bookloom import constants as K
 from bookloom.functions import html as H
 from bookloom.functions.lines import drop_title_echo
-from bookloom.functions.pyudf import balanced_div, div_bodies, nested_objects, page_object
+from bookloom.functions.pyudf import balanced_div, div_spans, nested_objects, page_object
 from bookloom.functions.text import abs_url, nonempty, resolve_url, volume_label
 from bookloom.operators.scale import first_rows
 
@@ -131,10 +131,26 @@ def pick_content(pages: DataFrame, html: str = "html", out: str = "text", ad_rul
     left = F.when(need("_id", K.CONTENT_ID_MIN), F.col(html))
     d = d.withColumn("_class", H.strip_html(balanced_div(left, K.CONTENT_CLASS), ad_rules=ad_rules))
     left = F.when(need("_id", K.CONTENT_ID_MIN) & need("_class", K.CONTENT_MIN), F.regexp_replace(html, H.SCRIPT, ""))
-    d = d.withColumn("_texts", F.transform(div_bodies(left), lambda b: H.strip_html(b, ad_rules=ad_rules)))
-    longest = F.aggregate("_texts", F.lit(""), lambda a, t: F.when(F.length(t) > F.length(a), t).otherwise(a))
+    d = d.withColumn("_page", left).withColumn("_spans", div_spans("_page"))
+    longest = longest_text("_page", "_spans", lambda b: H.strip_html(b, ad_rules=ad_rules))
     return d.withColumn(out, F.when(~need("_id", K.CONTENT_ID_MIN), F.col("_id"))
-                        .when(~need("_class", K.CONTENT_MIN), F.col("_class")).otherwise(longest)).drop("_id", "_class", "_texts")
+                        .when(~need("_class", K.CONTENT_MIN), F.col("_class")).otherwise(longest)).drop("_id", "_class", "_page", "_spans")
+
+
+def longest_text(page: str, spans: str, text) -> Column:
+    """The longest text of the spans of a page, the first of equal ones. Spans come with a bound on their text, in falling order; one
+    that can be no longer than the best so far is not read, and only the best text is held."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(-1).alias("place"))
+
+    def better(best: Column, span: Column) -> Column:
+        body = text(F.substring(page, span["start"] + 1, span["length"]))
+        # an array of one, so that the text is made once for its length and for itself
+        read = F.transform(F.array(body), lambda t: F.struct(t.alias("text"), F.length(t).alias("n"), span["place"].alias("place")))[0]
+        longer = lambda r: (r["n"] > best["n"]) | ((r["n"] == best["n"]) & (r["n"] > 0) & (r["place"] < best["place"]))
+        kept = F.transform(F.array(read), lambda r: F.when(longer(r), r).otherwise(best))[0]
+        can = (span["most"] > best["n"]) | ((span["most"] == best["n"]) & (span["place"] < best["place"]))
+        return F.when(can, kept).otherwise(best)
+    return F.coalesce(F.aggregate(spans, start, better)["text"], F.lit(""))
 
 
 def chapter_text(pages: DataFrame, key: str = "page_id", html: str = "html", ad_rules: Sequence[str] = K.SERIAL_AD_LINES,
