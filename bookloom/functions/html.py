@@ -72,14 +72,16 @@ def _any(c: Column, markers: Sequence[str]) -> Column:
     return out
 
 
-def page_gate(status, page, title) -> Column:
-    """ok / empty / blocked / challenge / junk."""
+def page_gate(status, page, title, rules=K.GATE_RULES, head: int = K.GATE_HEAD) -> Column:
+    """ok / empty / blocked / challenge / junk. `rules` has the markers of each kind (see K.GATE_RULES); those of the kind `head` are
+    looked for in the first `head` characters."""
     html = F.coalesce(_c(page), F.lit(""))
-    low, head = F.lower(html), F.lower(F.substring(html, 1, 4000))
-    blocked = (_c(status).isin(*K.BLOCK_STATUS) | F.lower(F.coalesce(_c(title), F.lit(""))).contains(K.BLOCK_TITLE)
-               | _any(low, K.BLOCK_BODY) | _any(head, K.BLOCK_MARKERS))
-    return (F.when((F.length(html) < K.CHALLENGE_MAX) & _any(html, K.CHALLENGE_MARKERS), "challenge")
-            .when((F.length(html) < K.JUNK_MAX) & _any(html, K.JUNK_MARKERS), "junk")
+    low, start = F.lower(html), F.lower(F.substring(html, 1, head))
+    marked = lambda text, kind: _any(text, rules.get(kind, ()))
+    blocked = (_c(status).isin(*K.BLOCK_STATUS) | marked(F.lower(F.coalesce(_c(title), F.lit(""))), "title")
+               | marked(low, "body") | marked(start, "head"))
+    return (F.when((F.length(html) < K.CHALLENGE_MAX) & marked(html, "challenge"), "challenge")
+            .when((F.length(html) < K.JUNK_MAX) & marked(html, "junk"), "junk")
             .when(F.coalesce(blocked, F.lit(False)), "blocked").when(F.trim(html) == "", "empty").otherwise("ok"))
 
 

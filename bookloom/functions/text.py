@@ -267,9 +267,9 @@ def split_title_author(c) -> Column:
         F.when(at > 0, strip(F.substring(_c(c), at + 1, F.length(_c(c))))).otherwise(F.lit("")).alias("author"))
 
 
-def tags_clean(c, keep: int = 3) -> Column:
+def tags_clean(c, keep: int = 3, noise: str = K.TAG_NOISE) -> Column:
     words = F.split(F.coalesce(_c(c), F.lit("")), r"[+＋、,，\s]+")
-    return F.slice(F.filter(words, lambda w: (w != "") & ~w.rlike(K.TAG_NOISE)), 1, keep)
+    return F.slice(F.filter(words, lambda w: (w != "") & ~w.rlike(noise)), 1, keep)
 
 
 def board_tags(genre, era, theme, all_tags) -> Column:
@@ -287,15 +287,15 @@ def volume_tag(names) -> Column:
             .otherwise(F.array_join(named, "+")))
 
 
-def genre_guess(title, author) -> Column:
-    """First matching keyword rule: author lists, then title lists."""
+def genre_guess(title, author, by_author=K.GENRE_BY_AUTHOR, by_title=K.GENRE_BY_TITLE) -> Column:
+    """First matching keyword rule: author lists, then title lists; a list is (genre, keywords)."""
     t, a = F.coalesce(_c(title), F.lit("")), F.coalesce(_c(author), F.lit(""))
 
     def hit(text: Column, words) -> Column:
         return reduce(lambda x, y: x | y, [text.contains(w) for w in words])
-    rules = [(hit(a, ws), g) for g, ws in K.GENRE_BY_AUTHOR] + [(hit(t, ws), g) for g, ws in K.GENRE_BY_TITLE]
-    out = F.when(rules[0][0], rules[0][1])
-    for cond, genre in rules[1:]:
+    rules = [(hit(a, ws), g) for g, ws in by_author] + [(hit(t, ws), g) for g, ws in by_title]
+    out = F.when(F.lit(False), "unknown")
+    for cond, genre in rules:
         out = out.when(cond, genre)
     return out.otherwise("unknown")
 

@@ -108,6 +108,19 @@ def drop_ad_lines(docs: DataFrame, rules: Sequence[str], text: str = "text") ->
     return docs.withColumn(text, F.array_join(L.drop_matching(L.split_lines(text), rules), "\n"))
 
 
+def ad_line_audit(docs: DataFrame, rules: Sequence[tuple[str, str]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, line_no, rule_id, line): the lines that `drop_ad_lines` drops, each with the first rule it matches. `rules` is (rule id, pattern)
+    in order; all of them together are tried first, so that lines without an ad are looked at once."""
+    any_rule = L.alternation([pattern for _, pattern in rules])
+    lines = F.transform(L.split_lines(text), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
+    hits = F.filter(lines, lambda r: r["line"].rlike(any_rule))
+
+    def first(line: Column) -> Column:
+        return F.coalesce(*[F.when(line.rlike("(?i)" + pattern), F.lit(name)) for name, pattern in rules])
+    d = docs.select(key, F.explode(hits).alias("h"))
+    return d.select(key, "h.line_no", first(F.col("h.line")).alias("rule_id"), "h.line")
+
+
 def drop_adjacent_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.array_join(L.adjacent_distinct(L.split_lines(text)), "\n"))
 
@@ -130,11 +143,12 @@ def strip_ads(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return clean, audit
 
 
-def drop_header_block(docs: DataFrame, key: str = "doc_id", text: str = "text", fallback: Column | None = None) -> DataFrame:
-    """(key, title, author, text): the part of the first 40 lines up to the last rule line is cut, title and
+def drop_header_block(docs: DataFrame, key: str = "doc_id", text: str = "text", fallback: Column | None = None,
+                      first: int = K.HEADER_LINES) -> DataFrame:
+    """(key, title, author, text): the part of the first lines (40) up to the last rule line is cut, title and
     author are read from it."""
     d = docs.select(key, (fallback if fallback is not None else F.lit("")).alias("_fb"), L.split_lines(text).alias("_lines"))
-    marks = F.transform(F.slice("_lines", 1, K.HEADER_LINES),
+    marks = F.transform(F.slice("_lines", 1, first),
                         lambda x, i: F.when(x.contains(K.HEADER_RULE), i + 1).otherwise(F.lit(0)))
     d = d.withColumn("_end", F.coalesce(F.array_max(marks), F.lit(0)))
     head = F.array_join(F.slice("_lines", F.lit(1), F.col("_end")), "\n")
@@ -144,16 +158,29 @@ def drop_header_block(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.array_join(F.slice("_lines", F.col("_end") + 1, F.size("_lines")), "\n").alias("text"))
 
 
-def completeness_check(docs: DataFrame, key: str = "doc_id", text: str = "text", heading_regex: str = K.TXT_HEADING,
-                       min_headings: int = K.BOOK_MIN_HEADINGS, min_chars: int = K.BOOK_MIN_CHARS) -> DataFrame:
-    """(key, headings, chars, reason): a null reason means the text is complete."""
+def with_completeness(docs: DataFrame, text: str = "text", heading_regex: str = K.TXT_HEADING, min_headings: int = K.BOOK_MIN_HEADINGS,
+                      min_chars: int = K.BOOK_MIN_CHARS) -> DataFrame:
+    """Add headings, chars and reason; a null reason means the text is complete."""
     heads = F.size(F.filter(F.transform(L.split_lines(text), strip), lambda x: x.rlike(heading_regex)))
-    d = docs.select(key, heads.cast("long").alias("headings"),
-                    F.length(F.regexp_replace(text, r"(?U)\s+", "")).cast("long").alias("chars"))
+    d = docs.withColumns({"headings": heads.cast("long"),
+                          "chars": F.length(F.regexp_replace(text, r"(?U)\s+", "")).cast("long")})
     return d.withColumn("reason", F.when(F.col("headings") < min_headings, "few_headings")
                         .when(F.col("chars") < min_chars, "short_text"))
 
 
+def completeness_check(docs: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """(key, headings, chars, reason): a null reason means the text is complete."""
+    return with_completeness(docs.select(key, text), text, **kw).drop(text)
+
+
+def clean_books(docs: DataFrame, key: str = "doc_id", text: str = "text", ad_rules: Sequence[str] = K.TXT_AD_LINES,
+                heading_regex: str = K.TXT_HEADING, **kw) -> DataFrame:
+    """Raw text files to books in one pass over each row: (key, title, author, text, headings, chars, reason). The header block and ad lines
+    go, headings are set off, and the clean text is checked; what is not complete keeps its row, with the reason. A null
+    text has a null text and no reason."""
+    return with_completeness(prepare_book_text(docs.select(key, text), key, text, ad_rules, heading_regex), "text", heading_regex, **kw)
+
+
 def prepare_book_text(docs: DataFrame, key: str = "doc_id", text: str = "text",
                       ad_rules: Sequence[str] = K.TXT_AD_LINES, heading_regex: str = K.TXT_HEADING) -> DataFrame:
     """Raw text file to clean book text: header block out, ad lines out, headings set off by blank lines."""

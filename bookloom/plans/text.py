@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bookloom.functions import lines as L
-from bookloom.operators import library, segment as G
+from bookloom.operators import library, rules, segment as G
 from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query
 
@@ -33,6 +33,17 @@ def _(t):
     return G.drop_ad_lines(t.documents.select("doc_id", "text"), AD_RULES)
 
 
+def ad_rules(t):
+    """The ad rules as a rule table."""
+    return t.spark.createDataFrame([("ad_line", i, f"ad{i}", p) for i, p in enumerate(AD_RULES)], "kind string, ord int, rule_id string, pattern string")
+
+
+@query("c2_ad_line_audit", f"""SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CASE {" ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN 'ad{i}'" for i, p in enumerate(AD_RULES))} END AS rule_id, line
+    FROM {LINES} WHERE regexp_matches(line, '(?i){"|".join(AD_RULES)}')""")
+def _(t):
+    return rules.drop_ad_lines(t.documents.select("doc_id", "text"), ad_rules(t))[1]
+
+
 def _phrase(x, rule):
     frags = f"list_filter(regexp_extract_all({x}, {S.lit(rule)}), lambda f: length(trim(f)) >= 6)"
     return frags
@@ -108,6 +119,21 @@ def _(t):
     return G.completeness_check(t.documents, heading_regex=S.HEADING_SQL)
 
 
+CLEAN_LINE = f"CASE WHEN regexp_matches({S.strip('x')}, '{S.HEADING_SQL}') THEN chr(10) || {S.strip('x')} || chr(10) ELSE {S.rx('x', chr(92) + 's+$')} END"
+
+
+# files with and without a header block, from raw text to checked books
+@query("c16_clean_books", f"""WITH l AS (SELECT doc_id, source, lang, list_transform(list_filter(string_split({S.rx('text', '[\u200b-\u200f\u202a-\u202e\u2060\ufeff]')}, chr(10)),
+      lambda x: {S.strip('x')} = '' OR NOT regexp_matches({S.strip('x')}, '(?i){"|".join(AD_RULES[:3])}')), lambda x: {CLEAN_LINE}) AS ls FROM documents),
+    b AS (SELECT *, {S.rx(S.rx("array_to_string(ls, chr(10))", chr(92) + 'n{3,}', chr(10) * 2), '^' + chr(92) + 'n+|' + chr(92) + 'n+$')} AS text FROM l),
+    d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE '' END AS title, CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END AS author, text,
+      len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches({S.strip('x')}, '{S.HEADING_SQL}'))) AS headings, length({S.rx('text', chr(92) + 's+')}) AS chars FROM b)
+    SELECT *, CASE WHEN headings < 3 THEN 'few_headings' WHEN chars < 1000 THEN 'short_text' END AS reason FROM d""")
+def _(t):
+    docs = t.documents.select("doc_id", F.expr(HEADED).alias("text"))
+    return G.clean_books(docs, ad_rules=AD_RULES[:3], heading_regex=S.HEADING_SQL)
+
+
 @query("c9_detect_headings", f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, {TRIM} AS title FROM {LINES} WHERE {IS_HEAD}")
 def _(t):
     return G.detect_headings(t.documents, heading_regex=S.HEADING_SQL)
