@@ -408,3 +408,19 @@ def test_invalid_utf8_stops_nothing(spark):
     assert without_repeats(df).count() == 3
     asked = spark.createDataFrame([(1, "plain good")], "item_id long, text string")
     assert sorted(r.id for r in ranked_search(df, asked).collect()) == [1, 2, 3]
+
+
+def test_a_group_is_exchanged_before_a_target_is_passed(spark):
+    for seed in ("1", "2"):
+        data = [(i, "w " * (200 if i % 2 else 70), "a") for i in range(40)] + [(100 + i, "x " * 50, "b") for i in range(100)]
+        df = spark.createDataFrame(data, "doc_id long, text string, source string")
+        mine = [r for r in mixing.with_copies(df, seed=seed, weights=(2, 3)).collect() if r.source == "a"]
+        target, whole = mine[0].target, int(mine[0].target // mine[0].source_size)
+        missing = target - sum(r.copies * r["size"] for r in mine)
+        more = {r["size"] for r in mine if r.copies > whole}
+        less = {r["size"] for r in mine if r.copies == whole}
+        assert {r.copies for r in mine} <= {whole, whole + 1}
+        if missing > 0.01 * target:  # no exchange of the lightest one that is not taken could still help
+            assert not any(0 < min(less) - v <= missing for v in more)
+        if missing < 0:  # too much only where that is nearer than what was there
+            assert -missing < 200
