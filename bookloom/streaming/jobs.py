@@ -47,7 +47,7 @@ def latest_stream(events: DataFrame, key: str, order: Sequence[str], fields: Seq
         latest = events.groupBy(key).agg(F.max(F.struct(*names)).alias("_v")).select(key, *[f"_v.{c}" for c in names])
     else:
         rows, back = _plain(events.select(key, *names), names)
-        latest = back(processed(rows, key, Latest(names, rows.schema, ttl_ms), rows.schema, "Update", "ProcessingTime"))
+        latest = back(processed(rows, key, Latest(names, rows.schema, ttl_ms), rows.schema, "update"))
     return _start(latest, "update", current_sink(table, [key]), checkpoint, once, ttl_ms is not None)
 
 
@@ -57,7 +57,7 @@ def dedup_stream(events: DataFrame, key: str, ts: str, ttl_micros: int, tie: str
     kind = {f.name: f.dataType for f in events.schema.fields}
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(
         key, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(tie).alias("_tie"))
-    kept = processed(rows, key, Sparing(key, ttl_micros), rows.schema, "Append")
+    kept = processed(rows, key, Sparing(key, ttl_micros), rows.schema, "append")
     kept = kept.select(key, F.timestamp_micros("_at").cast(kind[ts]).alias(ts), F.col("_tie").alias(tie))
     return _start(kept, "append", _append(table), checkpoint, once)
 
@@ -70,7 +70,7 @@ def breaker_stream(events: DataFrame, source: str, order: Sequence[Column], bloc
     rows = events.select(source, *[o.alias(n) for o, n in zip(order, names, strict=True)], F.coalesce(blocked, F.lit(False)).alias("_b"))
     kind = dict(rows.dtypes)[source]
     shape = f"{source} {kind}, tripped boolean, tripped_at long, run long"
-    return _start(processed(rows, source, Breaker(source, names, limit), shape, "Update"), "update", current_sink(table, [source]), checkpoint, once)
+    return _start(processed(rows, source, Breaker(source, names, limit), shape, "update"), "update", current_sink(table, [source]), checkpoint, once)
 
 
 def bookmark_stream(events: DataFrame, key: str, order: str, table: str, checkpoint: str, action: str = "action", item: str = "item",
@@ -79,7 +79,7 @@ def bookmark_stream(events: DataFrame, key: str, order: str, table: str, checkpo
     delete events come in order from batch to batch."""
     rows = events.select(key, order, action, item, ordinal)
     kind = dict(rows.dtypes)[key]
-    lists = processed(rows, key, Bookmarks(key, order, action, item, ordinal), f"{key} {kind}, items array<string>", "Update")
+    lists = processed(rows, key, Bookmarks(key, order, action, item, ordinal), f"{key} {kind}, items array<string>", "update")
     return _start(lists, "update", current_sink(table, [key]), checkpoint, once)
 
 
