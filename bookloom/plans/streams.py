@@ -6,6 +6,7 @@ from bookloom.operators import events as E, webpages as W
 from bookloom.plans import sqltext as S
 from bookloom.plans.registry import query
 from bookloom.plans.sources import shared_folder
+from bookloom.sources.files import is_folder
 from bookloom.streaming import jobs as J
 from bookloom.streaming.current import read_current
 
@@ -13,7 +14,11 @@ PROGRESS = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_
 
 
 def stream(t, name):
-    return J.files_stream(t.spark, t.folder, getattr(t, name).schema, f"{name}.parquet")
+    """The rows of a table, be it one file or a folder of files."""
+    path, schema = f"{t.folder}/{name}.parquet", getattr(t, name).schema
+    if is_folder(t.spark, path):
+        return J.files_stream(t.spark, path, schema)
+    return J.files_stream(t.spark, t.folder, schema, f"{name}.parquet")
 
 
 @query("i1_progress_stream", PROGRESS)
