@@ -52,7 +52,8 @@ def ttl_dedup(events: DataFrame, key: str, ts: str, ttl: Column, tie: str) -> Da
     is kept. The pointers come from two range-sorted numberings: of the events, and of events and their ends of life together. An
     event that follows the one before it by more than ttl is kept whatever was kept before, so pointers end there. Pointers are then doubled: after k rounds
     everything less than 2 ** k steps from a start is marked. So rounds grow with the logarithm of the longest chain, and a busy
-    key is spread like any other rows, since all joins are on (key, number).
+    key is spread like any other rows, since all joins are on (key, number). They are sort-merge joins: the tables are so well
+    compressed that the planner would send ones of millions of rows to every task.
     """
     rows = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(key, ts, tie)
     line = cut_lineage(ranked(rows, [key], [F.col(ts), F.col(tie)], "_n"))
@@ -63,15 +64,15 @@ def ttl_dedup(events: DataFrame, key: str, ts: str, ttl: Column, tie: str) -> Da
     ahead = cut_lineage(laid.where("_end = 1 and _p - _n < _size / 2").select(key, "_n", (F.col("_p") - F.col("_n") + 1).alias("_to")))
     begin = ahead.where("_to = _n + 1").select(key, F.col("_to").alias("_n"))
     marked = cut_lineage(line.where("_n = 1").select(key, "_n").union(begin))
-    jump = cut_lineage(ahead.join(begin.withColumnRenamed("_n", "_to"), [key, "_to"], "left_anti").select(key, "_n", "_to"))
+    jump = cut_lineage(ahead.join(begin.withColumnRenamed("_n", "_to").hint("merge"), [key, "_to"], "left_anti").select(key, "_n", "_to"))
     while True:
-        reached = cut_lineage(marked.join(jump, [key, "_n"]).select(key, F.col("_to").alias("_n")))
+        reached = cut_lineage(marked.join(jump.hint("merge"), [key, "_n"]).select(key, F.col("_to").alias("_n")))
         if reached.isEmpty():
             break
         marked = cut_lineage(marked.union(reached).distinct())
-        jump = cut_lineage(jump.join(jump.select(key, F.col("_n").alias("_to"), F.col("_to").alias("_far")), [key, "_to"])
-                           .select(key, "_n", F.col("_far").alias("_to")))
-    return line.join(marked, [key, "_n"]).select(key, ts, tie)
+        far = jump.select(key, F.col("_n").alias("_to"), F.col("_to").alias("_far"))
+        jump = cut_lineage(jump.join(far.hint("merge"), [key, "_to"]).select(key, "_n", F.col("_far").alias("_to")))
+    return line.join(marked.hint("merge"), [key, "_n"]).select(key, ts, tie)
 
 
 class Places:
