@@ -24,9 +24,10 @@ def previous(arr: Column) -> Column:
 
 
 def adjacent_distinct(arr: Column) -> Column:
-    """Drop every element equal to the one before it."""
-    kept = F.zip_with(arr, previous(arr), lambda a, b: F.when(~a.eqNullSafe(b), a))
-    return F.filter(kept, lambda x: x.isNotNull())
+    """Drop every element equal to the one before it. An array of one holds the lines, so that they are made once for both uses."""
+    def distinct(lines: Column) -> Column:
+        return F.filter(F.zip_with(lines, previous(lines), lambda a, b: F.when(~a.eqNullSafe(b), a)), lambda x: x.isNotNull())
+    return F.transform(F.array(arr), distinct)[0]
 
 
 def squeeze(line: Column) -> Column:

@@ -127,14 +127,20 @@ def pick_content(pages: DataFrame, html: str = "html", out: str = "text", ad_rul
     """Add the chapter text: of the id container when it has ten characters, of a class container when it has eighty, else
     the longest text of any div. Each step only looks at the pages the step before could not settle."""
     need = lambda text, least: F.coalesce(F.length(text), F.lit(0)) < least
-    d = pages.withColumn("_id", H.strip_html(balanced_div(F.col(html), K.CONTENT_ID), ad_rules=ad_rules))
+    d = once(pages.withColumn("_body", balanced_div(F.col(html), K.CONTENT_ID)), "_id", H.strip_html("_body", ad_rules=ad_rules))
     left = F.when(need("_id", K.CONTENT_ID_MIN), F.col(html))
-    d = d.withColumn("_class", H.strip_html(balanced_div(left, K.CONTENT_CLASS), ad_rules=ad_rules))
+    d = once(d.withColumn("_body", balanced_div(left, K.CONTENT_CLASS)), "_class", H.strip_html("_body", ad_rules=ad_rules))
     left = F.when(need("_id", K.CONTENT_ID_MIN) & need("_class", K.CONTENT_MIN), F.regexp_replace(html, H.SCRIPT, ""))
-    d = d.withColumn("_page", left).withColumn("_spans", div_spans("_page"))
+    d = once(d, "_page", left).withColumn("_spans", div_spans("_page"))
     longest = longest_text("_page", "_spans", lambda b: H.strip_html(b, ad_rules=ad_rules))
     return d.withColumn(out, F.when(~need("_id", K.CONTENT_ID_MIN), F.col("_id"))
-                        .when(~need("_class", K.CONTENT_MIN), F.col("_class")).otherwise(longest)).drop("_id", "_class", "_page", "_spans")
+                        .when(~need("_class", K.CONTENT_MIN), F.col("_class")).otherwise(longest)).drop("_id", "_class", "_body", "_page", "_spans")
+
+
+def once(d: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once for each row. The planner writes a plain column anew into every expression that reads it when
+    these go to Python; it does not look through an exploded array of one."""
+    return d.select("*", F.explode(F.array(value)).alias(name))
 
 
 def longest_text(page: str, spans: str, text) -> Column:

@@ -51,3 +51,13 @@ def test_a_deeply_nested_page_is_read_once(spark):
     began = time.time()
     text = W.pick_content(df).select(F.length("text").alias("n")).first().n
     assert text == len("the only words " * 2_000) - 1 and time.time() - began < 60
+
+
+def test_texts_are_made_once(spark):
+    """Each step's text is read by the steps behind it, not made anew for each of them, and rows without a page stay."""
+    df = spark.createDataFrame([(0, "<div id='x'>a</div>"), (1, None), (1, None)], "page_id int, html string")
+    out = W.pick_content(df)
+    assert sorted(r.page_id for r in out.collect()) == [0, 1, 1]
+    # the texts of the three steps and the page of the last one take scripts out
+    assert out._jdf.queryExecution().executedPlan().toString().count("(script|style)") == 4
+    assert df.select(H.strip_html("html").alias("text"))._jdf.queryExecution().executedPlan().toString().count("(script|style)") == 1
