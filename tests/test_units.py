@@ -290,3 +290,19 @@ def test_tree_with_a_cycle_ends(spark):
     from bookloom.operators.reports import toc_tree_flatten
     df = spark.createDataFrame([("a", None, 1), ("b", "a", 1), ("a", "b", 1), ("c", "b", 2)], "node string, parent string, ordinal int")
     assert [(r["node"], r["depth"]) for r in toc_tree_flatten(df).orderBy("position").collect()] == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_long_texts_are_few_python_objects():
+    """Of a batch of 50 MB only a few texts at a time are held as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    inner = P.by_value(lambda v: v and v[1:-1], T.StringType()).func
+    batch = pa.array([None, *(f"<{i}" + "x" * 50_000 + ">" for i in range(1000))])
+    tracemalloc.start()
+    out = inner(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000 and out.to_pylist() == [v and v[1:-1] for v in batch.to_pylist()]
+    assert len(inner(batch.slice(0, 0))) == 0
